@@ -2,10 +2,20 @@
 
 from __future__ import annotations
 
+from . import topk
 from .minhash import op1_minhash
+from .packing import op8_packing
+from .quality import op6_quality
+from .secrets import op3_secrets
 
 QUERIES = {
     "op1_minhash": op1_minhash,
+    "op3_secrets": op3_secrets,
+    "op6_quality": op6_quality,
+    "op8_packing": op8_packing,
+    "op9_topk": topk.op9_topk,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op9_topk": topk.ORACLE,
+}
