@@ -21,12 +21,12 @@ def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
     maps: list[DataFrame] = []
     while not e.isEmpty():
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        near = scratch.write(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("p")))
+        near = both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("p"))
         jump = near.select(F.col("id").alias("p"), F.col("p").alias("q"))
         hop = scratch.write(near.join(jump, "p").select("id", F.col("q").alias("p")))
         left = e.join(hop.select(F.col("id").alias("a"), F.col("p").alias("x")), "a")
         after = scratch.write(left.join(hop.select(F.col("id").alias("b"), F.col("p").alias("y")), "b").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
-        scratch.drop(e, near)
+        scratch.drop(e)
         e = after
         maps.append(hop)
     if not maps:
@@ -34,42 +34,54 @@ def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
     labels = maps[0].withColumnRenamed("p", "label")
     for m in maps[1:]:
         step = m.select(F.col("id").alias("label"), F.col("p").alias("next"))
-        labels = scratch.write(labels.join(step, "label", "left").select("id", F.coalesce("next", "label").alias("label")))
-    return labels
+        labels = labels.join(step, "label", "left").select("id", F.coalesce("next", "label").alias("label"))
+    return scratch.write(labels)
+
+
+#: Each round compares so many times as many hubs of a bucket as the one before.
+WIDEN = 8
+
+
+def _hubs(live: DataFrame, width: int) -> DataFrame:
+    """The foremost members (key, hub) of each bucket; the choice is limited within each task before the shuffle."""
+    if width == 1:
+        return live.groupBy("key").agg(F.max_by("id", F.struct("deg", "id")).alias("hub"))
+    order = Window.partitionBy("key").orderBy(F.desc("deg"), F.desc("id"))
+    return live.withColumn("place", F.row_number().over(order)).where(F.col("place") <= width).select("key", F.col("id").alias("hub"))
 
 
 def link_rounds(scratch: Scratch, members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame | None:
     """Labels of the components that links within buckets make, without listing all pairs of a bucket.
 
-    members: (key, id, deg), the ids of each bucket, the likeliest hubs with the largest deg. verify: pairs (a, b), a < b
-    -> the linked ones. Round r compares the 2**r foremost members of each bucket with all its members of other
-    components; those hubs then leave. A bucket is done when its members lie in one component. So every pair of a bucket
-    is compared or already connected: nothing is lost, a group of copies costs about as many comparisons as members,
-    and the rounds grow with the logarithm of the largest bucket. Returns (id, label), or None without links.
+    members: (key, id, deg), a written table of the buckets of two or more ids, the likeliest hubs with the largest deg.
+    verify: pairs (a, b), a < b -> the linked ones. Round r compares the 8**r foremost members of each bucket with all
+    its members of other components; those hubs then leave. A bucket is done when its members lie in one component. So
+    every pair of a bucket is compared or already connected: nothing is lost, a group of copies costs about as many
+    comparisons as members, and the rounds grow with the logarithm of the largest bucket. Returns (id, label), or None
+    without links.
     """
     live, labels, edges, failed, width = members, None, None, None, 1
-    while True:
-        if labels is None:
-            state = live.withColumn("label", F.col("id"))
+    while not live.isEmpty():
+        hubs = _hubs(live, width)
+        if labels is not None:
+            hubs = scratch.write(hubs)
+            near = hubs.join(live.select("key", F.col("id").alias("hub"), F.col("label").alias("hub_label")), ["key", "hub"])
+            pairs = live.join(near, "key").where("label <> hub_label")
         else:
-            state = live.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-        state = scratch.write(state.select("key", "id", "deg", "label"))
-        open_keys = state.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-        live = scratch.write(state.join(open_keys, "key", "left_semi"))
-        scratch.drop(state)
-        if live.isEmpty():
-            return labels
-        order = Window.partitionBy("key").orderBy(F.desc("deg"), "id")
-        hubs = scratch.write(live.withColumn("place", F.row_number().over(order)).where(F.col("place") <= width).select("key", F.col("id").alias("hub"), F.col("label").alias("hub_label")))
-        pairs = live.join(hubs, "key").where("label <> hub_label").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
+            pairs = live.join(hubs, "key").where("id <> hub")
+        pairs = pairs.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
         if failed is not None:
             pairs = pairs.join(failed, ["a", "b"], "left_anti")
         pairs = scratch.write(pairs)
         linked = scratch.write(verify(pairs))
         missed = pairs.join(linked, ["a", "b"], "left_anti")
-        failed = scratch.write(missed if failed is None else failed.union(missed))
+        failed = missed if failed is None else failed.union(missed)
         if not linked.isEmpty():
-            edges = linked if edges is None else scratch.write(edges.union(linked))
+            edges = linked if edges is None else edges.union(linked)
             labels = components(scratch, edges)
-        live = live.drop("label").join(hubs.select("key", F.col("hub").alias("id")), ["key", "id"], "left_anti")
-        width *= 2
+        live = live.select("key", "id", "deg").join(hubs.select("key", F.col("hub").alias("id")), ["key", "id"], "left_anti")
+        live = live.join(labels, "id", "left").select("key", "id", "deg", F.coalesce("label", "id").alias("label")) if labels is not None else live.withColumn("label", F.col("id"))
+        open_keys = live.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
+        live = scratch.write(live.join(open_keys, "key", "left_semi"))
+        width *= WIDEN
+    return labels
