@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import topk
+from . import lines, mixing, topk
+from .embeddings import op4_embeddings
 from .minhash import op1_minhash
 from .packing import op8_packing
 from .quality import op6_quality
@@ -11,11 +12,16 @@ from .secrets import op3_secrets
 QUERIES = {
     "op1_minhash": op1_minhash,
     "op3_secrets": op3_secrets,
+    "op4_embeddings": op4_embeddings,
+    "op5_lines": lines.op5_lines,
     "op6_quality": op6_quality,
     "op8_packing": op8_packing,
     "op9_topk": topk.op9_topk,
+    "op10_mixing": mixing.op10_mixing,
 }
 
 ORACLES: dict[str, str] = {
+    "op5_lines": lines.ORACLE,
     "op9_topk": topk.ORACLE,
+    "op10_mixing": mixing.oracle(),
 }
