@@ -1,15 +1,64 @@
-"""Corpus pipeline over the documents table; each stage calls one operator of eventide.llm."""
+"""Corpus pipeline over the documents table; each stage calls one operator of eventide.llm.
+
+Each stage takes what its predecessor kept. A stage that reads its input more than once reads the table written by the
+stage before it.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from eventide.llm import lines, minhash, mixing, packing, quality
+from eventide.llm.common import Scratch, table
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose voted quality score reaches the threshold."""
+    return quality.accepted(docs, table(spark, sf_dir, "labels"))
+
+
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without their lines that repeat an earlier one, n_chars counted anew; a document of which no word is left goes."""
+    out = lines.deduplicated(docs)
+    left = F.col("__lines").isNull() | F.col("text").rlike("[^\\x20\\x09-\\x0D]")
+    chars = F.when(F.col("__lines").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.where(left).withColumn("n_chars", chars).select(*docs.columns)
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of the smallest id of each group of near-duplicates."""
+    kept = minhash.near_duplicates(docs).where("kept").select("doc_id").distinct()
+    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents sampled by their calibrated probabilities."""
+    return mixing.sampled(docs)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents and the sequences they are packed into."""
+    return packing.packed(docs, packing.tokenizer_path())
+
+
+STAGES = [
+    ("quality", quality_stage),
+    ("line_dedup", line_stage),
+    ("near_dedup", near_stage),
+    ("mixing", mixing_stage),
+    ("packing", packing_stage),
+]
 
-STAGES: list = []
+#: The first stage's model and the last stage's tokenizer can't be said in SQL; tests compare every stage with a plain version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    docs = table(spark, sf_dir, "documents")
+    scratch = Scratch(spark, "pipeline")
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = scratch.write(docs)
     return docs
