@@ -110,12 +110,16 @@ def _indel(a: str, b: str) -> float:
     """200 * the longest common subsequence over the summed lengths."""
     if not a and not b:
         return 100.0
-    row = [0] * (len(b) + 1)
-    for x in a:
-        before = 0
-        for j, y in enumerate(b, 1):
-            before, row[j] = row[j], before + 1 if x == y else max(row[j], row[j - 1])
-    return 200.0 * row[-1] / (len(a) + len(b))
+    # bit-parallel: after each character of b the zero bits count the subsequence so far
+    places: dict[str, int] = {}
+    for k, x in enumerate(a):
+        places[x] = places.get(x, 0) | 1 << k
+    full = (1 << len(a)) - 1
+    bits = full
+    for y in b:
+        hit = bits & places.get(y, 0)
+        bits = ((bits + hit) | (bits - hit)) & full
+    return 200.0 * (len(a) - bits.bit_count()) / (len(a) + len(b))
 
 
 def token_set_score(a: str, b: str) -> float:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -129,7 +131,7 @@ def sorted_pipe(c: Column, split: bool = False) -> Column:
     """An aggregate: the distinct non-blank values, sorted, joined by '|'; split: values are cut at '|' first."""
     t = F.trim(c.cast("string"))
     values = F.flatten(F.collect_set(F.split(t, r"\|"))) if split else F.collect_set(t)
-    return F.array_join(F.array_sort(F.array_distinct(F.filter(F.transform(values, F.trim), lambda v: v != ""))), "|")
+    return F.array_join(F.array_sort(F.array_distinct(F.filter(F.transform(values, lambda v: F.trim(v)), lambda v: v != ""))), "|")
 
 
 def issues(*cases: tuple[Column, str]) -> Column:
@@ -137,16 +139,27 @@ def issues(*cases: tuple[Column, str]) -> Column:
     return F.array_compact(F.array(*(F.when(when, F.lit(text)) for when, text in cases)))
 
 
+def let(c: Column, f) -> Column:
+    """f of a value that is computed once, however often f's text names it."""
+    return F.transform(F.array(c), lambda v: f(v))[0]
+
+
 def erfc_p(z: Column) -> Column:
-    """The two-sided normal p-value erfc(|z| / sqrt 2): a series below 2.5 and a continued fraction above, to about 1e-13."""
-    x = F.abs(z) / F.lit(2.0**0.5)
-    term, total = x, x
-    for n in range(1, 46):
-        term = term * (-(x * x)) / float(n)
-        total = total + term / float(2 * n + 1)
-    series = 1.0 - total * (2.0 / 3.141592653589793**0.5)
-    f = x
-    for k in range(60, 0, -1):
-        f = x + (k / 2.0) / f
-    tail = F.exp(-(x * x)) / (f * (3.141592653589793**0.5))
-    return F.when(x < 2.0, series).otherwise(tail)
+    """The two-sided normal p-value erfc(|z| / sqrt 2): a series below 2 and a continued fraction above, to about 1e-13."""
+
+    def of(x: Column) -> Column:
+        return F.when(x < 2.0, 1.0 - x * let(x * x, series) * (2.0 / math.pi**0.5)).otherwise(F.exp(-(x * x)) / (fraction(x) * math.pi**0.5))
+
+    def series(square: Column) -> Column:
+        out = F.lit(0.0)
+        for n in range(45, -1, -1):
+            out = out * square + F.lit((-1.0) ** n / (math.factorial(n) * (2 * n + 1)))
+        return out
+
+    def fraction(x: Column) -> Column:
+        out = x
+        for k in range(60, 0, -1):
+            out = x + (k / 2.0) / out
+        return out
+
+    return let(F.abs(z) / F.lit(2.0**0.5), of)

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import let
+
 #: Polygons are edge tables (polygon, company, x1, y1, x2, y2); rings of holes are edges like others.
 
 
@@ -131,34 +133,55 @@ SCALE, LAT0, LON0, E0, N0 = 0.9996012717, math.radians(49), math.radians(-2), 40
 SHIFT, TURN, STRETCH = (446.448, -125.157, 542.060), tuple(math.radians(s / 3600) for s in (0.1502, 0.2470, 0.8421)), -20.4894e-6
 
 
-def to_degrees(e: Column, n: Column) -> tuple[Column, Column]:
-    """(latitude, longitude) of national-grid coordinates: the inverse projection's series, then the shift; good to some metres."""
+def _arc(lat: Column) -> Column:
     a, b = AIRY
-    e2, t = 1 - (b / a) ** 2, (a - b) / (a + b)
+    t = (a - b) / (a + b)
+    d, s = lat - LAT0, lat + LAT0
+    return b * SCALE * ((1 + t + 1.25 * t**2 + 1.25 * t**3) * d - (3 * t + 3 * t**2 + 2.625 * t**3) * F.sin(d) * F.cos(s) + (1.875 * t**2 + 1.875 * t**3) * F.sin(2 * d) * F.cos(2 * s) - 35 / 24 * t**3 * F.sin(3 * d) * F.cos(3 * s))
+
+
+def _repeat(start: Column, step, times: int = 5) -> Column:
+    return F.aggregate(F.sequence(F.lit(1), F.lit(times)), start, lambda v, _: step(v))
 
-    def arc(lat: Column) -> Column:
-        d, s = lat - LAT0, lat + LAT0
-        return b * SCALE * ((1 + t + 1.25 * t**2 + 1.25 * t**3) * d - (3 * t + 3 * t**2 + 2.625 * t**3) * F.sin(d) * F.cos(s) + (1.875 * t**2 + 1.875 * t**3) * F.sin(2 * d) * F.cos(2 * s) - 35 / 24 * t**3 * F.sin(3 * d) * F.cos(3 * s))
 
-    lat = (n - N0) / (a * SCALE) + LAT0
-    for _ in range(4):
-        lat = lat + (n - N0 - arc(lat)) / (a * SCALE)
-    s2 = F.sin(lat) ** 2
+def _unprojected(lat: Column, d: Column) -> Column:
+    """Latitude and longitude on the grid's own ellipsoid, d metres east of the central meridian at the foot latitude."""
+    a, b = AIRY
+    e2 = 1 - (b / a) ** 2
+    s2 = F.pow(F.sin(lat), 2)
     nu, rho = a * SCALE / F.sqrt(1 - e2 * s2), a * SCALE * (1 - e2) / F.pow(1 - e2 * s2, 1.5)
-    eta, tan, sec = nu / rho - 1, F.tan(lat), 1 / F.cos(lat)
-    d = e - E0
-    phi = lat - tan / (2 * rho * nu) * d**2 + tan / (24 * rho * nu**3) * (5 + 3 * tan**2 + eta - 9 * tan**2 * eta) * d**4 - tan / (720 * rho * nu**5) * (61 + 90 * tan**2 + 45 * tan**4) * d**6
-    lam = LON0 + sec / nu * d - sec / (6 * nu**3) * (nu / rho + 2 * tan**2) * d**3 + sec / (120 * nu**5) * (5 + 28 * tan**2 + 24 * tan**4) * d**5
-    v = a / F.sqrt(1 - e2 * F.sin(phi) ** 2)
+    q, tan, sec = nu / rho, F.tan(lat), 1 / F.cos(lat)
+    p = F.pow
+    phi = lat - tan / (2 * rho * nu) * p(d, 2) + tan / (24 * rho * p(nu, 3)) * (4 + 3 * p(tan, 2) + q - 9 * p(tan, 2) * (q - 1)) * p(d, 4) - tan / (720 * rho * p(nu, 5)) * (61 + 90 * p(tan, 2) + 45 * p(tan, 4)) * p(d, 6)
+    lam = LON0 + sec / nu * d - sec / (6 * p(nu, 3)) * (q + 2 * p(tan, 2)) * p(d, 3) + sec / (120 * p(nu, 5)) * (5 + 28 * p(tan, 2) + 24 * p(tan, 4)) * p(d, 5)
+    return F.struct(phi.alias("phi"), lam.alias("lam"))
+
+
+def _shifted(g: Column) -> Column:
+    """World-frame latitude and longitude in radians of a struct (phi, lam)."""
+    a, b = AIRY
+    e2 = 1 - (b / a) ** 2
+    phi, lam = g["phi"], g["lam"]
+    v = a / F.sqrt(1 - e2 * F.pow(F.sin(phi), 2))
     x, y, z = v * F.cos(phi) * F.cos(lam), v * F.cos(phi) * F.sin(lam), (1 - e2) * v * F.sin(phi)
     (tx, ty, tz), (rx, ry, rz), k = SHIFT, TURN, 1 + STRETCH
-    x, y, z = tx + k * x - rz * y + ry * z, ty + rz * x + k * y - rx * z, tz - ry * x + rx * y + k * z
-    a, b = WORLD
-    e2, p = 1 - (b / a) ** 2, F.hypot(x, y)
-    out = F.atan2(z, p * (1 - e2))
-    for _ in range(4):
-        out = F.atan2(z + e2 * a / F.sqrt(1 - e2 * F.sin(out) ** 2) * F.sin(out), p)
-    return F.degrees(out), F.degrees(F.atan2(y, x))
+    moved = F.struct((tx + k * x - rz * y + ry * z).alias("x"), (ty + rz * x + k * y - rx * z).alias("y"), (tz - ry * x + rx * y + k * z).alias("z"))
+    wa, wb = WORLD
+    we2 = 1 - (wb / wa) ** 2
+
+    def angles(m: Column) -> Column:
+        p = F.hypot(m["x"], m["y"])
+        lat = _repeat(F.atan2(m["z"], p * (1 - we2)), lambda t: F.atan2(m["z"] + we2 * wa / F.sqrt(1 - we2 * F.pow(F.sin(t), 2)) * F.sin(t), p))
+        return F.struct(lat.alias("lat"), F.atan2(m["y"], m["x"]).alias("lon"))
+
+    return let(moved, angles)
+
+
+def to_degrees(e: Column, n: Column) -> Column:
+    """A struct (lat, lon) in degrees of national-grid coordinates: the inverse projection's series, then the shift; good to some metres."""
+    foot = _repeat((n - N0) / (AIRY[0] * SCALE) + LAT0, lambda t: t + (n - N0 - _arc(t)) / (AIRY[0] * SCALE))
+    world = let(let(foot, lambda t: _unprojected(t, e - E0)), _shifted)
+    return let(world, lambda w: F.struct(F.degrees(w["lat"]).alias("lat"), F.degrees(w["lon"]).alias("lon")))
 
 
 def complete_linkage(x: np.ndarray, limit: float) -> np.ndarray:

@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from .registry import ORACLES, QUERIES
+from . import q_entities, q_events, q_space, q_statistics  # noqa: F401  they register their queries
+from .q_events import flagship
 
-
-def flagship(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("event_type").count()
+__all__ = ["ORACLES", "QUERIES", "flagship"]
