@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import re
+import json
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,19 +16,43 @@ from .common import Scratch, table
 LENGTH, OPEN_BINS, END_ID = 2048, 4096, 0
 #: Pieces that one packing task takes, some 2 MB.
 PIECES_A_TASK = 65_536
-#: Distinct units whose ids a task remembers.
+#: Distinct words whose ids a worker remembers before its older ones go.
 REMEMBERED = 400_000
+#: Characters of text that are cut and looked up together.
+TOGETHER = 1 << 20
 
-_SPACE = " \t\n\r\x0b\x0c"
-#: The units into which the byte-level pattern cuts at ASCII white space whatever stands beside them: a word with the
-#: one space before it, a run of white space without its last character, or that character.
-UNIT = re.compile(f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]")
-#: Other white space joins runs across units, so texts that hold it are encoded whole.
-WHOLE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]|<\\|endoftext\\|>")
+#: Where none of these stands in a text, the byte-level pattern cuts it before every space and around every newline,
+#: whatever stands beside them, so words can be encoded one by one. Other texts are encoded whole.
+JOINED = ("  ", " \n", "\n ", "\n\n", "\t", "\r", "\x0b", "\x0c", "\x85", "\xa0", "\u1680", *map(chr, range(0x2000, 0x200B)), "\u2028", "\u2029", "\u202f", "\u205f", "\u3000", "<|endoftext|>")
 
 
-class Ids(dict):
-    """unit -> its ids as little-endian uint32 bytes, through the tokenizer where a unit is new."""
+#: How byte-level vocabularies cut a text (fixed value).
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: So many words of each task are encoded by both encoders; any difference turns the fast one off.
+COMPARED = 500
+
+
+def fast_encoder(path: str):
+    """tiktoken over the vocabulary of a tokenizer file whose merges stand in the order of their ids, as byte-level vocabularies do; None for any other."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    model, before = spec["model"], spec.get("pre_tokenizer") or {}
+    plain = model.get("type") == "BPE" and before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True) and not spec.get("normalizer") and not model.get("dropout") and not model.get("ignore_merges")
+    merged = [model["vocab"].get("".join(m if isinstance(m, list) else m.split(" ")), -1) for m in model.get("merges", [])]
+    if not plain or merged != sorted(merged) or -1 in merged:
+        return None
+    import tiktoken
+
+    # printable Latin-1 stands for its own byte, the other bytes for the characters from 256 on
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    byte = {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in own)}
+    special = {t["content"] for t in spec.get("added_tokens", [])}
+    ranks = {bytes(byte[c] for c in t): i for t, i in model["vocab"].items() if t not in special}
+    return tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+
+class Ids:
+    """Texts -> ids as little-endian uint32 bytes: each distinct word is encoded once."""
 
     def __init__(self, path: str):
         import os
@@ -35,19 +60,55 @@ class Ids(dict):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-
-    def __missing__(self, unit: str) -> bytes:
-        got = self[unit] = np.array(self.tokenizer.encode(unit, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        return got
-
-    def of(self, text: str) -> bytes:
-        if WHOLE.search(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        if len(self) > REMEMBERED:
-            self.clear()
-        return b"".join(map(self.__getitem__, UNIT.findall(text)))
+        self.fast = fast_encoder(path)
+        #: A word -> the ids of a space and the word; a newline and a word -> the ids of the word alone.
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.newline = self.encode(["\n"])[0]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode_words(self, words: list[str]) -> list[bytes]:
+        if self.fast is None:
+            return self.encode(words)
+        out = [array("I", self.fast(w)).tobytes() for w in words]
+        if out[:COMPARED] != self.encode(words[:COMPARED]):
+            self.fast = None
+            return self.encode(words)
+        return out
+
+    def _learn(self, words: set[str]) -> dict[str, bytes]:
+        if len(self.known) > REMEMBERED:
+            self.known, self.older = {}, self.known
+        new = words.difference(self.known)
+        for w in new.intersection(self.older):
+            self.known[w] = self.older[w]
+        new = list(new.difference(self.older))
+        self.known.update(zip(new, self.encode_words([w[1:] if w[:1] == "\n" else " " + w for w in new]), strict=True))
+        return self.known
+
+    def of(self, texts: list[str]) -> list[bytes]:
+        cut = [None if any(j in t for j in JOINED) else [line.split(" ") for line in t.split("\n")] for t in texts]
+        words: set[str] = set()
+        for lines in cut:
+            for line in lines or ():
+                line[0] = "\n" + line[0]
+                words.update(line)
+        get = self._learn(words).__getitem__
+        whole = iter(self.encode([t for t, lines in zip(texts, cut, strict=True) if lines is None]))
+        return [next(whole) if lines is None else self.newline.join([b"".join(map(get, line)) for line in lines]) for lines in cut]
+
+
+_ids: dict[str, Ids] = {}
+
+
+def ids_for(path: str) -> Ids:
+    """The worker's own, kept between its tasks."""
+    if path not in _ids:
+        _ids[path] = Ids(path)
+    return _ids[path]
 
 
 class BestFit:
@@ -97,18 +158,31 @@ def tokenized(docs: DataFrame, tokenizer: str, length: int = LENGTH, keep_ids: b
     def cut(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        ids_of = Ids(tokenizer)
-        end = np.array([END_ID], dtype="<u4").tobytes()
-        for batch in batches:
+        ids_of = ids_for(tokenizer)
+        end = array("I", [END_ID]).tobytes()
+        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
+        names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 5 + keep_ids]
+
+        def rows(doc_ids: list, texts: list[str]):
             out: list[tuple] = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                raw = ids_of.of(text.as_py() or "") + end
+            for doc_id, raw in zip(doc_ids, ids_of.of(texts), strict=True):
+                raw += end
                 for k, (start, n) in enumerate(pieces(len(raw) // 4, length)):
                     part = raw[4 * start : 4 * (start + n)]
                     out.append((doc_id, k, start, n, zlib.crc32(part), *((np.frombuffer(part, "<u4").astype(np.int32),) if keep_ids else ())))
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
-            for k in range(0, len(out), 5000):
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[k : k + 5000], strict=True), kinds, strict=False)], names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 5 + keep_ids])
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=False)], names=names)
+
+        for batch in batches:
+            doc_ids, texts, size = [], [], 0
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                texts.append(text.as_py() or "")
+                doc_ids.append(doc_id)
+                size += len(texts[-1])
+                if size >= TOGETHER:
+                    yield rows(doc_ids, texts)
+                    doc_ids, texts, size = [], [], 0
+            if texts:
+                yield rows(doc_ids, texts)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids)
 

@@ -15,13 +15,22 @@ def whole(tok, text):
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet=st.sampled_from(list("ab 'st\n\t\r1.é!\xa0 \u0085Z#\x1c")), max_size=40))
 def test_units_give_the_tokenizers_ids(text):
-    ids = IDS.of(text)
+    [_, ids, _] = IDS.of(["it's a\ntext", text, ""])
     assert list(np.frombuffer(ids, "<u4")) == IDS.tokenizer.encode(text, add_special_tokens=False).ids
 
 
 IDS = Ids(tokenizer_path())
 
 
+def test_fast_encoder_gives_the_tokenizers_ids():
+    import pyarrow.parquet as pq
+
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].to_pylist()
+    words = sorted({" " + w for t in texts for w in t.split()} | {w for t in texts[:200] for w in t.split()})
+    assert IDS.fast is not None and len(words) > 50_000
+    assert [IDS.fast(w) for w in words] == [e.ids for e in IDS.tokenizer.encode_batch(words, add_special_tokens=False)]
+
+
 def test_pieces():
     assert pieces(1, 4) == [(0, 1)] and pieces(4, 4) == [(0, 4)] and pieces(9, 4) == [(0, 1), (1, 4), (5, 4)] and pieces(8, 4) == [(0, 4), (4, 4)]
 
