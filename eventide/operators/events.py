@@ -93,9 +93,9 @@ def statistics(events: DataFrame, *by: str, threshold: float = THRESHOLD) -> Dat
 
 def modal(frame: DataFrame, by: list[str], value: str) -> DataFrame:
     """The most frequent value of each group, ties to the first by alphabet, and how many values there are."""
-    counts = frame.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n"))
-    best = F.min(F.struct((-F.col("n")).alias("n"), F.col(value).alias("v")))
-    return counts.groupBy(*by).agg(best["v"].alias(value), F.count("*").alias("n_values"), F.sum("n").alias("n_rows"))
+    counts = frame.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("__n"))
+    best = F.min(F.struct((-F.col("__n")).alias("n"), F.col(value).alias("v")))
+    return counts.groupBy(*by).agg(best["v"].alias(value), F.count("*").alias("n_values"), F.sum("__n").alias("n_rows"))
 
 
 def first_of(frame: DataFrame, by: list[str], *order: str) -> DataFrame:

@@ -105,8 +105,9 @@ def fits(events: DataFrame, threshold: float = 240.0, replicates: int = 0, seed:
     schema = FIT + (BOOTSTRAP if replicates else "")
     names = [c.split()[0] for c in schema.split(", ")]
 
-    def kernel(key, part: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([_one(*key, part["duration_minutes"].to_numpy(float), threshold, replicates, seed)]).reindex(columns=names)
+    def kernel(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        row = _one(*key, part["duration_minutes"].to_numpy(float), threshold, replicates, seed)
+        return pd.DataFrame({n: pd.Series([row.get(n)], dtype=object) for n in names})
 
     some = keyed.where(tail(F.col("duration_minutes"), threshold)).groupBy("company", "permit_number").applyInPandas(kernel, schema)
     none = keyed.groupBy("company", "permit_number").agg(F.count_if(tail(F.col("duration_minutes"), threshold)).alias("n")).where("n = 0")
