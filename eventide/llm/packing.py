@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, table
 
-LENGTH, OPEN_BINS, END_ID = 2048, 4096, 0
+LENGTH, OPEN_BINS, END_ID = 2048, 65_536, 0
 #: Pieces that one packing task takes, some 2 MB.
 PIECES_A_TASK = 65_536
 #: Distinct words whose ids a worker remembers before its older ones go.
@@ -192,9 +192,9 @@ def packed(docs: DataFrame, tokenizer: str, length: int = LENGTH, open_bins: int
 
     A document is its tokens and an end token; a null or empty text is the end token alone. Documents over `length`
     tokens are cut into pieces of `length`, the first perhaps shorter. The pieces are written once, dealt evenly over
-    tasks of about 65,536 pieces and packed there in the order of (doc_id, piece, ...) by online best fit with
-    `open_bins` open bins, so memory doesn't grow with the input, and a lost task repeats exactly. Bins left open at the
-    end of a task are the price of packing in parallel: at most `open_bins` partly filled sequences a task. Rows that
+    tasks of about 65,536 pieces and fed there, the longest first, to an online best fit with `open_bins` open bins, so
+    memory doesn't grow with the input, and a lost task repeats exactly. Bins left open at the
+    end of a task are the price of packing in parallel. Rows that
     repeat, ties and null ids are packed row by row; an empty table gives no rows.
     """
     spark = docs.sparkSession
@@ -213,7 +213,7 @@ def packed(docs: DataFrame, tokenizer: str, length: int = LENGTH, open_bins: int
             placed = [fit.place(n) for n in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([first + b for b, _ in placed], pa.int64()), pa.array([o for _, o in placed], pa.int64())], names=[*names, "sequence_id", "offset"])
 
-    dealt = cut.repartition(tasks).sortWithinPartitions("doc_id", "piece", "start", "length", "ids_crc32")
+    dealt = cut.repartition(tasks).sortWithinPartitions(F.desc("length"), "doc_id", "piece", "start", "ids_crc32")
     schema = ", ".join(f"{n} {t}" for n, t in cut.dtypes) + ", sequence_id long, offset long"
     return dealt.mapInArrow(pack, schema)
 
