@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch
@@ -38,8 +38,15 @@ def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
     return scratch.write(labels)
 
 
+def near_labels(edges: DataFrame) -> DataFrame:
+    """(id, label): the smallest id within two links. Ids of one label are connected, so stars get one label at the cost of two pre-aggregated minima."""
+    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("b"), F.least("a", "m").alias("m"))
+    return both.join(least, "b").groupBy(F.col("a").alias("id")).agg(F.min("m").alias("label"))
+
+
 #: Each round compares so many times as many hubs of a bucket as the one before.
-WIDEN = 8
+WIDEN = 32
 
 
 def _hubs(live: DataFrame, width: int) -> DataFrame:
@@ -50,25 +57,25 @@ def _hubs(live: DataFrame, width: int) -> DataFrame:
     return live.withColumn("place", F.row_number().over(order)).where(F.col("place") <= width).select("key", F.col("id").alias("hub"))
 
 
-def link_rounds(scratch: Scratch, members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame | None:
+def link_rounds(scratch: Scratch, members: DataFrame, verify: Callable[[DataFrame], DataFrame], able: Callable[[Column, Column], Column] | None = None) -> DataFrame | None:
     """Labels of the components that links within buckets make, without listing all pairs of a bucket.
 
-    members: (key, id, deg), a written table of the buckets of two or more ids, the likeliest hubs with the largest deg.
-    verify: pairs (a, b), a < b -> the linked ones. Round r compares the 8**r foremost members of each bucket with all
-    its members of other components; those hubs then leave. A bucket is done when its members lie in one component. So
-    every pair of a bucket is compared or already connected: nothing is lost, a group of copies costs about as many
-    comparisons as members, and the rounds grow with the logarithm of the largest bucket. Returns (id, label), or None
-    without links.
+    members: (key, id, deg, about), a written table of the buckets of two or more ids, the likeliest hubs with the
+    largest deg. able: of two members' `about`, whether they may link; tested as pairs are joined. verify: pairs (a, b),
+    a < b -> the linked ones. Round r compares the WIDEN**r foremost members of each bucket with all its members of other
+    labels, which the links so far give (ids of one label are connected); those hubs then leave. A bucket is done when
+    its members share a label. So every pair of a bucket that may link is compared or already connected: nothing is
+    lost, a group of copies costs about as many comparisons as members,
+    and the rounds grow with the logarithm of the largest bucket. Returns (id, label), or None without links.
     """
-    live, labels, edges, failed, width = members, None, None, None, 1
+    live, labels, edges, failed, width = members.withColumn("label", F.col("id")), None, None, None, 1
     while not live.isEmpty():
         hubs = _hubs(live, width)
-        if labels is not None:
-            hubs = scratch.write(hubs)
-            near = hubs.join(live.select("key", F.col("id").alias("hub"), F.col("label").alias("hub_label")), ["key", "hub"])
-            pairs = live.join(near, "key").where("label <> hub_label")
-        else:
-            pairs = live.join(hubs, "key").where("id <> hub")
+        hubs = scratch.write(hubs) if width > 1 else hubs
+        near = live.select("key", F.col("id").alias("hub"), F.col("label").alias("hub_label"), F.col("about").alias("hub_about")).join(hubs, ["key", "hub"], "left_semi").withColumnRenamed("key", "hub_key")
+        may = able(F.col("about"), F.col("hub_about")) if able else F.lit(True)
+        own = live.select("key", "id", "label", "about")
+        pairs = own.join(near, (F.col("key") == F.col("hub_key")) & (F.col("label") != F.col("hub_label")) & may)
         pairs = pairs.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
         if failed is not None:
             pairs = pairs.join(failed, ["a", "b"], "left_anti")
@@ -78,10 +85,10 @@ def link_rounds(scratch: Scratch, members: DataFrame, verify: Callable[[DataFram
         failed = missed if failed is None else failed.union(missed)
         if not linked.isEmpty():
             edges = linked if edges is None else edges.union(linked)
-            labels = components(scratch, edges)
-        live = live.select("key", "id", "deg").join(hubs.select("key", F.col("hub").alias("id")), ["key", "id"], "left_anti")
-        live = live.join(labels, "id", "left").select("key", "id", "deg", F.coalesce("label", "id").alias("label")) if labels is not None else live.withColumn("label", F.col("id"))
+            labels = scratch.write(near_labels(edges))
+        live = live.select("key", "id", "deg", "about").join(hubs.select("key", F.col("hub").alias("id")), ["key", "id"], "left_anti")
+        live = live.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id")) if labels is not None else live.withColumn("label", F.col("id"))
         open_keys = live.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-        live = scratch.write(live.join(open_keys, "key", "left_semi"))
+        live = scratch.write(live.select("key", "id", "deg", "about", "label").join(open_keys, "key", "left_semi"))
         width *= WIDEN
-    return labels
+    return None if edges is None else components(scratch, edges)
