@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from .common import BASE, SHINGLE, Scratch, hash_words, mix, partitions, table, text_slices
-from .graph import _hubs
+from .graph import WIDEN, _hubs
 
 WIDTH, MIN_WORDS = 5, 5
 #: Buckets of the token counts that order tokens by rarity: a fixed 2 MB, whatever the input.
@@ -165,9 +165,8 @@ def later_matches(scratch: Scratch, slim: DataFrame, places: DataFrame, firsts:
     if members.isEmpty():
         return None
     degree = members.groupBy("id").agg(F.sum("c").alias("deg"))
-    candidates = degree.join(firsts, F.col("id") == F.col("cls")).select("id", "deg", "first")
-    members = scratch.write(members.drop("c").join(candidates, "id"))
-    wanted = scratch.write(candidates.select(F.col("first.doc_id").alias("doc_id")).distinct())
+    candidates = scratch.write(degree.join(firsts, F.col("id") == F.col("cls")).select("id", "deg", "first"))
+    wanted = candidates.select(F.col("first.doc_id").alias("doc_id")).distinct()
     chosen = _join_on_ids(slim, wanted, "doc_id")
 
     def sets_of(batches: Iterator) -> Iterator:
@@ -176,14 +175,22 @@ def later_matches(scratch: Scratch, slim: DataFrame, places: DataFrame, firsts:
         for batch in batches:
             for _, lines in lines_of(batch):
                 tokens = [lines.token[a:b].tobytes() for a, b in zip(lines.at, lines.at[1:], strict=False)]
-                yield pa.RecordBatch.from_arrays([pa.array(lines.cls), pa.array(tokens, pa.binary())], names=["id", "tokens"])
+                bits = bitmaps(lines)
+                yield pa.RecordBatch.from_arrays([pa.array(lines.cls), pa.array(tokens, pa.binary()), pa.FixedSizeListArray.from_arrays(pa.array(bits.ravel()), 4).cast(pa.list_(pa.int64()))], names=["id", "tokens", "bits"])
 
-    ids = scratch.write(members.select("id").distinct())
-    sets = scratch.write(_join_on_ids(chosen.mapInArrow(sets_of, "id long, tokens binary"), ids, "id").groupBy("id").agg(F.first("tokens").alias("tokens")))
+    made = _join_on_ids(chosen.mapInArrow(sets_of, "id long, tokens binary, bits array<long>"), candidates.select("id"), "id")
+    sets = scratch.write(made.groupBy("id").agg(F.first("tokens").alias("tokens"), F.first("bits").alias("bits")))
+    about = candidates.join(sets.select("id", "bits"), "id")
+    written = members
+    members = scratch.write(members.drop("c").join(about, "id"))
+    scratch.drop(written)
 
     def verify(pairs: DataFrame) -> DataFrame:
-        left = pairs.join(sets.select(F.col("id").alias("early"), F.col("tokens").alias("s")), "early")
-        both = left.join(sets.select(F.col("id").alias("late"), F.col("tokens").alias("t")), "late")
+        # only the sets of the pairs' lines travel
+        ids = scratch.write(pairs.select(F.explode(F.array("early", "late")).alias("id")).distinct())
+        own = _join_on_ids(sets.select("id", "tokens"), ids, "id")
+        left = pairs.join(own.select(F.col("id").alias("early"), F.col("tokens").alias("s")), "early")
+        both = left.join(own.select(F.col("id").alias("late"), F.col("tokens").alias("t")), "late")
         return both.select("early", "late", "s", "t").mapInArrow(_confirmed, "early long, late long")
 
     return match_rounds(scratch, members, verify)
@@ -192,6 +199,23 @@ def later_matches(scratch: Scratch, slim: DataFrame, places: DataFrame, firsts:
 RECORD = np.dtype([("token", "<u8"), ("cls", "<i8"), ("n", "<i4"), ("place", "<i4")])
 
 
+def bitmaps(lines: Lines) -> np.ndarray:
+    """For each line 256 bits, each the parity of the tokens that hash to it."""
+    out = np.zeros((len(lines.cls), 4), np.uint64)
+    spread = mix(lines.token + BASE)
+    row = np.repeat(np.arange(len(lines.cls)), lines.size)
+    np.bitwise_xor.at(out, (row, (spread & np.uint64(3)).astype(np.int64)), np.uint64(1) << (spread >> np.uint64(58)))
+    return out.view(np.int64)
+
+
+def most_common(n: Column, m: Column, a: Column, b: Column) -> Column:
+    """An upper bound of the tokens that two sets of n and m share: every differing parity stands for a token of one alone."""
+    differ = F.bit_count(a[0].bitwiseXOR(b[0]))
+    for k in range(1, 4):
+        differ = differ + F.bit_count(a[k].bitwiseXOR(b[k]))
+    return (n + m - differ) / 2
+
+
 def _confirmed(batches: Iterator) -> Iterator:
     import pyarrow as pa
 
@@ -208,20 +232,21 @@ def _confirmed(batches: Iterator) -> Iterator:
 def match_rounds(scratch: Scratch, members: DataFrame, verify) -> DataFrame | None:
     """The ids that match an earlier one, by rounds of hubs as in graph.link_rounds.
 
-    members: (key, id, n, place, deg, first). A hub is compared with every other member of its bucket as long as the
+    members: (key, id, n, place, deg, first, bits). A hub is compared with every other member of its bucket as long as the
     later one of the two isn't removed yet; then it leaves the bucket. So a pair is skipped only where it can't change
-    the result, and a bucket is done when all but its earliest member are removed. The length and positional filters
-    drop pairs that can't reach the similarity: a bucket's token is the first common one for some bucket of each pair.
+    the result, and a bucket is done when all but its earliest member are removed. The length and positional filters and
+    a bound by bitmaps drop pairs that can't reach the similarity, and no others: a bucket's token is the first common
+    one for some bucket of each pair.
     """
     live, removed, failed, width = members, None, None, 1
     while not live.isEmpty():
         hubs = scratch.write(_hubs(live, width)) if width > 1 else _hubs(live, width)
         gone = F.col("gone") if removed is not None else F.lit(False)
-        side = live.withColumn("gone", gone).select("key", "id", "n", "place", "first", "gone")
-        hub = side.select("key", *(F.col(c).alias(f"hub_{c}") for c in ("id", "n", "place", "first", "gone"))).join(hubs.withColumnRenamed("hub", "hub_id"), ["key", "hub_id"], "left_semi")
+        side = live.withColumn("gone", gone).select("key", "id", "n", "place", "first", "bits", "gone")
+        hub = side.select("key", *(F.col(c).alias(f"hub_{c}") for c in ("id", "n", "place", "first", "bits", "gone"))).join(hubs.withColumnRenamed("hub", "hub_id"), ["key", "hub_id"], "left_semi")
         pairs = side.join(hub, "key").where("id <> hub_id")
         later = F.when(F.col("first") > F.col("hub_first"), ~F.col("gone")).when(F.col("first") < F.col("hub_first"), ~F.col("hub_gone")).otherwise(False)
-        common = F.least(F.col("n") - F.col("place"), F.col("hub_n") - F.col("hub_place"))
+        common = F.least(F.col("n") - F.col("place"), F.col("hub_n") - F.col("hub_place"), most_common(F.col("n"), F.col("hub_n"), F.col("bits"), F.col("hub_bits")))
         able = (4 * F.least("n", "hub_n") >= 3 * F.greatest("n", "hub_n")) & (7 * common >= 3 * (F.col("n") + F.col("hub_n")))
         swap = F.col("first") > F.col("hub_first")
         pairs = pairs.where(later & able).select(F.when(swap, F.col("hub_id")).otherwise(F.col("id")).alias("early"), F.when(swap, F.col("id")).otherwise(F.col("hub_id")).alias("late")).distinct()
@@ -234,10 +259,10 @@ def match_rounds(scratch: Scratch, members: DataFrame, verify) -> DataFrame | No
         late = linked.select(F.col("late").alias("id")).distinct()
         removed = late if removed is None else removed.union(late).distinct()
         live = live.drop("gone").join(hubs.select("key", F.col("hub").alias("id")), ["key", "id"], "left_anti")
-        live = live.join(removed.withColumn("gone", F.lit(True)), "id", "left").withColumn("gone", F.coalesce("gone", F.lit(False))).select("key", "id", "n", "place", "deg", "first", "gone")
+        live = live.join(removed.withColumn("gone", F.lit(True)), "id", "left").withColumn("gone", F.coalesce("gone", F.lit(False))).select("key", "id", "n", "place", "deg", "first", "bits", "gone")
         open_keys = live.groupBy("key").agg(F.min("first").alias("lo"), F.max(F.when(~F.col("gone"), F.col("first"))).alias("hi")).where("lo < hi").select("key")
         live = scratch.write(live.join(open_keys, "key", "left_semi"))
-        width *= 8
+        width *= WIDEN
     return scratch.write(removed)
 
 
@@ -249,7 +274,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     similarity of 3/4 or more (64-bit hashes stand for tokens); of rows with one doc_id the lines at one number are at
     one place, and neither is later. Rows without doc_id, and null or empty texts, lose and match nothing. Lines of
     equal sets collapse first. Then each distinct line's tokens are ordered by rarity, its prefix is dealt to token
-    groups in packed form, and candidates pass length and positional filters before sets are compared.
+    groups in packed form, and candidates pass length, positional and bitmap filters before sets are compared.
     """
     spark: SparkSession = docs.sparkSession
     scratch = Scratch(spark, "lines")
