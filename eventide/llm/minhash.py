@@ -40,26 +40,25 @@ def bands(signature: np.ndarray) -> np.ndarray:
     return mix((rows * _BAND).sum(axis=1, dtype=np.uint64) + np.arange(len(rows), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
 
 
-#: Of the 128 values, so many may differ in their low 4 bits before a pair is held to be under the similarity: at 0.75
-#: 30 are expected with a deviation of 4.8, so 2 pairs in a million are lost; at 0.5 60 are, and 1 pair in 13 passes.
-MISMATCHES = 52
+#: Longs of the bitmap that bounds an overlap before sets are fetched.
+BITMAP = 16
 
 
-def sketch(signature: np.ndarray) -> np.ndarray:
-    """The low 4 bits of each value, in 8 longs."""
-    nibbles = (signature & np.uint32(15)).astype(np.uint8)
-    return (nibbles[0::2] | nibbles[1::2] << 4).view(np.int64)
+def about(shingles: np.ndarray) -> np.ndarray:
+    """The size of a set, and 1,024 bits, each the parity of the shingles that hash to it."""
+    out = np.zeros(1 + BITMAP, np.uint64)
+    out[0] = len(shingles)
+    spread = mix(shingles + np.uint64(0x9E3779B97F4A7C15))
+    np.bitwise_xor.at(out, 1 + (spread % np.uint64(BITMAP)).astype(np.int64), np.uint64(1) << (spread >> np.uint64(58)))
+    return out.view(np.int64)
 
 
-def sketches_agree(a: Column, b: Column) -> Column:
-    """Whether two sketches (array<long>) may belong to similar sets; counted in the JVM by bit operations."""
-    out = F.lit(0)
-    for k in range(8):
-        x = a[k].bitwiseXOR(b[k])
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseAND(F.lit(0x1111111111111111))
-        out = out + F.bit_count(x)
-    return out <= MISMATCHES
+def may_link(a: Column, b: Column) -> Column:
+    """Whether two sets can reach 100 * intersection >= 75 * union: every differing parity stands for a shingle of one of them alone, so no pair that does is lost. An id of several sets has no bitmap, and may link with any."""
+    differ = F.lit(0)
+    for k in range(1, 1 + BITMAP):
+        differ = differ + F.bit_count(a[k].bitwiseXOR(b[k]))
+    return F.coalesce(7 * differ <= a[0] + b[0], F.lit(True))
 
 
 def _signatures(batches: Iterator) -> Iterator:
@@ -73,13 +72,11 @@ def _signatures(batches: Iterator) -> Iterator:
             n = len(sets)
             keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
             some = np.array([len(s) > 0 for s in sets])
-            signatures = [minmax_signature(s) for s in sets if len(s)]
 
-            def lists(of, width: int):
-                flat = np.concatenate([of(s) for s in signatures] or [np.zeros(0, np.int64)])
-                return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(some * width)]).astype(np.int32)), pa.array(flat))
+            def lists(values: list[np.ndarray], width: int):
+                return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(some * width)]).astype(np.int32)), pa.array(np.concatenate(values or [np.zeros(0, np.int64)])))
 
-            yield pa.RecordBatch.from_arrays([ids.slice(row, n), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), lists(bands, 2 * PERMUTATIONS // ROWS), lists(sketch, 8)], names=["doc_id", "n_shingles", "cls", "bands", "sketch"])
+            yield pa.RecordBatch.from_arrays([ids.slice(row, n), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), lists([bands(minmax_signature(s)) for s in sets if len(s)], 2 * PERMUTATIONS // ROWS), lists([about(s) for s in sets if len(s)], 1 + BITMAP)], names=["doc_id", "n_shingles", "cls", "bands", "about"])
 
 
 def _sets(batches: Iterator) -> Iterator:
@@ -114,20 +111,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     the whole sequence where it has fewer words. Documents with 100 * intersection >= 75 * union link; component_id is
     the smallest doc_id that links reach. Null, empty and blank texts have an empty set and link with nothing. Documents
     with equal sets (exact copies among them) collapse to one class before the bands are shuffled, so a group of copies
-    costs one signature row; the classes of a band's bucket whose signatures agree are compared by hub rounds (see
+    costs one signature row; the classes of a band's bucket whose bitmaps leave a link possible are compared by hub rounds (see
     graph.link_rounds), each link confirmed on full sets. Rows with one doc_id are one vertex, whatever their texts, and each is answered. A null doc_id is answered with a
     null component unless its copies have ids. An empty table gives an empty result.
     """
     spark: SparkSession = docs.sparkSession
     scratch = Scratch(spark, "minhash")
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = scratch.write(slim.mapInArrow(_signatures, "doc_id long, n_shingles long, cls binary, bands array<long>, sketch array<long>"))
-    reps = scratch.write(signed.where("n_shingles > 0 and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("about")))
+    signed = scratch.write(slim.mapInArrow(_signatures, "doc_id long, n_shingles long, cls binary, bands array<long>, about array<long>"))
+    reps = scratch.write(signed.where("n_shingles > 0 and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("about").alias("about")))
     keys = reps.select(F.explode("bands").alias("key"), F.col("rep").alias("id"))
     shared = keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
     members = scratch.write(keys.join(shared, "key"))
-    about = reps.groupBy(F.col("rep").alias("id")).agg(F.first("about").alias("about"))
-    degree = scratch.write(members.groupBy("id").agg(F.sum("c").alias("deg")).join(about, "id"))
+    sizes = reps.groupBy(F.col("rep").alias("id")).agg(F.when(F.count("*") == 1, F.first("about")).alias("about"))
+    degree = scratch.write(members.groupBy("id").agg(F.sum("c").alias("deg")).join(sizes, "id"))
     members = scratch.write(members.join(degree, "id").select("key", "id", "deg", "about"))
     degree = degree.select("id")
     few = degree.count() <= BROADCAST_IDS
@@ -140,7 +137,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         sized = both.where("4 * least(length(s), length(t)) >= 3 * greatest(length(s), length(t))")
         return sized.select("a", "b", "s", "t").mapInArrow(_confirmed, "a long, b long")
 
-    labels = link_rounds(scratch, members, verify, sketches_agree)
+    labels = link_rounds(scratch, members, verify, may_link)
     found = reps.select("cls", "rep")
     if labels is not None:
         found = found.join(labels, F.col("rep") == F.col("id"), "left").select("cls", F.coalesce("label", "rep").alias("component_id"))
