@@ -17,6 +17,10 @@ VOCABULARY = SIDE * SIDE
 MASKED, BATCH, ROUNDS, RATE = 4, 1024, 2, 0.1
 #: Tasks whose averaged weights meet on the driver.
 FAN_IN = 4
+#: Words of this share of all tokens are looked up in each task, at most 1 / COMMON of them; the others by a join.
+COMMON = 1 / (1 << 18)
+#: Distinct words whose counts a task holds before it sends them on.
+HELD = 1 << 20
 PAD = VOCABULARY
 
 
@@ -156,8 +160,8 @@ def _average(batches: Iterator) -> Iterator:
 def trained(texts: DataFrame, rounds: int = ROUNDS) -> Network:
     """The network after `rounds` of training on every partition of texts (text) at once, the partitions' weights averaged.
 
-    Every document gives one position in MASKED a round, so what is learnt, the examples and the weights that tasks send
-    all grow with the input; the network itself has a fixed size. The averages go through a few tasks before the driver
+    Every document gives one position in MASKED a round. The network has a fixed size and knows classes; what grows with
+    the vocabulary is word_counts. The averages go through a few tasks before the driver
     takes FAN_IN of them. The result depends on how the input is split, not on the order in which tasks end.
     """
     weights = Network.fresh().pack()
@@ -174,31 +178,111 @@ def trained(texts: DataFrame, rounds: int = ROUNDS) -> Network:
     return Network.unpack(weights)
 
 
+def _counted(batches: Iterator) -> Iterator:
+    import pyarrow as pa
+
+    words, counts, size = [], [], 0
+
+    def merged():
+        own, at = np.unique(np.concatenate(words), return_inverse=True)
+        return own, np.bincount(at, np.concatenate(counts)).astype(np.int64)
+
+    def out(own, n):
+        for a in range(0, len(own), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(own[a : a + 100_000].view(np.int64)), pa.array(n[a : a + 100_000])], names=["word", "n"])
+
+    for batch in batches:
+        for _, data, offsets in text_slices(batch, "text"):
+            own, n = np.unique(hash_words(data, offsets)[0], return_counts=True)
+            words.append(own)
+            counts.append(n)
+            size += len(own)
+            if size >= HELD:
+                own, n = merged()
+                if 2 * len(own) >= HELD:
+                    yield from out(own, n)
+                    own, n = own[:0], n[:0]
+                words, counts, size = [own], [n], len(own)
+    if words:
+        yield from out(*merged())
+
+
+def word_counts(texts: DataFrame) -> DataFrame:
+    """word (its 64-bit hash) and n, how often it stands in texts (text), for every distinct word."""
+    return texts.mapInArrow(_counted, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def _packed(batches: Iterator) -> Iterator:
+    import pyarrow as pa
+
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([c.to_numpy(zero_copy_only=False).astype("<i8").tobytes()], pa.binary()) for c in batch.columns], names=["words", "counts"])
+
+
 def scored(docs: DataFrame, network: Network | None = None) -> DataFrame:
     """doc_id, n_tokens, log_probability and mean_log_probability for every row of docs (doc_id, text).
 
     log_probability sums, over every word of the whole text, the logarithm of its conditional probability given the
-    words to both sides. A null, empty or blank text has no tokens, a sum of 0 and a null mean. Repeated rows are scored
-    alike; an empty table gives no rows. Without a network one is trained on all of docs.
+    words to both sides: that of the word's class by the network, times the word's share of its class, counted over all
+    of docs. The few words of a share of COMMON or more are looked up in each task; the others, any number, meet their
+    counts in a join. A null, empty or blank text has no tokens, a sum of 0 and a null mean. Repeated rows are scored
+    alike; an empty table gives no rows. Without a network one is trained on all of docs; a given one scores classes
+    alone, as no counts come with it.
     """
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    shared = docs.sparkSession.sparkContext.broadcast((network or trained(slim.select("text"))).pack())
+    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "scoring")
+    # given a network, every word is its class: it needs no count
+    counts, common, class_log = None, (np.zeros(0, np.uint64), np.zeros(0)), np.zeros(VOCABULARY)
+    if network is None:
+        network = trained(slim.select("text"))
+        counts = scratch.write(word_counts(slim.select("text")))
+        for r in counts.groupBy(F.col("word").bitwiseAND(F.lit(VOCABULARY - 1)).alias("class")).agg(F.sum("n").alias("n")).collect():
+            class_log[r["class"]] = r["n"]
+        least = max(1.0, class_log.sum() * COMMON)
+        class_log = np.log(np.maximum(class_log, 1))
+        parts = counts.where(F.col("n") >= least).select("word", "n").mapInArrow(_packed, "words binary, counts binary").collect()
+        if parts:
+            own, n = (np.frombuffer(b"".join(bytes(r[c]) for r in parts), "<i8") for c in ("words", "counts"))
+            order = np.argsort(own.view(np.uint64))
+            common = own.view(np.uint64)[order], np.log(n[order])
+        counts = counts.where(F.col("n") < least)
+    shared = spark.sparkContext.broadcast((network.pack(), *common, class_log, counts is not None))
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
+        from pyspark import TaskContext
 
-        net = Network.unpack(shared.value)
+        raw, common, common_log, class_log, counted = shared.value
+        net, number = Network.unpack(raw), TaskContext.get().partitionId() << 40
         for batch in batches:
             for row, data, offsets in text_slices(batch, "text"):
-                tokens, index = tokens_of(data, offsets)
+                words, index = hash_words(data, offsets)
+                tokens = (words % np.uint64(VOCABULARY)).astype(np.int32)
                 context, total = contexts(tokens, index), np.zeros(len(tokens) + 1)
                 for a in range(0, len(tokens), BATCH):
                     total[a + 1 : a + 1 + BATCH] = net.log_probability(context[a : a + BATCH], tokens[a : a + BATCH])
+                rare = np.zeros(len(words), bool)
+                if counted:
+                    total[1:] -= class_log[tokens]
+                    rare[:] = True
+                    if len(common):
+                        at = np.minimum(np.searchsorted(common, words), len(common) - 1)
+                        rare = common[at] != words
+                        total[1:] += np.where(rare, 0.0, common_log[at])
                 np.cumsum(total, out=total)
                 n = np.diff(index)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(n)), pa.array(n), pa.array(np.where(n > 0, total[index[1:]] - total[index[:-1]], 0.0))], names=["doc_id", "n_tokens", "log_probability"])
-
-    out = slim.mapInArrow(run, "doc_id long, n_tokens long, log_probability double")
+                ends = np.concatenate([[0], np.cumsum(rare)])[index].astype(np.int32)
+                left = pa.ListArray.from_arrays(pa.array(ends), pa.array(words[rare].view(np.int64)))
+                sums = np.where(n > 0, total[index[1:]] - total[index[:-1]], 0.0)
+                yield pa.RecordBatch.from_arrays([pa.array(number + np.arange(len(n))), batch.column(0).slice(row, len(n)), pa.array(n), pa.array(sums), left], names=["row", "doc_id", "n_tokens", "log_probability", "rare"])
+                number += len(n)
+
+    out = slim.mapInArrow(run, "row long, doc_id long, n_tokens long, log_probability double, rare array<long>")
+    if counts is not None:
+        out = scratch.write(out)
+        rest = out.select("row", F.explode("rare").alias("word")).join(counts, "word").groupBy("row").agg(F.sum(F.log("n")).alias("rest"))
+        out = out.drop("rare").join(rest, "row", "left").withColumn("log_probability", F.col("log_probability") + F.coalesce("rest", F.lit(0.0)))
+    out = out.select("doc_id", "n_tokens", "log_probability")
     return out.withColumn("mean_log_probability", F.try_divide("log_probability", "n_tokens"))
 
 

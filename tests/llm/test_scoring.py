@@ -69,3 +69,28 @@ def test_edge_cases(spark):
     assert sorted((r.doc_id or 0, r.n_tokens) for r in got) == [(0, 2), (1, 0), (2, 0), (3, 0), (4, 1), (4, 1), (5, 200000)]
     assert all((r.log_probability == 0) == (r.n_tokens == 0) == (r.mean_log_probability is None) for r in got)
     assert S.scored(docs.limit(0)).collect() == []
+
+
+def test_words_of_one_class_are_told_apart(spark, monkeypatch):
+    words = [f"w{k}" for k in range(3000)]
+    data = np.frombuffer(" ".join(words).encode(), np.uint8)
+    classes = S.tokens_of(data, np.array([0, len(data)]))[0].tolist()
+    often, seldom = next((words[classes.index(c)], words[k]) for k, c in enumerate(classes) if classes.index(c) < k)
+    rows = [(k, f"{often} and more") for k in range(30)] + [(30, f"{seldom} and more"), (31, f"{seldom} and more"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for share in (S.COMMON, 0.05, 1.0):  # all words looked up, some, none
+        monkeypatch.setattr(S, "COMMON", share)
+        got = {r.doc_id: r.log_probability for r in S.scored(docs).collect()}
+        assert abs(got[0] - got[30] - np.log(30 / 2)) < 1e-6 and got[30] == got[31] and got[None] == 0
+
+
+def test_counts_hold_every_word(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text")
+    want = {}
+    for r in docs.collect():
+        data = np.frombuffer(r.text.encode(), np.uint8)
+        for w in S.hash_words(data, np.array([0, len(data)]))[0].view(np.int64).tolist():
+            want[w] = want.get(w, 0) + 1
+    for held in (S.HELD, 50):
+        monkeypatch.setattr(S, "HELD", held)
+        assert {r.word: r.n for r in S.word_counts(docs).collect()} == want
