@@ -13,7 +13,7 @@ from .common import Scratch, hash_words, table, text_slices
 #: Tokens are words hashed to SIDE * SIDE classes; a class is a pair of codes, predicted one after the other.
 SIDE, WIDTH, WINDOW = 64, 24, 3
 VOCABULARY = SIDE * SIDE
-#: One position in MASKED of every document is a training example; every position is scored.
+#: Positions are dealt by their place modulo MASKED over the rounds, each to one at least; every position is scored.
 MASKED, BATCH, ROUNDS, RATE = 4, 1024, 2, 0.1
 #: Tasks whose averaged weights meet on the driver.
 FAN_IN = 4
@@ -118,7 +118,9 @@ def tokens_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return (words % np.uint64(VOCABULARY)).astype(np.int32), index
 
 
-def _train(start: bytes, round_: int):
+def _train(start: bytes, round_: int, shares: int):
+    """Training on the positions of one of `shares` shares, which together are all."""
+
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
@@ -130,7 +132,7 @@ def _train(start: bytes, round_: int):
                 tokens, index = tokens_of(data, offsets)
                 # the place in its own text decides, so every document gives its share
                 place = np.arange(len(tokens)) - np.repeat(index[:-1], np.diff(index))
-                chosen = np.flatnonzero(place % MASKED == round_ % MASKED)
+                chosen = np.flatnonzero(place % MASKED % shares == round_ % shares)
                 if not len(chosen):
                     continue
                 context = contexts(tokens, index)[chosen]
@@ -160,14 +162,15 @@ def _average(batches: Iterator) -> Iterator:
 def trained(texts: DataFrame, rounds: int = ROUNDS) -> Network:
     """The network after `rounds` of training on every partition of texts (text) at once, the partitions' weights averaged.
 
-    Every document gives one position in MASKED a round. The network has a fixed size and knows classes; what grows with
-    the vocabulary is word_counts. The averages go through a few tasks before the driver
+    Each position of every document is a target in one round at least, whatever their number: the rounds share the
+    places modulo MASKED out. The network has a fixed size and knows classes; what grows with the vocabulary is
+    word_counts. The averages go through a few tasks before the driver
     takes FAN_IN of them. The result depends on how the input is split, not on the order in which tasks end.
     """
     weights = Network.fresh().pack()
     scratch = Scratch(texts.sparkSession, "scoring")
     for k in range(rounds):
-        sent = scratch.write(texts.mapInArrow(_train(weights, k), "weights binary, n long"))
+        sent = scratch.write(texts.mapInArrow(_train(weights, k, min(rounds, MASKED)), "weights binary, n long"))
         parts = sent.repartition(FAN_IN, F.crc32("weights")).mapInArrow(_average, "weights binary, n long").collect()
         scratch.drop(sent)
         n = sum(r["n"] for r in parts)

@@ -94,3 +94,13 @@ def test_counts_hold_every_word(spark, monkeypatch):
     for held in (S.HELD, 50):
         monkeypatch.setattr(S, "HELD", held)
         assert {r.word: r.n for r in S.word_counts(docs).collect()} == want
+
+
+def test_every_position_is_a_target(spark):
+    text = "one two three four " * 50
+    net, fresh = S.trained(spark.createDataFrame([(text,)] * 40, "text string").repartition(1)), S.Network.fresh()
+    data = np.frombuffer(text.encode(), np.uint8)
+    tokens, index = S.tokens_of(data, np.array([0, len(data)]))
+    near = S.contexts(tokens, index)
+    gain = net.log_probability(near, tokens) - fresh.log_probability(near, tokens)
+    assert all(gain[k::4].mean() > 1 for k in range(4))
