@@ -274,3 +274,24 @@ def test_override(spark):
     assert {r.code: (r.final, r.overridden) for r in joins.override(selection, decisions).collect()} == {"1": (None, True), "2": ("s9", True), "3": ("s3", False)}
     with pytest.raises(ValueError, match="several"):
         joins.override(selection, decisions.union(decisions))
+
+
+def test_resampled_gain_uses_every_row(spark):
+    rng = np.random.default_rng(3)
+    y = np.sort(rng.integers(1, 51, 30_000)).astype(float)
+    p, b = y * 0.6 + rng.integers(0, 23, len(y)), np.full(len(y), 25.0)
+    frame = spark.createDataFrame([*zip(y.tolist(), p.tolist(), b.tolist(), strict=True), (None, 1.0, 1.0)], "y double, predicted double, base double")
+    got = models.resampled_gain(frame.repartition(5), "y", "predicted", "base", 400)
+    assert np.allclose(got, models.bootstrap_gain(y, p, b, 400), atol=0.4)
+    assert np.allclose(got, models.resampled_gain(frame.repartition(2), "y", "predicted", "base", 400), atol=1e-9)
+
+
+def test_bootstrap_gain_query_covers_the_whole_table(spark):
+    from eventide.plans.catalog import QUERIES
+
+    at = "/root/testdata/sf0.1"
+    rows = spark.read.parquet(f"{at}/lineitem.parquet").where("l_linenumber % 4 = 1").selectExpr("double(l_quantity) y", "double(l_partkey % 23) k").toPandas()
+    y = rows.y.to_numpy()
+    want = models.bootstrap_gain(y, y * 0.6 + rows.k.to_numpy(), np.full(len(y), 25.0), 100)
+    got = QUERIES["F29_bootstrap_gain"](spark, at).first()
+    assert len(y) == 170_951 and np.allclose(got, want, atol=0.15)
