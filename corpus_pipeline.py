@@ -27,9 +27,21 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group of near-duplicates."""
-    kept = minhash.near_duplicates(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """The document of the smallest id of each group of near-duplicates.
+
+    A row without doc_id counts as a document of its own, later than all that have one: it goes if its set equals or
+    links with another's that stays, and one of a group in which none has an id is kept, as is one that is nobody's copy.
+    """
+    own = F.col("doc_id").cast("long")
+    found = docs.agg(F.max(own).alias("last"), F.count_if(own.isNull()).alias("without")).first()
+    if found["without"]:
+        # written, so that the rows keep the numbers given here
+        later = F.lit((found["last"] or 0) + 1) + F.monotonically_increasing_id()
+        own_ids = Scratch(spark, "near").write(docs.withColumn("__id", F.coalesce(own, later)))
+    else:
+        own_ids = docs.withColumn("__id", own)
+    kept = minhash.near_duplicates(own_ids.select(F.col("__id").alias("doc_id"), "text")).where("kept").select(F.col("doc_id").alias("__id")).distinct()
+    return own_ids.join(kept, "__id", "left_semi").select(*docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

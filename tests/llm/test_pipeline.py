@@ -50,3 +50,14 @@ def test_every_stage_against_a_plain_version(spark, tmp_path):
 def test_run_gives_the_last_stage(spark):
     out = P.run(spark, AT)
     assert {"doc_id", "sequence_id", "offset"} <= set(out.columns) and out.count() > 0
+
+
+def test_near_stage_keeps_documents_without_id(spark):
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(60)) for x in "abcd")
+    rows = [(1, a), (2, a), (None, a), (None, a + " end"), (None, b), (None, c), (None, c), (None, c + " end"), (7, d), (None, ""), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [(r.doc_id, r.text) for r in P.near_stage(spark, docs, AT).collect()]
+    assert sorted(got[k][0] or 0 for k in range(len(got))) == [0, 0, 0, 0, 1, 7]
+    assert sorted((t or "")[:2] for i, t in got if i is None) == ["", "", "b0", "c0"]
+    none = docs.where("doc_id is null").select("doc_id", "text")
+    assert sum((r.text or "")[:2] == "a0" for r in P.near_stage(spark, none, AT).collect()) == 1
