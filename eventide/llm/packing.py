@@ -85,8 +85,12 @@ class Ids:
         new = words.difference(self.known)
         for w in new.intersection(self.older):
             self.known[w] = self.older[w]
-        new = list(new.difference(self.older))
-        self.known.update(zip(new, self.encode_words([w[1:] if w[:1] == "\n" else " " + w for w in new]), strict=True))
+        new, fast = list(new.difference(self.older)), self.fast
+        ids = self.encode_words([w[1:] if w[:1] == "\n" else " " + w for w in new])
+        if self.fast is not fast:  # the encoders differ: what the fast one gave before counts no more
+            self.known, self.older, new = {}, {}, list(words)
+            ids = self.encode_words([w[1:] if w[:1] == "\n" else " " + w for w in new])
+        self.known.update(zip(new, ids, strict=True))
         return self.known
 
     def of(self, texts: list[str]) -> list[bytes]:

@@ -87,3 +87,12 @@ def test_kept_ids_and_empty_table(spark):
     [row] = packed(docs, tokenizer_path(), keep_ids=True).collect()
     assert row.ids == whole(IDS.tokenizer, "hello world")
     assert packed(docs.limit(0), tokenizer_path()).collect() == []
+
+
+def test_words_of_a_differing_encoder_are_encoded_again():
+    ids, plain = Ids(tokenizer_path()), Ids(tokenizer_path())
+    plain.fast = None
+    ids.known["early"] = b"\x01\0\0\0"  # as a fast encoder gave it that differs only later
+    ids.fast = lambda w: [1]
+    texts = ["one early word", "two"]
+    assert ids.of(texts) == plain.of(texts) and ids.fast is None
