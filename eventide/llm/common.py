@@ -6,25 +6,35 @@ import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new local one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a new one where that is unset and all run on this machine (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="eventide-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
 class Scratch:
-    """Tables of one operator run, written to the shared folder so that a lost executor costs no recomputation of the lineage before them."""
+    """Tables of one operator run, written to the shared folder so that a lost executor costs no recomputation of the lineage before them.
+
+    What an operator returns may read them, so they stay until `sweep` or the folder's owner deletes them.
+    """
+
+    #: Folders made by this process, for sweep.
+    made: list[Scratch] = []
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.n = 0
+        self.made.append(self)
 
     def write(self, df: DataFrame) -> DataFrame:
         self.n += 1
@@ -36,27 +46,50 @@ class Scratch:
 
     def drop(self, *frames: DataFrame) -> None:
         """Delete written tables that nothing reads any more."""
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         for df in frames:
-            path = jvm.org.apache.hadoop.fs.Path(df.scratch_path)
-            path.getFileSystem(conf).delete(path, True)
+            _delete(self.spark, df.scratch_path)
+
+    @classmethod
+    def sweep(cls, since: int = 0) -> None:
+        """Delete the tables of all operators run since `since`, the length of Scratch.made then; for when their results have been written."""
+        for s in cls.made[since:]:
+            _delete(s.spark, s.root)
+        del cls.made[since:]
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name like `name` that df doesn't have, whatever the case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def named(column: str, within: str = "") -> Column:
+    """A column by its name, whatever characters that holds."""
+    return F.col(within + "`" + column.replace("`", "``") + "`")
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 # --- text columns -----------------------------------------------------------------------------------------------
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES, SLICE_ROWS = 1 << 20, 2048
 
 
 def text_slices(batch, column: str, most: int = SLICE_BYTES):
-    """(first row, uint8 bytes, offsets) for runs of rows of about `most` bytes; a longer text gets a run of its own. A null is empty."""
+    """(first row, uint8 bytes, offsets) for runs of up to SLICE_ROWS rows of about `most` bytes; a longer text gets a run of its own. A null is empty."""
     import pyarrow as pa
 
     col = batch.column(batch.schema.get_field_index(column))
@@ -72,7 +105,7 @@ def text_slices(batch, column: str, most: int = SLICE_BYTES):
     row = 0
     while row < n:
         stop = max(row + 1, int(np.searchsorted(ends, ends[row] + most, side="right")) - 1)
-        stop = min(stop, n)
+        stop = min(stop, row + SLICE_ROWS, n)
         yield row, data[ends[row] : ends[stop]], (ends[row : stop + 1] - ends[row])
         row = stop
 
