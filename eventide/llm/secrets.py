@@ -26,6 +26,8 @@ PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s]++)--
 BASE64 = re.compile(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40,}+={0,2}")
 HEXES = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){24,}+(?![0-9A-Fa-f])")
 
+#: A token header has fewer brackets that open; more are no header, and aren't parsed.
+BRACKETS = 256
 #: A run of this many bytes of the alphabets above is needed for any match but an assignment and a key block.
 LEAST_RUN = 18
 _RUN = np.zeros(256, bool)
@@ -95,11 +97,11 @@ def unbase64(text: str, url: bool = False) -> bytes:
 
 def is_token_header(segment: str) -> bool:
     raw = unbase64(segment, url=True)
-    if not raw.startswith(b"{"):
+    if not raw.startswith(b"{") or raw.count(b"{") + raw.count(b"[") >= BRACKETS:
         return False
     try:
         head = json.loads(raw)
-    except ValueError:
+    except (ValueError, RecursionError):
         return False
     return isinstance(head, dict) and isinstance(head.get("alg"), str)
 
@@ -161,8 +163,10 @@ def _scan(batches: Iterator) -> Iterator:
 def secrets(docs: DataFrame) -> DataFrame:
     """doc_id and spans (array of kind, start, end in code points, ordered) for every row of docs (doc_id, text).
 
-    A null text is empty and has no spans; repeated rows are answered each. Whole texts are scanned, whatever their
-    length; every pattern is linear. An empty table gives no rows.
+    A null text is empty and has no spans; repeated rows are answered each, and a null doc_id too. Whole texts are
+    scanned, whatever their length; every pattern is linear, and a token's header with BRACKETS brackets that open isn't
+    parsed. Spans that start together stand in the order of the kinds. An empty table gives no rows; columns but doc_id
+    and text aren't read, whatever their names.
     """
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return slim.mapInArrow(_scan, "doc_id long, spans array<struct<kind:string,start:long,end:long>>")

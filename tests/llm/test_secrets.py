@@ -61,3 +61,58 @@ def test_query_against_the_stated_patterns(spark):
 
 def test_empty_table(spark):
     assert S.digest(S.secrets(spark.createDataFrame([], "doc_id long, text string, spans int"))).collect() == []
+
+
+def test_token_headers_are_bounded():
+    def token(head):
+        return base64.urlsafe_b64encode(head).decode().rstrip("=") + ".eyJzdWIiOjF9.c2ln"
+
+    deep = b'{"alg":' + b"[" * 200_000
+    assert S.find_spans("x " + token(deep)) == [] and S.find_spans(token(b'{"alg": "none", "x": ' + b'{"y":' * 300 + b"1" + b"}" * 301)) == []
+    assert [k for k, _, _ in S.find_spans(token(b'{"alg": "none", "x": ' + b'{"y":' * 200 + b"1" + b"}" * 201))] == ["jwt"]
+
+
+def elements(raw):
+    """A reader of DER written for the tests: the tree of (tag, content), or ValueError."""
+    out = []
+    while raw:
+        if len(raw) < 2:
+            raise ValueError
+        tag, n, at = raw[0], raw[1], 2
+        if n & 128:
+            k = n & 127
+            n, at = int.from_bytes(raw[2 : 2 + k], "big"), 2 + k
+            if not 1 <= k <= 4 or n < 128:
+                raise ValueError
+        if len(raw) < at + n:
+            raise ValueError
+        out.append((tag, elements(raw[at : at + n]) if tag in (0x30, 0x31, 0xA0, 0xA1) else raw[at : at + n]))
+        raw = raw[at + n :]
+    return out
+
+
+def test_keys_by_another_reader_with_bytes_changed():
+    rng = random.Random(2)
+    agreed = [0, 0]
+    for _ in range(3000):
+        raw = bytearray(KEY)
+        for _ in range(rng.choice((0, 1, 1, 2))):
+            raw[rng.randrange(0, 12)] = rng.choice((0x30, 0x02, 0x82, 0x81, 0x00, 0x05, rng.randrange(256)))
+        try:
+            tree = elements(bytes(raw))
+            flat = [t for e in tree for t in e[1]] if len(tree) == 1 and tree[0][0] == 0x30 else []
+            known = {2, 3, 4, 5, 6, 0x30, 0x31, 0xA0, 0xA1}
+            want = len(flat) >= 2 and all(t in known for t, _ in flat) and any(t == 2 for t, _ in flat)
+        except ValueError:
+            want = False
+        assert S.is_der_key(bytes(raw)) == want, raw[:16].hex()
+        agreed[want] += 1
+    assert min(agreed) > 100
+
+
+def test_plain_data_is_no_secret():
+    rng = random.Random(3)
+    for n in (40, 200, 2000):
+        for _ in range(200):
+            raw = rng.randbytes(n)
+            assert not {k for k, _, _ in S.find_spans(base64.b64encode(raw).decode() + " " + raw.hex().upper())} & {"jwt", "pem", "key64", "keyhex"}
