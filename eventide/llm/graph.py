@@ -57,18 +57,18 @@ def _hubs(live: DataFrame, width: int) -> DataFrame:
     return live.withColumn("place", F.row_number().over(order)).where(F.col("place") <= width).select("key", F.col("id").alias("hub"))
 
 
-def link_rounds(scratch: Scratch, members: DataFrame, verify: Callable[[DataFrame], DataFrame], able: Callable[[Column, Column], Column] | None = None) -> DataFrame | None:
+def link_rounds(scratch: Scratch, members: DataFrame, verify: Callable[[DataFrame], DataFrame], able: Callable[[Column, Column], Column] | None = None, known: DataFrame | None = None) -> DataFrame | None:
     """Labels of the components that links within buckets make, without listing all pairs of a bucket.
 
     members: (key, id, deg, about), a written table of the buckets of two or more ids, the likeliest hubs with the
     largest deg. able: of two members' `about`, whether they may link; tested as pairs are joined. verify: pairs (a, b),
-    a < b -> the linked ones. Round r compares the WIDEN**r foremost members of each bucket with all its members of other
+    a < b -> the linked ones. known: links (a, b) that hold whatever verify says. Round r compares the WIDEN**r foremost members of each bucket with all its members of other
     labels, which the links so far give (ids of one label are connected); those hubs then leave. A bucket is done when
     its members share a label. So every pair of a bucket that may link is compared or already connected: nothing is
     lost, a group of copies costs about as many comparisons as members,
     and the rounds grow with the logarithm of the largest bucket. Returns (id, label), or None without links.
     """
-    live, labels, edges, failed, width = members.withColumn("label", F.col("id")), None, None, None, 1
+    live, labels, edges, failed, width = members.withColumn("label", F.col("id")), None, known, None, 1
     while not live.isEmpty():
         hubs = _hubs(live, width)
         hubs = scratch.write(hubs) if width > 1 else hubs
@@ -89,6 +89,7 @@ def link_rounds(scratch: Scratch, members: DataFrame, verify: Callable[[DataFram
         live = live.select("key", "id", "deg", "about").join(hubs.select("key", F.col("hub").alias("id")), ["key", "id"], "left_anti")
         live = live.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id")) if labels is not None else live.withColumn("label", F.col("id"))
         open_keys = live.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-        live = scratch.write(live.select("key", "id", "deg", "about", "label").join(open_keys, "key", "left_semi"))
+        # written, so that both sides of the join are dealt anew and a large bucket can be split
+        live = scratch.write(live.select("key", "id", "deg", "about", "label").join(scratch.write(open_keys), "key", "left_semi"))
         width *= WIDEN
     return None if edges is None else components(scratch, edges)

@@ -112,8 +112,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     the smallest doc_id that links reach. Null, empty and blank texts have an empty set and link with nothing. Documents
     with equal sets (exact copies among them) collapse to one class before the bands are shuffled, so a group of copies
     costs one signature row; the classes of a band's bucket whose bitmaps leave a link possible are compared by hub rounds (see
-    graph.link_rounds), each link confirmed on full sets. Rows with one doc_id are one vertex, whatever their texts, and each is answered. A null doc_id is answered with a
-    null component unless its copies have ids. An empty table gives an empty result.
+    graph.link_rounds), each link confirmed on full sets. Rows with one doc_id are one vertex, which links wherever one of
+    their texts does, and each is answered; one without words stands for itself. A null doc_id is answered with a null component unless its copies have ids.
+    A text of any length is taken whole and must fit a task. An empty table gives an empty result.
     """
     spark: SparkSession = docs.sparkSession
     scratch = Scratch(spark, "minhash")
@@ -137,7 +138,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         sized = both.where("4 * least(length(s), length(t)) >= 3 * greatest(length(s), length(t))")
         return sized.select("a", "b", "s", "t").mapInArrow(_confirmed, "a long, b long")
 
-    labels = link_rounds(scratch, members, verify, may_link)
+    # an id of several sets joins their classes
+    several = signed.where("n_shingles > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("cls").alias("x"), F.max("cls").alias("y")).where("x <> y").select("doc_id")
+    several = scratch.write(several)
+    bridges = None
+    if not several.isEmpty():
+        of = signed.where("n_shingles > 0").select("doc_id", "cls").join(several, "doc_id").join(reps.select("cls", "rep"), "cls")
+        bridges = scratch.write(of.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).where("a <> b").distinct())
+    labels = link_rounds(scratch, members, verify, may_link, bridges)
     found = reps.select("cls", "rep")
     if labels is not None:
         found = found.join(labels, F.col("rep") == F.col("id"), "left").select("cls", F.coalesce("label", "rep").alias("component_id"))

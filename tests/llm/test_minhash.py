@@ -80,3 +80,10 @@ def test_signature_holds_both_ends(n):
     x = np.random.default_rng(n).integers(0, 2**63, n, dtype=np.uint64)
     s = minmax_signature(x)
     assert len(s) == 128 and (s[:64] <= s[64:]).all()
+
+
+def test_an_id_of_several_texts_joins_their_groups(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(30)) for x in "abc")
+    rows = [(1, a), (2, a), (2, b), (3, b), (5, c), (6, c), (4, c), (3, " "), (7, None), (7, "z")]
+    got = {(r.doc_id, r.n_shingles): (r.component_id, r.kept) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(1, 26): (1, True), (2, 26): (1, False), (3, 26): (1, False), (3, 0): (3, True), (5, 26): (4, False), (6, 26): (4, False), (4, 26): (4, True), (7, 0): (7, True), (7, 1): (7, True)}
