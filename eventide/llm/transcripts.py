@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, table
+from .common import Scratch, partitions, table
 
 ROLES = ("system", "user", "assistant")
 #: Each role begins a turn or continues one: the states of the model, in this order.
@@ -28,6 +28,8 @@ MARKER = re.compile(rf"[ \t]*(?:(?:#{{1,6}}|>{{1,2}}|\*\*|\[|<\|?)[ \t]*)?({_WOR
 #: A line's observation: the role its marker names (or none), whether the line before is blank or missing, its length class, a question mark.
 N_MARKER, N_BLANK, N_LENGTH, N_MARK = 4, 2, 6, 2
 OBSERVATIONS = N_MARKER * N_BLANK * N_LENGTH * N_MARK
+#: A range of rows, the most that a task decodes at once, has up to 2 ** RANGE_BITS of them.
+RANGE_BITS = 16
 
 
 def marker(line: str) -> tuple[str | None, int]:
@@ -193,12 +195,15 @@ def _seen(rows: list[tuple]) -> np.ndarray:
 def ordered(parts: DataFrame) -> DataFrame:
     """parts (conv_id, turn, text, label) with the number of the range they lie in, ranges in the order of (conv_id, turn, text).
 
-    A conversation of any length may span ranges, so none has to fit a task.
+    A conversation of any length spans as many ranges as it takes, so none has to fit a task, and neither do rows that
+    are equal: they share out by their numbers. Columns but these four aren't read.
     """
     slim = parts.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("text").cast("string").alias("text"), F.col("label").cast("string").alias("label"))
-    key = ["conv_id", "turn", F.xxhash64("text", "label")]
-    n = int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return Scratch(parts.sparkSession, "transcripts").write(slim.repartitionByRange(n, *key).select(F.spark_partition_id().alias("pid"), "*"))
+    order = ["conv_id", "turn", "text", "label"]
+    dealt = slim.withColumn("own", F.monotonically_increasing_id()).repartitionByRange(partitions(parts.sparkSession), *order[:2], F.xxhash64("text", "label"), "own")
+    # a partition's rows are numbered from its own number << 33 on
+    pid = F.shiftright(F.monotonically_increasing_id(), RANGE_BITS)
+    return Scratch(parts.sparkSession, "transcripts").write(dealt.drop("own").sortWithinPartitions(*order).select(pid.alias("pid"), *order))
 
 
 def _in_order(frame: DataFrame) -> DataFrame:
@@ -208,32 +213,52 @@ def _in_order(frame: DataFrame) -> DataFrame:
 def learned(frame: DataFrame) -> Hmm:
     """A model from the labelled parts of an `ordered` frame: every line of a part has its label, the first line begins a turn.
 
-    Counts are summed over all labelled rows; a transition between two ranges isn't counted. The model's size is fixed.
+    Counts are summed over all labelled rows. Each range also returns its two ends, so that a conversation that goes on
+    from one range to the next begins once and its transition between them counts; the result doesn't depend on the
+    ranges. The model's size is fixed.
     """
+    kind = "what string, i int, j int, n long, pid long, first long, last long"
 
     def count(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         total: dict[tuple, int] = {}
-        for _, _, rows in _runs(batches):
-            state = None
-            for at, r in enumerate(rows):
+        ends: list[dict] = []
+        for pid, conv, rows in _runs(batches):
+            new = not ends or ends[-1]["pid"] != pid
+            if new:
+                ends.append({"what": "end", "pid": pid, "first": conv, "i": None})
+            state, begins = None, not new
+            for r in rows:
                 if r[3] not in ROLES:
-                    state = None
+                    state, begins = None, False
                     continue
                 for k, o in enumerate(observations((r[2] or "").split("\n"))):
                     now = STATES.index((r[3], k == 0))
-                    hit = ("start", 0, now) if at == k == 0 else ("step", state, now) if state is not None else None
+                    hit = ("start", 0, now) if begins else ("step", state, now) if state is not None else None
                     for key in (hit, ("emit", now, o)):
                         if key:
                             total[key] = total.get(key, 0) + 1
-                    state = now
-        if total:
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in total]), pa.array([k[1] for k in total], pa.int32()), pa.array([k[2] for k in total], pa.int32()), pa.array(list(total.values()), pa.int64())], names=["what", "i", "j", "n"])
+                    state, begins = now, False
+            if new and rows[0][3] in ROLES:
+                ends[-1]["i"] = STATES.index((rows[0][3], True))
+            ends[-1] |= {"last": conv, "j": state}
+        fields = pa.schema([("what", pa.string()), ("i", pa.int32()), ("j", pa.int32()), ("n", pa.int64()), ("pid", pa.int64()), ("first", pa.int64()), ("last", pa.int64())])
+        yield pa.RecordBatch.from_pylist([{"what": w, "i": i, "j": j, "n": n} for (w, i, j), n in total.items()] + ends, schema=fields)
 
     counts = {"start": np.zeros((1, len(STATES))), "step": np.zeros((len(STATES),) * 2), "emit": np.zeros((len(STATES), OBSERVATIONS))}
-    for r in _in_order(frame).mapInArrow(count, "what string, i int, j int, n long").groupBy("what", "i", "j").agg(F.sum("n").alias("n")).collect():
-        counts[r["what"]][r["i"], r["j"]] = r["n"]
+    rows = _in_order(frame).mapInArrow(count, kind).groupBy("what", "i", "j", "pid", "first", "last").agg(F.sum("n").alias("n")).collect()
+    ends = sorted((r for r in rows if r["what"] == "end"), key=lambda r: r["pid"])
+    for r in rows:
+        if r["what"] != "end":
+            counts[r["what"]][r["i"], r["j"]] += r["n"]
+    # i: the state of a range's first line, j: that of its last
+    for before, e in zip([None, *ends], ends, strict=False):
+        if e["i"] is not None:
+            if before is None or before["last"] != e["first"]:
+                counts["start"][0, e["i"]] += 1
+            elif before["j"] is not None:
+                counts["step"][before["j"], e["i"]] += 1
     return fitted(counts["start"][0], counts["step"], counts["emit"])
 
 
@@ -245,18 +270,19 @@ def parsed(frame: DataFrame, hmm: Hmm | None = None) -> DataFrame:
     end, two rows a range, which the driver joins; a second decodes every run with what is known at its ends, so the
     result is that of the whole transcript. roles are those of the turns in the part, first the one that goes on from
     the part before if its first line begins none; rendered is the part of the canonical transcript. A null text is one
-    empty line, null ids and turns are keys like others, repeated rows follow each other, an empty table gives no rows.
+    empty line, null ids and turns are keys like others, repeated rows follow each other, of paths that tie the one whose
+    states stand first in STATES is taken, an empty table gives no rows. A text must fit a task; a range of them does.
     """
     spark: SparkSession = frame.sparkSession
     shared = spark.sparkContext.broadcast(hmm or prior())
 
-    edge_type = "pid int, first long, last long, one boolean, matrix array<double>, first_start array<double>, last_start array<double>"
+    edge_type = "pid long, first long, last long, one boolean, matrix array<double>, first_start array<double>, last_start array<double>"
 
     def edges(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         model, e, last = shared.value, None, None
-        kind = pa.schema([("pid", pa.int32()), ("first", pa.int64()), ("last", pa.int64()), ("one", pa.bool_()), *((c, pa.list_(pa.float64())) for c in ("matrix", "first_start", "last_start"))])
+        kind = pa.schema([("pid", pa.int64()), ("first", pa.int64()), ("last", pa.int64()), ("one", pa.bool_()), *((c, pa.list_(pa.float64())) for c in ("matrix", "first_start", "last_start"))])
 
         def finished():
             start = e["first_start"] if e["one"] else run_scores(model, _seen(last[1]), None)[0][0].tolist()

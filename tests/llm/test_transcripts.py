@@ -72,3 +72,38 @@ def test_edge_cases(spark):
     assert got == expected(rows, hmm)
     empty = T.ordered(spark.createDataFrame([], "conv_id long, turn long, text string, label string"))
     assert T.parsed(empty, T.learned(empty)).collect() == []
+
+
+def test_counts_do_not_depend_on_the_ranges(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [(c, t, "x\n" * int(rng.integers(0, 3)), ("user", "assistant", "system", None)[int(rng.integers(0, 4))]) for c in (1, 2, 3) for t in range((200, 1, 90)[c - 1])]
+    rows += [(None, 0, "same", "user")] * 40
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, text string, label string")
+    models, sizes = [], []
+    for bits in (16, 5, 1):
+        monkeypatch.setattr(T, "RANGE_BITS", bits)
+        parts = T.ordered(frame)
+        sizes.append(parts.groupBy("pid").count().agg({"count": "max"}).first()[0])
+        models.append(T.learned(parts))
+    assert sizes[2] <= 2 and sizes[1] <= 32
+    by = {}
+    for r in sorted(rows, key=lambda r: (r[0] or 0, r[1])):
+        by.setdefault(r[0], []).append(r)
+    starts, steps, emits = np.zeros(len(T.STATES)), np.zeros((len(T.STATES),) * 2), np.zeros((len(T.STATES), T.OBSERVATIONS))
+    for parts in by.values():
+        state = None
+        for at, r in enumerate(parts):
+            if r[3] is None:
+                state = None
+                continue
+            for k, o in enumerate(T.observations(r[2].split("\n"))):
+                now = T.STATES.index((r[3], k == 0))
+                if at == k == 0:
+                    starts[now] += 1
+                elif state is not None:
+                    steps[state, now] += 1
+                emits[now, o] += 1
+                state = now
+    want = T.fitted(starts, steps, emits)
+    for m in models:
+        assert all(np.allclose(getattr(m, x), getattr(want, x)) for x in ("start", "step", "emit"))
