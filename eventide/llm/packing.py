@@ -13,11 +13,13 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, table
 
-LENGTH, OPEN_BINS, END_ID = 2048, 65_536, 0
+LENGTH, OPEN_BINS, END_ID = 2048, 1024, 0
+#: Pieces that are looked at together: the longest of them are placed first.
+LOOK_AHEAD = 1024
 #: Pieces that one packing task takes, some 2 MB.
 PIECES_A_TASK = 65_536
 #: Distinct words whose ids a worker remembers before its older ones go.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 #: Characters of text that are cut and looked up together.
 TOGETHER = 1 << 20
 
@@ -28,8 +30,8 @@ JOINED = ("  ", " \n", "\n ", "\n\n", "\t", "\r", "\x0b", "\x0c", "\x85", "\xa0"
 
 #: How byte-level vocabularies cut a text (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: So many words of each task are encoded by both encoders; any difference turns the fast one off.
-COMPARED = 500
+#: Pairs of vocabulary entries, beside all single ones, on which both encoders must agree for the fast one to be used.
+COMPARED = 50_000
 
 
 def fast_encoder(path: str):
@@ -62,6 +64,8 @@ class Ids:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.fast = fast_encoder(path)
+        if self.fast is not None and not self.agree():
+            self.fast = None
         #: A word -> the ids of a space and the word; a newline and a word -> the ids of the word alone.
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -70,14 +74,20 @@ class Ids:
     def encode(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def agree(self) -> bool:
+        """Whether both encoders give the same ids for every entry of the vocabulary that is text, and for COMPARED fixed pairs of entries in a row.
+
+        What is compared depends on the file alone, so each worker comes to the same answer before it encodes a text.
+        """
+        size = self.tokenizer.get_vocab_size()
+        entries = [t for t in self.tokenizer.decode_batch([[k] for k in range(size)]) if t and "\ufffd" not in t]
+        at = np.random.default_rng(5).integers(0, max(len(entries), 1), (COMPARED if entries else 0, 2))
+        words = entries + [entries[a] + entries[b] for a, b in at.tolist()]
+        words = [w for w in words if "<|endoftext|>" not in w]
+        return all(array("I", self.fast(w)).tobytes() == ids for k in range(0, len(words), 10_000) for w, ids in zip(words[k : k + 10_000], self.encode(words[k : k + 10_000]), strict=True))
+
     def encode_words(self, words: list[str]) -> list[bytes]:
-        if self.fast is None:
-            return self.encode(words)
-        out = [array("I", self.fast(w)).tobytes() for w in words]
-        if out[:COMPARED] != self.encode(words[:COMPARED]):
-            self.fast = None
-            return self.encode(words)
-        return out
+        return self.encode(words) if self.fast is None else [array("I", self.fast(w)).tobytes() for w in words]
 
     def _learn(self, words: set[str]) -> dict[str, bytes]:
         if len(self.known) > REMEMBERED:
@@ -85,12 +95,8 @@ class Ids:
         new = words.difference(self.known)
         for w in new.intersection(self.older):
             self.known[w] = self.older[w]
-        new, fast = list(new.difference(self.older)), self.fast
-        ids = self.encode_words([w[1:] if w[:1] == "\n" else " " + w for w in new])
-        if self.fast is not fast:  # the encoders differ: what the fast one gave before counts no more
-            self.known, self.older, new = {}, {}, list(words)
-            ids = self.encode_words([w[1:] if w[:1] == "\n" else " " + w for w in new])
-        self.known.update(zip(new, ids, strict=True))
+        new = list(new.difference(self.older))
+        self.known.update(zip(new, self.encode_words([w[1:] if w[:1] == "\n" else " " + w for w in new]), strict=True))
         return self.known
 
     def of(self, texts: list[str]) -> list[bytes]:
@@ -116,12 +122,12 @@ def ids_for(path: str) -> Ids:
 
 
 class BestFit:
-    """Online best fit: open bins by free space, the free spaces in use as the set bits of one integer."""
+    """Online best fit: open bins by free space, the free spaces in use as the set bits of one integer. closed: bins that closed before they were full."""
 
     def __init__(self, length: int, most: int):
         self.length, self.most = length, most
         self.bins: list[list[int]] = [[] for _ in range(length + 1)]
-        self.bits = self.open = self.made = 0
+        self.bits = self.open = self.made = self.closed = 0
 
     def place(self, n: int) -> tuple[int, int]:
         """(bin, offset) for a piece of n tokens: the fullest open bin that takes it, else a new one. Where too many are open, the fullest closes first."""
@@ -132,6 +138,7 @@ class BestFit:
         else:
             if self.open >= self.most:
                 self._take((self.bits & -self.bits).bit_length() - 1)
+                self.closed += 1
             free, number = self.length, self.made
             self.made += 1
         left = free - n
@@ -196,10 +203,12 @@ def packed(docs: DataFrame, tokenizer: str, length: int = LENGTH, open_bins: int
 
     A document is its tokens and an end token; a null or empty text is the end token alone. Documents over `length`
     tokens are cut into pieces of `length`, the first perhaps shorter. The pieces are written once, dealt evenly over
-    tasks of about 65,536 pieces and fed there, the longest first, to an online best fit with `open_bins` open bins, so
-    memory doesn't grow with the input, and a lost task repeats exactly. Bins left open at the
-    end of a task are the price of packing in parallel. Rows that
-    repeat, ties and null ids are packed row by row; an empty table gives no rows.
+    tasks of about 65,536 pieces in the order of a hash of their ids, and fed there to an online best fit with
+    `open_bins` open bins, of which the fullest closes where one more is needed. It looks LOOK_AHEAD pieces ahead, of
+    which it takes the longest first, as short ones fill what those leave. So memory doesn't grow with the input, and a
+    lost task repeats exactly. Bins left open at the end of a task are the price of packing in parallel. Rows that
+    repeat, ties and null ids are packed row by row; a text of any length is encoded whole and must fit a task; an empty
+    table gives no rows; columns but doc_id and text aren't read.
     """
     spark = docs.sparkSession
     cut = Scratch(spark, "packing").write(tokenized(docs, tokenizer, length, keep_ids))
@@ -212,12 +221,30 @@ def packed(docs: DataFrame, tokenizer: str, length: int = LENGTH, open_bins: int
 
         first = TaskContext.get().partitionId() << 40
         fit = BestFit(length, open_bins)
-        at = names.index("length")
-        for batch in batches:
-            placed = [fit.place(n) for n in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([first + b for b, _ in placed], pa.int64()), pa.array([o for _, o in placed], pa.int64())], names=[*names, "sequence_id", "offset"])
 
-    dealt = cut.repartition(tasks).sortWithinPartitions(F.desc("length"), "doc_id", "piece", "start", "ids_crc32")
+        def out(held: list):
+            rows = pa.Table.from_batches(held).combine_chunks()
+            n = rows.column("length").to_numpy()
+            placed = np.zeros((len(n), 2), np.int64)
+            for k in np.argsort(-n, kind="stable").tolist():
+                placed[k] = fit.place(int(n[k]))
+            for c, at in (("sequence_id", first + placed[:, 0]), ("offset", placed[:, 1])):
+                rows = rows.append_column(c, pa.array(at))
+            return rows.to_batches()
+
+        held, count = [], 0
+        for batch in batches:
+            while count + batch.num_rows >= LOOK_AHEAD:
+                part = LOOK_AHEAD - count
+                yield from out([*held, batch.slice(0, part)])
+                held, count, batch = [], 0, batch.slice(part)
+            if batch.num_rows:
+                held.append(batch)
+                count += batch.num_rows
+        if held:
+            yield from out(held)
+
+    dealt = cut.repartition(tasks).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", "piece", "start", "ids_crc32")
     schema = ", ".join(f"{n} {t}" for n, t in cut.dtypes) + ", sequence_id long, offset long"
     return dealt.mapInArrow(pack, schema)
 

@@ -5,7 +5,7 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from eventide.llm.packing import BestFit, Ids, packed, pieces, tokenizer_path
+from eventide.llm.packing import LOOK_AHEAD, OPEN_BINS, BestFit, Ids, packed, pieces, tokenizer_path
 
 
 def whole(tok, text):
@@ -89,10 +89,29 @@ def test_kept_ids_and_empty_table(spark):
     assert packed(docs.limit(0), tokenizer_path()).collect() == []
 
 
-def test_words_of_a_differing_encoder_are_encoded_again():
-    ids, plain = Ids(tokenizer_path()), Ids(tokenizer_path())
-    plain.fast = None
-    ids.known["early"] = b"\x01\0\0\0"  # as a fast encoder gave it that differs only later
-    ids.fast = lambda w: [1]
-    texts = ["one early word", "two"]
-    assert ids.of(texts) == plain.of(texts) and ids.fast is None
+def test_an_encoder_that_differs_is_not_used(monkeypatch):
+    from eventide.llm import packing
+
+    plain = packing.fast_encoder
+    assert IDS.fast is not None
+
+    def differs(path):
+        encode = plain(path)
+        return lambda w: [1] if w.endswith("ing") else encode(w)
+
+    monkeypatch.setattr(packing, "fast_encoder", differs)
+    ids = Ids(tokenizer_path())
+    assert ids.fast is None
+    assert ids.of(["some early thing", "two"]) == IDS.of(["some early thing", "two"])
+
+
+def test_the_bound_on_open_bins_acts_and_costs_little(spark):
+    lengths = [r.length for r in packed(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), tokenizer_path()).select("length", "sequence_id").collect()]
+    assert LOOK_AHEAD < len(lengths) and 8 * OPEN_BINS < len(lengths)
+    fit = BestFit(2048, OPEN_BINS)
+    order = np.random.default_rng(1).permutation(len(lengths))
+    for a in range(0, len(order), LOOK_AHEAD):
+        for k in sorted(order[a : a + LOOK_AHEAD], key=lambda k: -lengths[k]):
+            fit.place(lengths[k])
+    least = -(-sum(lengths) // 2048)
+    assert fit.closed > 0 and fit.made <= 1.003 * least, (fit.closed, fit.made, least)
