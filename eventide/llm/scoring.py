@@ -15,6 +15,8 @@ SIDE, WIDTH, WINDOW = 64, 24, 3
 VOCABULARY = SIDE * SIDE
 #: Positions are dealt by their place modulo MASKED over the rounds, each to one at least; every position is scored.
 MASKED, BATCH, ROUNDS, RATE = 4, 1024, 2, 0.1
+#: Logarithms are rounded to 1 / UNIT and summed as integers, so that sums don't depend on the order.
+UNIT = 1 << 20
 #: Tasks whose averaged weights meet on the driver.
 FAN_IN = 4
 #: Words of this share of all tokens are looked up in each task, at most 1 / COMMON of them; the others by a join.
@@ -53,48 +55,53 @@ class Network:
         return cls(out)
 
     def _forward(self, context: np.ndarray, target: np.ndarray):
+        """The context's embeddings, then hidden values and the two softmaxes with a column for each example."""
         w = self.w
         words = w["embed"][context]
-        hidden = np.tanh((words * w["place"]).sum(axis=1))
+        hidden = words[:, 0] * w["place"][0]
+        for k in range(1, 2 * WINDOW):
+            hidden += words[:, k] * w["place"][k]
+        hidden = np.tanh(np.ascontiguousarray(hidden.T))
         a, b = target // SIDE, target % SIDE
-        p = hidden @ w["one"] + w["one_b"]
-        second = hidden + w["hint"][a]
-        q = second @ w["two"] + w["two_b"]
-        out = []
+        p = w["one"].T @ hidden + w["one_b"][:, None]
+        second = hidden + w["hint"].T[:, a]
+        q = w["two"].T @ second + w["two_b"][:, None]
         for z in (p, q):
-            z -= z.max(axis=1, keepdims=True)
+            z -= z.max(axis=0)
             np.exp(z, out=z)
-            z /= z.sum(axis=1, keepdims=True)
-            out.append(z)
-        return words, hidden, second, a, b, *out
+            z /= z.sum(axis=0)
+        return words, hidden, second, a, b, p, q
 
     def log_probability(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
         *_, a, b, p, q = self._forward(context, target)
         at = np.arange(len(target))
-        return np.log(np.maximum(p[at, a], 1e-30)).astype(np.float64) + np.log(np.maximum(q[at, b], 1e-30))
+        return np.log(np.maximum(p[a, at], 1e-30)).astype(np.float64) + np.log(np.maximum(q[b, at], 1e-30))
 
     def step(self, context: np.ndarray, target: np.ndarray, memory: dict[str, np.ndarray]) -> None:
         """One Adagrad step on the mean negative log-probability."""
         w, n = self.w, len(target)
         words, hidden, second, a, b, p, q = self._forward(context, target)
         at = np.arange(n)
-        p[at, a] -= 1
-        q[at, b] -= 1
+        own = np.zeros((SIDE, n), np.float32)
+        own[a, at] = 1
+        p -= own
+        q[b, at] -= 1
         p /= n
         q /= n
-        d_second = q @ w["two"].T
-        d_hidden = (p @ w["one"].T + d_second) * (1 - hidden**2)
-        grads = {"one": hidden.T @ p, "one_b": p.sum(axis=0), "two": second.T @ q, "two_b": q.sum(axis=0), "place": (words * d_hidden[:, None, :]).sum(axis=0)}
-        hint = np.zeros_like(w["hint"])
-        np.add.at(hint, a, d_second)
-        grads["hint"] = hint
+        d_second = w["two"] @ q
+        d_hidden = (w["one"] @ p + d_second) * (1 - hidden**2)
+        d_words = np.ascontiguousarray(d_hidden.T)
+        grads = {"one": hidden @ p.T, "one_b": p.sum(axis=1), "two": second @ q.T, "two_b": q.sum(axis=1), "hint": own @ d_second.T}
+        spread = d_words[:, None, :] * w["place"]
+        grads["place"] = np.einsum("nkw,nw->kw", words, d_words)
         for k, g in grads.items():
             memory[k] += g * g
             w[k] -= RATE * g / np.sqrt(memory[k] + 1e-8)
-        flat, spread = context.ravel(), (d_hidden[:, None, :] * w["place"]).reshape(-1, WIDTH)
+        flat = context.ravel()
         order = np.argsort(flat, kind="stable")
-        ids, first = np.unique(flat[order], return_index=True)
-        g = np.add.reduceat(spread[order], first)
+        flat = flat[order]
+        first = np.flatnonzero(np.append(True, flat[1:] != flat[:-1]))
+        ids, g = flat[first], np.add.reduceat(spread.reshape(-1, WIDTH)[order], first)
         memory["embed"][ids] += g * g
         w["embed"][ids] -= RATE * g / np.sqrt(memory["embed"][ids] + 1e-8)
         w["embed"][PAD] = 0
@@ -104,7 +111,7 @@ def contexts(tokens: np.ndarray, index: np.ndarray) -> np.ndarray:
     """For each token the WINDOW tokens before and after it in its own text, PAD beyond its ends."""
     n = len(tokens)
     doc = np.repeat(np.arange(len(index) - 1), np.diff(index))
-    out = np.full((n, 2 * WINDOW), PAD, np.int32)
+    out = np.full((n, 2 * WINDOW), PAD, np.int16)
     for k, d in enumerate([*range(-WINDOW, 0), *range(1, WINDOW + 1)]):
         here = slice(max(0, -d), n - max(0, d))
         there = slice(max(0, d), n + min(0, d))
@@ -115,7 +122,7 @@ def contexts(tokens: np.ndarray, index: np.ndarray) -> np.ndarray:
 
 def tokens_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     words, index = hash_words(data, offsets)
-    return (words % np.uint64(VOCABULARY)).astype(np.int32), index
+    return (words % np.uint64(VOCABULARY)).astype(np.int16), index
 
 
 def _train(start: bytes, round_: int, shares: int):
@@ -228,8 +235,10 @@ def scored(docs: DataFrame, network: Network | None = None) -> DataFrame:
     log_probability sums, over every word of the whole text, the logarithm of its conditional probability given the
     words to both sides: that of the word's class by the network, times the word's share of its class, counted over all
     of docs. The few words of a share of COMMON or more are looked up in each task; the others, any number, meet their
-    counts in a join. A null, empty or blank text has no tokens, a sum of 0 and a null mean. Repeated rows are scored
-    alike; an empty table gives no rows. Without a network one is trained on all of docs; a given one scores classes
+    counts in a join. A null, empty or blank text has no tokens, a sum of 0 and a null mean. Repeated rows are scored each
+    and alike, but for a word whose logarithm lies at the edge of two units of 2 ** -20; a null doc_id is answered too;
+    a text of any length is taken whole and must fit a task; columns but doc_id and text aren't read; an empty table
+    gives no rows. Without a network one is trained on all of docs; a given one scores classes
     alone, as no counts come with it.
     """
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -260,30 +269,30 @@ def scored(docs: DataFrame, network: Network | None = None) -> DataFrame:
         for batch in batches:
             for row, data, offsets in text_slices(batch, "text"):
                 words, index = hash_words(data, offsets)
-                tokens = (words % np.uint64(VOCABULARY)).astype(np.int32)
-                context, total = contexts(tokens, index), np.zeros(len(tokens) + 1)
+                tokens = (words % np.uint64(VOCABULARY)).astype(np.int16)
+                context, each = contexts(tokens, index), np.zeros(len(tokens))
                 for a in range(0, len(tokens), BATCH):
-                    total[a + 1 : a + 1 + BATCH] = net.log_probability(context[a : a + BATCH], tokens[a : a + BATCH])
+                    each[a : a + BATCH] = net.log_probability(context[a : a + BATCH], tokens[a : a + BATCH])
                 rare = np.zeros(len(words), bool)
                 if counted:
-                    total[1:] -= class_log[tokens]
+                    each -= class_log[tokens]
                     rare[:] = True
                     if len(common):
                         at = np.minimum(np.searchsorted(common, words), len(common) - 1)
                         rare = common[at] != words
-                        total[1:] += np.where(rare, 0.0, common_log[at])
-                np.cumsum(total, out=total)
+                        each += np.where(rare, 0.0, common_log[at])
+                total = np.concatenate([[0], np.cumsum(np.rint(each * UNIT).astype(np.int64))])
                 n = np.diff(index)
                 ends = np.concatenate([[0], np.cumsum(rare)])[index].astype(np.int32)
                 left = pa.ListArray.from_arrays(pa.array(ends), pa.array(words[rare].view(np.int64)))
-                sums = np.where(n > 0, total[index[1:]] - total[index[:-1]], 0.0)
+                sums = (total[index[1:]] - total[index[:-1]]) / UNIT
                 yield pa.RecordBatch.from_arrays([pa.array(number + np.arange(len(n))), batch.column(0).slice(row, len(n)), pa.array(n), pa.array(sums), left], names=["row", "doc_id", "n_tokens", "log_probability", "rare"])
                 number += len(n)
 
     out = slim.mapInArrow(run, "row long, doc_id long, n_tokens long, log_probability double, rare array<long>")
     if counts is not None:
         out = scratch.write(out)
-        rest = out.select("row", F.explode("rare").alias("word")).join(counts, "word").groupBy("row").agg(F.sum(F.log("n")).alias("rest"))
+        rest = out.select("row", F.explode("rare").alias("word")).join(counts, "word").groupBy("row").agg((F.sum(F.rint(F.log("n") * UNIT).cast("long")) / UNIT).alias("rest"))
         out = out.drop("rare").join(rest, "row", "left").withColumn("log_probability", F.col("log_probability") + F.coalesce("rest", F.lit(0.0)))
     out = out.select("doc_id", "n_tokens", "log_probability")
     return out.withColumn("mean_log_probability", F.try_divide("log_probability", "n_tokens"))

@@ -104,3 +104,41 @@ def test_every_position_is_a_target(spark):
     near = S.contexts(tokens, index)
     gain = net.log_probability(near, tokens) - fresh.log_probability(near, tokens)
     assert all(gain[k::4].mean() > 1 for k in range(4))
+
+
+def test_sums_by_plain_loops_from_the_weights(spark):
+    """The conditional log-probability of each word, written out from the weights and plain counts."""
+    import math
+
+    rng = np.random.default_rng(4)
+    texts = [" ".join(rng.choice(["the", "a", "Cat", "dog", "sat", "on", "mat", "ran"], rng.integers(1, 30))) for _ in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(1)
+    w = S.trained(docs.select("text")).w
+    got = {r.doc_id: r for r in S.scored(docs).collect()}
+    of, n, per_class = {}, {}, {}
+    for t in texts:
+        for word in t.lower().split():
+            data = np.frombuffer(word.encode(), np.uint8)
+            of[word] = int(S.hash_words(data, np.array([0, len(data)]))[0][0] % np.uint64(S.VOCABULARY))
+            n[word] = n.get(word, 0) + 1
+            per_class[of[word]] = per_class.get(of[word], 0) + 1
+
+    def softmax(z):
+        e = [math.exp(v - max(z)) for v in z]
+        return [v / sum(e) for v in e]
+
+    for i, t in enumerate(texts):
+        words, want = t.lower().split(), 0.0
+        for k, word in enumerate(words):
+            h = [0.0] * S.WIDTH
+            for j, d in enumerate((-3, -2, -1, 1, 2, 3)):
+                if 0 <= k + d < len(words):
+                    e = w["embed"][of[words[k + d]]]
+                    h = [x + float(e[c]) * float(w["place"][j][c]) for c, x in enumerate(h)]
+            h = [math.tanh(x) for x in h]
+            a, b = divmod(of[word], S.SIDE)
+            p = softmax([sum(h[c] * float(w["one"][c][s]) for c in range(S.WIDTH)) + float(w["one_b"][s]) for s in range(S.SIDE)])
+            h = [x + float(w["hint"][a][c]) for c, x in enumerate(h)]
+            q = softmax([sum(h[c] * float(w["two"][c][s]) for c in range(S.WIDTH)) + float(w["two_b"][s]) for s in range(S.SIDE)])
+            want += math.log(p[a]) + math.log(q[b]) + math.log(n[word] / per_class[of[word]])
+        assert got[i].n_tokens == len(words) and abs(got[i].log_probability - want) < 1e-3 * max(1, abs(want))
