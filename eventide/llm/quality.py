@@ -81,8 +81,14 @@ class Model:
             rows = some[a : a + 512]
             cosine = self.latent(counts[rows]) @ self.vectors.T
             near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
-            weight = np.maximum(np.take_along_axis(cosine, near, axis=1), 1e-6).astype(np.float64) ** 8 * self.votes[near]
+            of = np.take_along_axis(cosine, near, axis=1)
+            weight = np.maximum(of, 1e-6).astype(np.float64) ** 8 * self.votes[near]
             out[rows] = (weight * self.good[near]).sum(axis=1) / weight.sum(axis=1)
+            tied = np.flatnonzero((cosine >= of.min(axis=1, keepdims=True)).sum(axis=1) > k)
+            for r in tied.tolist():  # neighbours that tie at the last place all vote
+                at = np.flatnonzero(cosine[r] >= of[r].min())
+                weight = np.maximum(cosine[r, at], 1e-6).astype(np.float64) ** 8 * self.votes[at]
+                out[rows[r]] = (weight * self.good[at]).sum() / weight.sum()
         return out
 
 
@@ -118,15 +124,19 @@ def _counted(batches: Iterator) -> Iterator:
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
-    """The model from at most SAMPLE_A_LABEL rows of each label that aren't held out; the shares of the labels are counted over all of those rows."""
+    """The model from at most SAMPLE_A_LABEL ids of each label that aren't held out; the shares of the labels are counted over all of those.
+
+    An id whose labels disagree counts for none; of an id's texts, if several, one is taken whatever their order.
+    """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).where(~held_out(F.col("doc_id")))
+    known = known.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("most")).where("quality = most").drop("most")
     count = {r["quality"]: r["n"] for r in known.groupBy("quality").agg(F.count("*").alias("n")).collect()}
     picked = [r for q in count for r in known.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_A_LABEL).collect()]
     if not picked:
         return fit(np.zeros((0, TERMS), np.float32), np.zeros(0), 0.5)
     quality = {r["doc_id"]: r["quality"] for r in picked}
     ids = docs.sparkSession.createDataFrame([(i,) for i in quality], "doc_id long")
-    rows = _slim(docs).join(F.broadcast(ids), "doc_id", "left_semi").mapInArrow(_counted, "doc_id long, counts binary").collect()
+    rows = _slim(docs).join(F.broadcast(ids), "doc_id", "left_semi").mapInArrow(_counted, "doc_id long, counts binary").groupBy("doc_id").agg(F.min("counts").alias("counts")).collect()
     rows = sorted((r["doc_id"], bytes(r["counts"])) for r in rows)
     counts = np.stack([np.frombuffer(c, np.float32) for _, c in rows]) if rows else np.zeros((0, TERMS), np.float32)
     return fit(counts, np.array([quality[i] for i, _ in rows], dtype=np.float64), count.get(1, 0) / sum(count.values()))
@@ -138,7 +148,9 @@ def scored(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) ->
     score is the share of similarity-weighted votes for label 1 among the exactly nearest labelled vectors, over the
     whole text. A null, empty or blank text has no vector and gets the share of label 1; so does every text where no
     label is known (0.5). Labels of held-out rows aren't read; lang, source and doc_id are no inputs. Repeated rows are
-    scored alike. The labelled vectors are broadcast: their number is bounded by 2 * SAMPLE_A_LABEL.
+    scored each and alike; neighbours that tie at the last place all vote. A text of any length is taken whole and must
+    fit a task; an empty table gives no rows; other columns aren't read. The labelled vectors are broadcast: their number
+    is bounded by 2 * SAMPLE_A_LABEL.
     """
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
 

@@ -44,3 +44,68 @@ def test_edge_cases(spark):
     assert Q.accepted(docs, labels).columns == ["doc_id", "text", "score"]
     assert [r.score for r in Q.scored(docs, labels.limit(0)).collect()] == [0.5] * 7
     assert Q.scored(docs.limit(0), labels).collect() == []
+
+
+def test_score_against_loops_from_the_text():
+    """The whole path from raw texts, written out: terms, latent vectors and votes."""
+    rng = np.random.default_rng(6)
+    words = ["plain", "Word", "x1", "a|b", "été", "no-no", "RUN", "7"]
+    texts = [" ".join(rng.choice(words, rng.integers(1, 40), p=(w := rng.dirichlet(np.ones(8))))) for _ in range(60)]
+    data, ends = "".join(texts).encode(), np.cumsum([0] + [len(t.encode()) for t in texts])
+    counts = Q.term_counts(np.frombuffer(data, np.uint8), ends)
+
+    def shape(word):
+        out = []
+        for b in word.encode():
+            kind = "a" if 97 <= b <= 122 or b >= 128 else "A" if 65 <= b <= 90 else "0" if 48 <= b <= 57 else chr(b)
+            if not out or out[-1] != kind:
+                out.append(kind)
+        return "".join(out)
+
+    # texts with the same shapes, shape pairs and repetitions in the same numbers, and no others, have equal counts
+    def said(text):
+        w = text.split(" ")
+        return sorted(map(shape, w)), sorted((shape(a), shape(b), a.lower() == b.lower()) for a, b in zip(w, w[1:], strict=False))
+
+    pairs = sorted((shape(a), shape(b)) for a, b in zip(texts[0].split(" "), texts[0].split(" ")[1:], strict=False))
+    assert counts[0].sum() == len(texts[0].split(" ")) + 2 * len(pairs)
+    for i in range(60):
+        for j in range(i):
+            a, b = said(texts[i]), said(texts[j])
+            if a[0] == b[0] and [x[:2] for x in a[1]] == [x[:2] for x in b[1]] and sum(x[2] for x in a[1]) == sum(x[2] for x in b[1]):
+                assert (counts[i] == counts[j]).all()
+            elif a[0] != b[0]:
+                assert (counts[i] != counts[j]).any()
+    good = (rng.random(40) < 0.5).astype(float)
+    model = Q.fit(counts[:40], good, 0.7)
+    got = model.score(counts[40:])
+
+    def vector(c):
+        x = [np.sqrt(v / c.sum()) * w for v, w in zip(c, model.weight, strict=True)]
+        z = [sum(x[t] * model.axes[t, k] for t in np.flatnonzero(c)) for k in range(model.axes.shape[1])]
+        return np.array(z) / np.sqrt(sum(v * v for v in z))
+
+    known = [vector(c) for c in counts[:40]]
+    for c, g in zip(counts[40:], got, strict=True):
+        z = vector(c)
+        cosine = np.array([float((z * v).sum()) for v in known])
+        last = np.sort(cosine)[-Q.NEIGHBOURS]
+        near = np.flatnonzero(cosine >= last - 1e-6)
+        w = [max(cosine[k], 1e-6) ** 8 * (0.7 / good.mean() if good[k] else 0.3 / (1 - good.mean())) for k in near]
+        assert abs(g - sum(x for x, k in zip(w, near, strict=True) if good[k]) / sum(w)) < 2e-3
+
+
+def test_ties_and_labels_that_disagree(spark):
+    counts = np.zeros((60, Q.TERMS), np.float32)
+    counts[:, 3] = 1
+    counts[30:, 5] = 1
+    good = np.r_[np.arange(30) % 3 == 0, np.ones(30)].astype(float)
+    for order in (np.arange(60), np.random.default_rng(0).permutation(60)):
+        model = Q.fit(counts[order], good[order], good.mean())
+        assert abs(model.score(counts[:1])[0] - 1 / 3) < 1e-6  # all 30 that tie vote
+    docs = spark.createDataFrame([(k, f"Plain words {k} here.") for k in range(40)] + [(k, "a|b;;") for k in range(40, 80)] + [(3, "a|b;;")], "doc_id long, text string")
+    labels = [(k, int(k < 40)) for k in range(80)]
+    plain = spark.createDataFrame([x for x in labels if x[0] not in (1, 2, 41)], "doc_id long, quality int")
+    noisy = spark.createDataFrame([*labels, (1, 0), (2, 0), (41, 1)], "doc_id long, quality int")
+    both = [sorted((r.doc_id, r.score) for r in Q.scored(docs, x).collect()) for x in (plain, noisy)]
+    assert both[0] == both[1]
