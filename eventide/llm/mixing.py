@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, table
+from .common import Scratch, named, table
 
 MARGINS = ("source", "lang", "topic")
 #: Up to so many cells are broadcast; more are joined by a shuffle.
@@ -95,6 +95,36 @@ def _sized(docs: DataFrame, cells: DataFrame) -> DataFrame:
     return F.broadcast(cells) if cells.count() <= BROADCAST_CELLS else cells
 
 
+def cells_of(docs: DataFrame, targets: Targets = PRODUCTION) -> DataFrame:
+    """The cells (source, lang, topic) of docs with their tokens t, raked weights w and rates."""
+    rows = docs.select(_key("source").alias("source"), _key("lang").alias("lang"), topic_of(F.col("text")).alias("topic"), tokens_of(F.col("text")).alias("n_tokens"))
+    return weighted_cells(rows.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("t")), targets)
+
+
+def residuals(cells: DataFrame, targets: Targets = PRODUCTION) -> DataFrame:
+    """margin, value, wanted, reached and residual, their distance, of each named target that occurs, and of each source: how far the sweeps came.
+
+    A residual that stays large says that the targets can't be met together with these cells.
+    """
+    parts = []
+    for margin in MARGINS:
+        sums = cells.groupBy(F.col(margin).alias("value")).agg(F.sum("w").alias("w"), F.sum("t").alias("t"))
+        power = F.pow(F.col("t"), F.lit(targets.temper))
+        if named := getattr(targets, margin):
+            share = F.lit(None).cast("double")
+            for value, part in named.items():
+                share = F.when(F.col("value") == value, F.lit(float(part))).otherwise(share)
+            # values without a target share the rest; those named that don't occur leave theirs to all
+            other = F.sum(F.when(share.isNull(), power)).over(Window.partitionBy(F.lit(1)))
+            sums = sums.withColumn("x", F.coalesce(share, F.lit(targets.rest) * power / other))
+        else:
+            sums = sums.withColumn("x", power)
+        sums = sums.withColumn("wanted", F.col("x") / F.sum("x").over(Window.partitionBy(F.lit(1))))
+        reached = F.col("w") / F.sum("w").over(Window.partitionBy(F.lit(1)))
+        parts.append(sums.select(F.lit(margin).alias("margin"), "value", "wanted", reached.alias("reached"), F.abs(reached - F.col("wanted")).alias("residual")))
+    return parts[0].union(parts[1]).union(parts[2])
+
+
 def mixed(docs: DataFrame, targets: Targets = PRODUCTION) -> DataFrame:
     """doc_id, source, lang, topic, n_tokens, weight, rate and kept for every row of docs (doc_id, text, source, lang).
 
@@ -112,11 +142,11 @@ def mixed(docs: DataFrame, targets: Targets = PRODUCTION) -> DataFrame:
 
 
 def sampled(docs: DataFrame, targets: Targets = PRODUCTION) -> DataFrame:
-    """The kept rows of docs with all their columns."""
-    rows = docs.withColumn("__cell", F.struct(_key("source").alias("source"), _key("lang").alias("lang"), topic_of(F.col("text")).alias("topic")))
-    sums = rows.groupBy("__cell").agg(F.sum(tokens_of(F.col("text"))).alias("t")).select("__cell.*", "t")
-    cells = _sized(docs, weighted_cells(sums, targets)).select(F.struct(*MARGINS).alias("__cell"), F.col("rate").alias("__rate"))
-    return rows.join(cells, "__cell").where(uniform(F.col("doc_id")) < F.col("__rate")).select(*docs.columns)
+    """The kept rows of docs with all their columns, whatever their names; nulls, ties and repeats as in `mixed`."""
+    rows = docs.select(F.struct(*map(named, docs.columns)).alias("row"), F.struct(_key("source").alias("source"), _key("lang").alias("lang"), topic_of(F.col("text")).alias("topic")).alias("cell"))
+    sums = rows.groupBy("cell").agg(F.sum(tokens_of(F.col("row.text"))).alias("t")).select("cell.*", "t")
+    cells = _sized(docs, weighted_cells(sums, targets)).select(F.struct(*MARGINS).alias("cell"), "rate")
+    return rows.join(cells, "cell").where(uniform(F.col("row.doc_id")) < F.col("rate")).select(*(named(c, "row.") for c in docs.columns))
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

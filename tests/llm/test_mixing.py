@@ -38,3 +38,19 @@ def test_edge_cases(spark):
     assert M.sampled(docs).columns == docs.columns
     assert sorted(r.t for r in M.sampled(docs).collect()) == sorted(8 if r.doc_id is None else {1: 5, 2: 6, 3: 7}[r.doc_id] for r in got if r.kept)
     assert M.mixed(docs.limit(0)).collect() == []
+
+
+def test_columns_of_any_name(spark):
+    names = ["doc_id", "text", "source", "lang", "__cell", "__rate", "cell", "rate", "row", "topic", "a.b"]
+    docs = spark.createDataFrame([(k, f"w{k} words", "s", "en", *range(7)) for k in range(50)], names)
+    got = M.sampled(docs)
+    kept = {r.doc_id for r in M.mixed(docs).collect() if r.kept}
+    assert got.columns == names and sorted(tuple(r) for r in got.collect()) == sorted(tuple(r) for r in docs.collect() if r.doc_id in kept)
+
+
+def test_sweeps_converge(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    few, many = ({(r.source, r.lang, r.topic): r.w for r in M.cells_of(docs, M.Targets(sweeps=n)).collect()} for n in (M.PRODUCTION.sweeps, 40))
+    assert all(abs(few[c] / many[c] - 1) < 1e-3 for c in many)
+    left = [{r.margin: r.residual for r in M.residuals(M.cells_of(docs, M.Targets(sweeps=n)), M.PRODUCTION).groupBy("margin").agg({"residual": "max"}).withColumnRenamed("max(residual)", "residual").collect()} for n in (1, M.PRODUCTION.sweeps)]
+    assert max(left[1].values()) < 1e-3 and max(left[1].values()) < max(left[0].values())
