@@ -65,7 +65,7 @@ def master_rules(threshold: float = 240.0) -> dict[str, Column]:
         "fitted beta in bounds": c("beta").isNull() | c("beta").between(0.01, 2.0),
         "interval ordered": c("ci_low").isNull() | (c("ci_low") <= c("ci_high")),
         "tail within events": c("tail_count") <= c("total_count"),
-        "strict betas are eligible": ~((c("beta_quality") == "strict_quality_beta") ^ c("eligible_for_beta")),
+        "strict betas are eligible": (c("beta_quality") == "strict_quality_beta") == c("eligible_for_beta"),
         "problems have issues": (c("issue_type") != "") | ((c("coordinate_status") == "valid") & (c("beta_quality") == "strict_quality_beta")),
     }
 

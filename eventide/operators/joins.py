@@ -51,6 +51,20 @@ def masked_join(left: DataFrame, right: DataFrame, on: list[str], accepted: Colu
     return out.select(*left.columns, *(F.when(F.col("__ok"), F.col(c)).alias(c) for c in extra))
 
 
+def mapped(frame: DataFrame, key: str, lookup: DataFrame, lookup_key: str, value: str, fill=None) -> DataFrame:
+    """frame with the value that a lookup, unique by its key, holds for each row's key, aligned by key and never by position; `fill` where it holds none."""
+    own = lookup.select(F.col(lookup_key).alias("__key"), F.col(value).alias("__value"))
+    if n := duplicate_keys(own, "__key"):
+        raise ValueError(f"{n} keys stand more than once in the lookup")
+    out = frame.join(own, F.col(key) == F.col("__key"), "left").drop("__key")
+    return out.withColumn(value, F.col("__value") if fill is None else F.coalesce("__value", F.lit(fill))).drop("__value")
+
+
+def stable_order(frame: DataFrame, by: list[str], order: list[str], then: list[str]) -> DataFrame:
+    """`place`, the number of each row within its group by `order`; rows that tie stand by `then`, which names the input's own order, so the result doesn't depend on how rows arrive."""
+    return frame.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(*order, *then)))
+
+
 def nearest(sensors: DataFrame, works: DataFrame, by: str, limit: float) -> DataFrame:
     """Each sensor's nearest works of its own group, the first by key on ties, dropped beyond the limit after ranking.
 

@@ -134,6 +134,23 @@ def link_status(status: Column, code: Column, matched: Column, own_company: Colu
     )
 
 
+def environment(assignments: DataFrame, quality: DataFrame, works: DataFrame) -> DataFrame:
+    """Sensors with their quality, how they link to works characteristics, those characteristics where accepted, and two eligibilities with all reasons against.
+
+    assignments: (sensor, company, code, status); quality: (sensor, beta, eligible_for_beta); works: (company, code, ...).
+    """
+    extra = [c for c in works.columns if c not in ("company", "code")]
+    known = works.groupBy("code").agg(F.collect_set("company").alias("__companies"))
+    out = assignments.join(quality, "sensor", "left").join(works.withColumn("__hit", F.lit(True)), ["company", "code"], "left").join(known, "code", "left")
+    link = link_status(F.col("status"), F.col("code"), F.col("__hit").isNotNull(), F.array_contains("__companies", F.col("company")))
+    out = out.withColumn("link_status", link)
+    ok = F.col("link_status") == "matched_wwtw_characteristics"
+    out = out.withColumns({c: F.when(F.col("status").isin(*ACCEPTED), F.col(c)) for c in extra})
+    positive, strict = F.coalesce(finite(F.col("beta")) & (F.col("beta") > 0), F.lit(False)), F.coalesce("eligible_for_beta", F.lit(False))
+    reasons = F.array_compact(F.array(F.when(~ok, F.col("link_status")), F.when(~positive, "missing_beta"), F.when(~strict, "strict_beta_quality_failed")))
+    return out.withColumns({"exploratory": ok & positive, "primary_ok": ok & strict, "exclusion_reasons": F.array_join(reasons, "|")}).drop("__hit", "__companies")
+
+
 def first_reason(*rules: tuple[Column, str]) -> Column:
     """The text of the first rule that holds, else 'eligible'."""
     out = F.lit("eligible")

@@ -183,7 +183,7 @@ _RULES = {
 }
 
 
-@query("V2_V3_master_gates", " UNION ALL ".join(f"SELECT '{n}' AS gate, count(*) FILTER (NOT coalesce({r}, false)) AS violations, count(*) FILTER (NOT coalesce({r}, false)) = 0 AS passed FROM {_ISSUES}" for n, r in _RULES.items()))
+@query("V2_named_rules", " UNION ALL ".join(f"SELECT '{n}' AS gate, count(*) FILTER (NOT coalesce({r}, false)) AS violations, count(*) FILTER (NOT coalesce({r}, false)) = 0 AS passed FROM {_ISSUES}" for n, r in _RULES.items()))
 def _(spark, sf):
     return gates.violations(master.with_issues(_quality(spark, sf)), {n: F.expr(r) for n, r in _RULES.items()})
 
@@ -357,10 +357,13 @@ _PRIMARY = f"""(SELECT company, code, coalesce(candidates, 0) AS candidates, coa
   max(CASE WHEN distance_rank = 1 THEN {{'sensor': sensor, 'exact': exact, 'score': score}} END) AS best FROM {_RANKED} GROUP BY 1, 2) g USING (company, code)))"""
 
 
-def _primary(spark, sf):
+def _universe(spark, sf):
     c = F.col("c_custkey")
-    universe = _read(spark, sf, "customer").select(F.concat(F.lit("n"), (c % 4).cast("string")).alias("company"), F.concat(F.lit("W"), (c % 230).cast("string")).alias("code"), (c % 230 != 5).alias("works_ok")).distinct()
-    return joins.primary(universe, _ranked(spark, sf))
+    return _read(spark, sf, "customer").select(F.concat(F.lit("n"), (c % 4).cast("string")).alias("company"), F.concat(F.lit("W"), (c % 230).cast("string")).alias("code"), (c % 230 != 5).alias("works_ok")).distinct()
+
+
+def _primary(spark, sf):
+    return joins.primary(_universe(spark, sf), _ranked(spark, sf))
 
 
 @query("W8_W9_primary_selection", f"SELECT * REPLACE (round(nearest, 4) AS nearest, round(second, 4) AS second, round(gap, 4) AS gap) FROM {_PRIMARY}")
