@@ -65,6 +65,30 @@ def stable_order(frame: DataFrame, by: list[str], order: list[str], then: list[s
     return frame.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(*order, *then)))
 
 
+#: Parts that a global order is cut into.
+PARTS = 64
+
+
+def numbered(frame: DataFrame, lead: Column, order: list[Column | str], name: str) -> DataFrame:
+    """`name`: each row's number, from 1, in the order of lead, a number, and then `order`; nulls of lead stand last.
+
+    The order is cut at approximate quantiles of lead; each part is numbered by itself and moved on by the rows of the
+    parts before it, so no task sorts the whole table unless all of it ties.
+    """
+    from pyspark.sql.types import LongType
+
+    cuts = frame.agg(F.percentile_approx(lead, [k / PARTS for k in range(1, PARTS)], 1000)).first()[0] or []
+    part = F.lit(0)
+    for c in sorted(set(cuts)):
+        part = part + F.when(lead > c, 1).otherwise(0)
+    own = frame.withColumn("__part", F.when(lead.isNull(), PARTS).otherwise(part))
+    sizes = own.groupBy("__part").agg(F.count("*").alias("__n"))
+    # one row a part
+    before = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
+    place = F.row_number().over(Window.partitionBy("__part").orderBy(F.asc_nulls_last(lead), *order))
+    return own.withColumn("__place", place).join(F.broadcast(before), "__part").withColumn(name, (F.col("__place") + F.col("__before")).cast(LongType())).drop("__part", "__place", "__before")
+
+
 def nearest(sensors: DataFrame, works: DataFrame, by: str, limit: float) -> DataFrame:
     """Each sensor's nearest works of its own group, the first by key on ties, dropped beyond the limit after ranking.
 

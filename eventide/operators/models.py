@@ -81,13 +81,14 @@ class Gram:
         return self.sums[1 : p + 1, 1 : p + 1] - self.n * np.outer(mean, mean), self.sums[1 : p + 1, p + 1] - self.n * mean * my, mean, my
 
 
-def grams(frame: DataFrame, prepared: Prepared, y: Column, fold: Column | None = None) -> dict:
-    """The Gram of each fold (one, None, without folds): one aggregate, p**2 / 2 sums a fold reach the driver."""
+def grams(frame: DataFrame, prepared: Prepared, y: Column, fold: Column | None = None, weight: Column | None = None) -> dict:
+    """The Gram of each fold (one, None, without folds): one aggregate, p**2 / 2 sums a fold reach the driver. weight: how often a row counts."""
     names = prepared.names
-    rows = frame.select(F.lit(1.0).alias("__1"), *prepared.columns(), y.cast("double").alias("__y"), (fold if fold is not None else F.lit(0)).alias("__fold"))
+    weighed = weight if weight is not None else F.lit(1.0)
+    rows = frame.select(F.lit(1.0).alias("__1"), *prepared.columns(), y.cast("double").alias("__y"), (fold if fold is not None else F.lit(0)).alias("__fold"), weighed.cast("double").alias("__w"))
     all_ = ["__1", *names, "__y"]
     pairs = [(i, j) for i in range(len(all_)) for j in range(i, len(all_))]
-    got = rows.groupBy("__fold").agg(*(F.sum(F.col(f"`{all_[i]}`") * F.col(f"`{all_[j]}`")).alias(f"p{i}_{j}") for i, j in pairs)).collect()
+    got = rows.groupBy("__fold").agg(*(F.sum(F.col("__w") * F.col(f"`{all_[i]}`") * F.col(f"`{all_[j]}`")).alias(f"p{i}_{j}") for i, j in pairs)).collect()
     out = {}
     for r in got:
         m = np.zeros((len(all_),) * 2)
@@ -220,6 +221,7 @@ def resampled_gain(frame: DataFrame, y: str, predicted: str, base: str, draws: i
 
 
 def verdict(gain: Column, low: Column, r2: Column) -> Column:
+    """What a gain over the baseline amounts to; the texts and limits are fixed values."""
     return F.when((gain > 10) & (low > 0) & (r2 > 0), "STRONG / USEFUL PREDICTIVE SIGNAL").when((gain > 0) & (r2 > 0) & (low > -2), "MODEST / QUALIFIED SIGNAL").when((gain > 0) & (r2 > -0.05), "WEAK / INCONCLUSIVE").otherwise("NO DEMONSTRATED PREDICTIVE SKILL")
 
 
@@ -240,3 +242,201 @@ def count_model(frame: DataFrame, x: str, count: str, exposure: str, dispersion:
         if np.abs(step).max() < 1e-10:
             break
     return a, b, float(np.sqrt(np.linalg.inv(info)[1, 1]))
+
+
+def rmse(m: Linear, g: Gram) -> float:
+    return float(np.sqrt(m.sse(g) / g.n))
+
+
+def among(g: Gram, keep: list[str]) -> Gram:
+    """The Gram of some of the features."""
+    at = [0, *(1 + g.names.index(k) for k in keep), len(g.names) + 1]
+    return Gram(list(keep), g.sums[np.ix_(at, at)])
+
+
+def balanced_folds(frame: DataFrame, group: Column, folds: int) -> DataFrame:
+    """frame with `fold`: whole groups are dealt to folds from the largest on, in turn, so that no group is split. One row a group is ordered."""
+    own = frame.withColumn("__group", group)
+    sizes = own.groupBy("__group").agg(F.count("*").alias("__n"))
+    place = F.row_number().over(Window.orderBy(F.desc("__n"), "__group"))
+    return own.join(sizes.withColumn("fold", ((place - 1) % folds).cast("int")).drop("__n"), "__group").drop("__group")
+
+
+def out_of_fold(parts: dict, kind: str, alpha: float = 0.0) -> tuple[int, float, float, float]:
+    """(rows, RMSE, baseline RMSE, gain in per cent) of predictions for each fold by a model of the others; the baseline is the mean of all."""
+    whole = total(parts)
+    score = np.sqrt(sum(solve(whole - g, kind, alpha).sse(g) for g in parts.values()) / whole.n)
+    base = rmse(solve(whole, "mean"), whole)
+    return int(whole.n), float(score), base, float(100 * (base - score) / base)
+
+
+def leave_one_out(parts: dict, kind: str, alpha: float = 0.0, least: int = 10, train_least: int = 50) -> list[tuple]:
+    """(group, rows, RMSE, baseline RMSE, gain) for each group predicted by a model, and the mean, of the others; groups and trains that are too small are left out."""
+    whole, out = total(parts), []
+    for key in sorted(parts):
+        g, rest = parts[key], whole - parts[key]
+        if g.n >= least and rest.n >= train_least:
+            score, base = rmse(solve(rest, kind, alpha), g), rmse(solve(rest, "mean"), g)
+            out.append((key, int(g.n), score, base, float(100 * (base - score) / base)))
+    return out
+
+
+def ablation(fit: Gram, test: Gram, blocks: dict[str, list[str]], kind: str = "ols", alpha: float = 0.0) -> list[tuple]:
+    """(block removed, features left, RMSE, its difference from the whole model's)."""
+    whole = rmse(solve(fit, kind, alpha), test)
+    out = [("none_full_model", len(fit.names), whole, 0.0)]
+    for block, gone in blocks.items():
+        keep = [n for n in fit.names if n not in gone]
+        if len(keep) < len(fit.names):
+            score = rmse(solve(among(fit, keep), kind, alpha), among(test, keep))
+            out.append((block, len(keep), score, score - whole))
+    return out
+
+
+def permutation_importance(m: Linear, test: Gram) -> dict[str, float]:
+    """By how much the RMSE grows with a feature's values dealt anew among the rows: the expectation over all permutations, from the Gram alone.
+
+    With r the residual without feature j, the mean square over permutations is E r^2 - 2 w E r E x + w^2 E x^2.
+    """
+    base, out = rmse(m, test), {}
+    v = np.concatenate([[-m.intercept], -m.weights, [1.0]])
+    for j, name in enumerate(test.names):
+        r = v.copy()
+        r[j + 1] = 0.0
+        w = m.weights[j]
+        square = (r @ test.sums @ r) / test.n
+        mean_r, mean_x = (r @ test.sums[:, 0]) / test.n, test.sums[0, j + 1] / test.n
+        out[name] = float(np.sqrt(square - 2 * w * mean_r * mean_x + w * w * test.sums[j + 1, j + 1] / test.n)) - base
+    return out
+
+
+#: P(X <= k) of a Poisson variable of mean 1, k from 0 on.
+_POISSON = [float(sum(np.exp(-1) / np.prod(range(1, j + 1), dtype=float) for j in range(k + 1))) for k in range(9)]
+
+
+def multiplicity(key: Column, draw: Column) -> Column:
+    """How often a row stands in a bootstrap draw, Poisson of mean 1 by the md5 of its key and the draw's number."""
+    u = F.conv(F.substring(F.md5(F.concat_ws("|", key.cast("string"), draw.cast("string")).cast("binary")), 1, 12), 16, 10).cast("double") / float(1 << 48)
+    return sum((F.when(u >= p, 1).otherwise(0) for p in _POISSON[1:]), F.when(u >= _POISSON[0], 1).otherwise(0))
+
+
+def stability(frame: DataFrame, prepared: Prepared, y: Column, key: Column, draws: int = 200, kind: str = "ols", alpha: float = 0.0) -> list[tuple]:
+    """(feature, median, 2.5 %, 97.5 %, share positive) of the coefficients over bootstrap draws; rows are reduced to one Gram a draw before the shuffle."""
+    own = frame.withColumn("__key", key).withColumn("__draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
+    parts = grams(own, prepared, y, F.col("__draw"), multiplicity(F.col("__key"), F.col("__draw")))
+    w = np.array([solve(parts[d], kind, alpha).weights for d in sorted(parts)])
+    low, mid, high = np.quantile(w, [0.025, 0.5, 0.975], axis=0)
+    return [(n, float(mid[k]), float(low[k]), float(high[k]), float((w[:, k] > 0).mean())) for k, n in enumerate(prepared.names)]
+
+
+def learning_curve(parts: dict, steps: list[float], kind: str = "ols", alpha: float = 0.0) -> list[tuple]:
+    """(share, training rows, training RMSE, cross-validated RMSE) of models that see the first share of each training fold.
+
+    parts: Grams by (fold, step), a row's step being the first of `steps` that reaches its seeded number.
+    """
+    folds, out = sorted({f for f, _ in parts}), []
+    names = next(iter(parts.values())).names
+    zero = Gram(names, np.zeros((len(names) + 2,) * 2))
+    add = lambda gs: Gram(names, sum((g.sums for g in gs), zero.sums))
+    for k, share in enumerate(steps):
+        n, inside, outside, tested = 0.0, 0.0, 0.0, 0.0
+        for f in folds:
+            train = add(g for (other, s), g in parts.items() if other != f and s <= k)
+            test = add(g for (other, _), g in parts.items() if other == f)
+            m = solve(train, kind, alpha)
+            n, inside, outside, tested = n + train.n, inside + m.sse(train), outside + m.sse(test), tested + test.n
+        out.append((share, int(n), float(np.sqrt(inside / n)), float(np.sqrt(outside / tested))))
+    return out
+
+
+def coefficient_table(m: Linear, names: list[str], families: dict[str, str]) -> list[tuple]:
+    """(feature, its clean name, family, standardised coefficient), missing-value flags under their feature's family; the first matching word names the family."""
+    def family(name: str) -> str:
+        return next((f for word, f in families.items() if word in name), "other")
+
+    return [(n, n.replace("__missing", " (missing)").replace("_", " ").strip(), family(n.removesuffix("__missing")), float(w)) for n, w in zip(names, m.weights, strict=True)]
+
+
+def configurations(parts: dict, sets: dict[str, list[str]], kind: str = "ols", alpha: float = 0.0) -> list[tuple]:
+    """(configuration, validation RMSE of a model of TRAIN, test RMSE of a model of both, its difference from the first configuration's)."""
+    out = []
+    for name, keep in sets.items():
+        g = {k: among(v, keep) for k, v in parts.items()}
+        validation = rmse(solve(g["TRAIN"], kind, alpha), g["VALIDATION"])
+        test = rmse(solve(total({k: g[k] for k in ("TRAIN", "VALIDATION")}), kind, alpha), g["TEST"])
+        out.append((name, validation, test, test - (out[0][2] if out else test)))
+    return out
+
+
+def random_intercept(frame: DataFrame, prepared: Prepared, y: Column, group: Column) -> dict[str, float]:
+    """A linear model with a random intercept for each group by maximum likelihood: coefficients, residual and group variance, their share (icc), log-likelihood, AIC.
+
+    For a ratio t of the variances a group of n rows takes t / (1 + n t) of its squared sums off the Gram. Groups are
+    summed by their size first, so the driver gets one small matrix a size, and the ratio is found by a search in one
+    dimension. A ratio at zero is a singular fit: ordinary least squares.
+    """
+    names = prepared.names
+    whole = grams(frame, prepared, y)[None]
+    sums = ["__1", *names, "__y"]
+    rows = frame.select(group.alias("__g"), F.lit(1.0).alias("__1"), *prepared.columns(), y.cast("double").alias("__y"))
+    each = rows.groupBy("__g").agg(*(F.sum(F.col(f"`{c}`")).alias(c) for c in sums))
+    pairs = [(i, j) for i in range(len(sums)) for j in range(i, len(sums))]
+    by_size = {}
+    for r in each.groupBy(F.col("__1").alias("__size")).agg(F.count("*").alias("__n"), *(F.sum(F.col(f"`{sums[i]}`") * F.col(f"`{sums[j]}`")).alias(f"p{i}_{j}") for i, j in pairs)).collect():
+        m = np.zeros((len(sums),) * 2)
+        for i, j in pairs:
+            m[i, j] = m[j, i] = r[f"p{i}_{j}"]
+        by_size[r["__size"]] = (r["__n"], m)
+    n = whole.n
+
+    def fit(t: float) -> tuple[float, np.ndarray, float]:
+        g = whole.sums - sum(m * (t / (1 + size * t)) for size, (_, m) in by_size.items())
+        w = np.linalg.lstsq(g[:-1, :-1], g[:-1, -1], rcond=None)[0]
+        v = np.append(-w, 1.0)
+        sigma = max(float(v @ g @ v) / n, 1e-300)
+        return -0.5 * (n * np.log(2 * np.pi * sigma) + sum(k * np.log1p(size * t) for size, (k, _) in by_size.items()) + n), w, sigma
+
+    low, high = -12.0, 8.0  # of log10 t, narrowed by a golden section around the best of a coarse grid
+    grid = np.linspace(low, high, 81)
+    at = int(np.argmax([fit(10.0**x)[0] for x in grid]))
+    a, b = grid[max(at - 1, 0)], grid[min(at + 1, len(grid) - 1)]
+    ratio = (np.sqrt(5) - 1) / 2
+    for _ in range(80):
+        c, d = b - ratio * (b - a), a + ratio * (b - a)
+        a, b = (a, d) if fit(10.0**c)[0] > fit(10.0**d)[0] else (c, b)
+    t = 10.0 ** ((a + b) / 2)
+    if fit(0.0)[0] >= fit(t)[0] - 1e-9:
+        t = 0.0
+    value, w, sigma = fit(float(t))
+    out = {"intercept": float(w[0])} | {k: float(x) for k, x in zip(names, w[1:], strict=True)}
+    return out | {"residual_variance": sigma, "group_variance": float(t * sigma), "icc": float(t / (1 + t)), "log_likelihood": float(value), "aic": float(2 * (len(w) + 2) - 2 * value), "singular": float(t == 0.0)}
+
+
+def permuted(size: int, seed: int) -> np.ndarray:
+    """The seeded order of row numbers by which the teaching run splits: a permutation of 0..size-1."""
+    return np.random.default_rng(seed).permutation(size)
+
+
+def permutation_split(frame: DataFrame, order: list[str], seed: int = 42) -> DataFrame:
+    """`split` by a seeded permutation of the rows, numbered by `order`, which must name them uniquely: 70 % TRAIN, 15 % VALIDATION, the rest TEST, each with its least number.
+
+    Only numbers are permuted on the driver, eight bytes a row, up to 10,000,000 rows; beyond, use split_of.
+    """
+    from .joins import small
+
+    n = frame.count()
+    if n < 12:
+        raise ValueError("at least 12 rows are needed")
+    if n > 10_000_000:
+        raise ValueError(f"{n} rows are too many for a permutation on the driver")
+    train = max(8, int(np.floor(n * 0.70)))
+    validation = min(max(train + 2, int(np.floor(n * 0.85))), n - 2)
+    named = np.full(n, "TEST", dtype=object)
+    at = permuted(n, seed)
+    named[at[:train]], named[at[train:validation]] = "TRAIN", "VALIDATION"
+    import pandas as pd
+
+    spark = frame.sparkSession
+    splits = spark.createDataFrame(pd.DataFrame({"__k": np.arange(1, n + 1), "split": named}))
+    numbers = frame.withColumn("__k", F.row_number().over(Window.orderBy(*order)).cast("long"))
+    return numbers.join(small(splits), "__k").drop("__k")

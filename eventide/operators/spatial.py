@@ -233,3 +233,112 @@ def clusters(works: DataFrame, radius_km: float) -> DataFrame:
     own = works.select("company", "code", "x", "y").groupBy("company").applyInPandas(kernel, "company string, code string, x double, y double, cluster int")
     order = own.groupBy("company", "cluster").agg(F.avg("x").alias("mx"), F.avg("y").alias("my")).withColumn("k", F.row_number().over(Window.partitionBy("company").orderBy("mx", "my")))
     return own.join(order.select("company", "cluster", "k"), ["company", "cluster"]).withColumn("region", F.format_string(f"%s_R{radius_km:02.0f}_%03d", F.upper("company"), F.col("k"))).drop("cluster", "k")
+
+
+def polygon_parts(frame: DataFrame, column: str = "coordinates") -> DataFrame:
+    """One row for each ring of multipolygons given as arrays of polygons, arrays of rings, arrays of (x, y): polygon, part, ring, hole, xs, ys; empty parts drop."""
+    parts = frame.select("polygon", F.posexplode(column).alias("part", "__rings")).where(F.size("__rings") > 0)
+    rings = parts.select("polygon", "part", F.posexplode("__rings").alias("ring", "__p")).where(F.size("__p") >= 3)
+    return rings.select("polygon", "part", "ring", (F.col("ring") > 0).alias("hole"), F.transform("__p", lambda p: p[0]).alias("xs"), F.transform("__p", lambda p: p[1]).alias("ys"))
+
+
+def consistent_geometry(frame: DataFrame, key: str, geometry: list[str]) -> DataFrame:
+    """One row a key with its geometry; a key whose rows disagree is an error, as none is chosen."""
+    g = F.struct(*geometry)
+    own = frame.groupBy(key).agg(F.countDistinct(g).alias("__n"), F.min(g).alias("__g"))
+    if n := own.where("__n > 1").count():
+        raise ValueError(f"{n} keys with several geometries")
+    return own.select(key, "__g.*")
+
+
+def geometry_counts(frame: DataFrame, key: str, geometry: list[str]) -> DataFrame:
+    """How many rows and different geometries a key has, and whether they agree."""
+    n = F.countDistinct(F.struct(*geometry))
+    return frame.groupBy(key).agg(F.count("*").alias("rows"), n.alias("geometries"), (n == 1).alias("consistent"))
+
+
+def repaired(rings: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(usable rings, the others with a reason): rings (polygon, xs, ys, hole) with a coordinate that isn't finite, under three different points or no area are put aside; a part that repeats stands once."""
+    own = rings.dropDuplicates(["polygon", "xs", "ys", "hole"])
+    odd = F.exists("xs", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))) | F.exists("ys", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
+    points = F.size(F.array_distinct(F.arrays_zip("xs", "ys")))
+    reason = F.when(F.col("xs").isNull() | F.col("ys").isNull() | (F.size("xs") != F.size("ys")), "malformed").when(odd, "not_finite").when(points < 3, "too_few_points").when(ring_area("xs", "ys") <= 0, "no_area")
+    own = own.withColumn("reason", reason)
+    return own.where("reason is null").drop("reason"), own.where("reason is not null")
+
+
+def ring_area(xs: str, ys: str) -> Column:
+    """The shoelace area of a ring in arrays of its corners, closed or not."""
+    n = F.size(xs)
+    turn = F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.get(xs, k) * F.get(ys, (k + 1) % n) - F.get(xs, (k + 1) % n) * F.get(ys, k))
+    return F.abs(F.aggregate(turn, F.lit(0.0), lambda a, v: a + v)) / 2
+
+
+def clip_convex(ring: np.ndarray, clip: np.ndarray) -> float:
+    """The area of a ring inside a convex ring: a half-plane cut for each of its edges, then the shoelace sum."""
+    x, y = clip[:, 0], clip[:, 1]
+    if np.dot(x, np.roll(y, -1)) < np.dot(y, np.roll(x, -1)):
+        clip = clip[::-1]
+    points = ring
+    for a, b in zip(clip, np.roll(clip, -1, axis=0), strict=True):
+        if len(points) < 3:
+            return 0.0
+        d = (b[0] - a[0]) * (points[:, 1] - a[1]) - (b[1] - a[1]) * (points[:, 0] - a[0])
+        out = []
+        for k in range(len(points)):
+            j = (k + 1) % len(points)
+            if d[k] >= 0:
+                out.append(points[k])
+            if (d[k] >= 0) != (d[j] >= 0):
+                out.append(points[k] + (points[j] - points[k]) * (d[k] / (d[k] - d[j])))
+        points = np.array(out).reshape(-1, 2)
+    if len(points) < 3:
+        return 0.0
+    x, y = points[:, 0], points[:, 1]
+    return abs(float(np.dot(x, np.roll(y, -1)) - np.dot(y, np.roll(x, -1)))) / 2
+
+
+def overlay(units: DataFrame, zones: DataFrame, cell: float) -> DataFrame:
+    """(unit, zone, area) where rings of units (polygon, xs, ys, hole) and of zones, which must be convex, overlap.
+
+    Boxes meet in the cell that holds the lower left corner of their overlap, by an equi-join on cells, so each pair is
+    compared once; areas are clipped in Arrow batches, holes are taken off.
+    """
+    def boxed(rings: DataFrame, name: str) -> DataFrame:
+        own = rings.select(F.col("polygon").alias(name), *(F.col(c).alias(f"{name}_{c}") for c in ("xs", "ys", "hole")), F.array_min("xs").alias(f"{name}_x0"), F.array_max("xs").alias(f"{name}_x1"), F.array_min("ys").alias(f"{name}_y0"), F.array_max("ys").alias(f"{name}_y1"))
+        for axis in "xy":
+            own = own.withColumn(f"c{axis}", F.explode(F.sequence(F.floor(F.col(f"{name}_{axis}0") / cell).cast("long"), F.floor(F.col(f"{name}_{axis}1") / cell).cast("long"))))
+        return own
+
+    both = boxed(units, "unit").join(boxed(zones, "zone"), ["cx", "cy"])
+    corner = {axis: F.greatest(f"unit_{axis}0", f"zone_{axis}0") for axis in "xy"}
+    meet = [corner[a] < F.least(f"unit_{a}1", f"zone_{a}1") for a in "xy"] + [F.floor(corner[a] / cell).cast("long") == F.col(f"c{a}") for a in "xy"]
+    both = both.where(meet[0] & meet[1] & meet[2] & meet[3]).select("unit", "zone", "unit_xs", "unit_ys", "unit_hole", "zone_xs", "zone_ys", "zone_hole")
+
+    def clip(batches):
+        for part in batches:
+            areas = [(-1 if r.unit_hole != r.zone_hole else 1) * clip_convex(np.column_stack([r.unit_xs, r.unit_ys]), np.column_stack([r.zone_xs, r.zone_ys])) for r in part.itertuples()]
+            yield pd.DataFrame({"unit": part["unit"], "zone": part["zone"], "area": areas})
+
+    out = both.mapInPandas(clip, "unit string, zone string, area double")
+    return out.groupBy("unit", "zone").agg(F.sum("area").alias("area")).where("area > 0")
+
+
+def union_area(rectangles: DataFrame, by: str, step: float) -> DataFrame:
+    """(by, area) that rectangles (by, x0, y0, x1, y1) on a grid of `step` cover together, overlaps once; a corner off the grid is an error, as the area would not be exact."""
+    off = lambda c: F.abs(F.col(c) / step - F.round(F.col(c) / step)) > 1e-9
+    if n := rectangles.where(off("x0") | off("y0") | off("x1") | off("y1")).count():
+        raise ValueError(f"{n} rectangles aren't on the grid")
+    at = lambda c: F.round(F.col(c) / step).cast("long")
+    cells = rectangles.where("x1 > x0 and y1 > y0").select(by, F.explode(F.sequence(at("x0"), at("x1") - 1)).alias("cx"), at("y0").alias("r0"), at("y1").alias("r1"))
+    # a column of cells is a set of intervals: their union is summed by runs, not listed
+    order = Window.partitionBy(by, "cx").orderBy("r0", "r1")
+    reach = F.max("r1").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    fresh = F.greatest(F.col("r1") - F.greatest(F.col("r0"), F.coalesce(reach, F.col("r0"))), F.lit(0))
+    return cells.distinct().withColumn("fresh", fresh).groupBy(by).agg((F.sum("fresh") * step * step).alias("area"))
+
+
+def dissolved(rectangles: DataFrame, by: str, key: str, step: float) -> DataFrame:
+    """Groups of grid-aligned rectangles as one feature: its parts' keys in order, how many there are, and the exact area of their union."""
+    parts = rectangles.groupBy(by).agg(F.count("*").alias("parts"), F.array_join(F.array_sort(F.collect_set(key)), "|").alias("keys"))
+    return parts.join(union_area(rectangles, by, step), by, "left")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import events as E
-from ..operators import series, tailfit
+from ..operators import joins, series, tailfit
 from .adapters import view
 from .registry import query, rounded
 
@@ -181,18 +181,17 @@ def _(spark, sf):
 
 @query("W6_rankings", f"SELECT permit_number, CAST(row_number() OVER (ORDER BY w ASC NULLS LAST, permit_number) AS INTEGER) AS by_width, CAST(row_number() OVER (ORDER BY tail_count DESC, permit_number) AS INTEGER) AS by_tail FROM (SELECT *, CASE WHEN tail_count % 4 <> 0 THEN tail_count % 7 END AS w FROM ({_STATS}))")
 def _(spark, sf):
-    from pyspark.sql import Window
-
     t = F.col("tail_count")
     own = E.statistics(_gaps(spark, sf), "company", "permit_number").withColumn("w", F.when(t % 4 != 0, t % 7))
-    return own.select("permit_number", F.row_number().over(Window.orderBy(F.asc_nulls_last("w"), "permit_number")).alias("by_width"), F.row_number().over(Window.orderBy(F.desc("tail_count"), "permit_number")).alias("by_tail"))
+    out = joins.numbered(joins.numbered(own, F.col("w"), ["permit_number"], "by_width"), -t, ["permit_number"], "by_tail")
+    return out.select("permit_number", *(F.col(c).cast("int").alias(c) for c in ("by_width", "by_tail")))
 
 
-@query("W7_group_distinct", "SELECT event_id, (SELECT count(DISTINCT e2.event_type) FROM events e2 WHERE e2.user_id = e.user_id) AS kinds FROM events e WHERE event_id % 10 = 0")
+@query("W7_group_distinct", "SELECT event_id, (SELECT count(DISTINCT e2.event_type) FROM events e2 WHERE e2.user_id = e.user_id) AS kinds FROM events e")
 def _(spark, sf):
     own = spark.read.parquet(f"{sf}/events.parquet")
     kinds = own.groupBy("user_id").agg(F.countDistinct("event_type").alias("kinds"))
-    return own.where("event_id % 10 = 0").join(kinds, "user_id").select("event_id", "kinds")
+    return own.join(kinds, "user_id").select("event_id", "kinds")
 
 
 @query("W13_keep_first", "SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS k FROM events) WHERE k = 1")
@@ -207,9 +206,7 @@ def _(spark, sf):
 
 @query("W21_pages", "SELECT CAST(ceil(k / 35.0) AS BIGINT) AS page, count(*) AS n, min(p_partkey) AS first FROM (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) AS k FROM part) GROUP BY 1")
 def _(spark, sf):
-    from pyspark.sql import Window
-
-    own = spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", F.row_number().over(Window.orderBy("p_partkey")).alias("k"))
+    own = joins.numbered(spark.read.parquet(f"{sf}/part.parquet").select("p_partkey"), F.col("p_partkey"), [], "k")
     return own.groupBy(F.ceil(F.col("k") / 35.0).alias("page")).agg(F.count("*").alias("n"), F.min("p_partkey").alias("first"))
 
 

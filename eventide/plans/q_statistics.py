@@ -98,13 +98,6 @@ def _(spark, sf):
     return _metrics(spark, sf).select("model", models.verdict(F.col("gain_pct"), F.col("gain_pct") - 5, F.col("r2")).alias("verdict"))
 
 
-@query("F37_X44_scorecard", "SELECT 'sensor' AS unit, model, count(*) AS n, CAST(NULL AS DOUBLE) AS radius_km FROM predictions GROUP BY 2 UNION ALL SELECT 'region', company, count(*), 25.0 FROM measures GROUP BY 2")
-def _(spark, sf):
-    a = view(spark, sf, "predictions").groupBy("model").agg(F.count("*").alias("n")).withColumn("unit", F.lit("sensor"))
-    b = view(spark, sf, "measures").groupBy(F.col("company").alias("model")).agg(F.count("*").alias("n")).withColumn("unit", F.lit("region")).withColumn("radius_km", F.lit(25.0))
-    return b.unionByName(a, allowMissingColumns=True)
-
-
 @query("X39_wide_summary", "SELECT company, round(avg(x1), 6) AS x1, round(avg(x2), 6) AS x2, round(avg(x3), 6) AS x3 FROM measures GROUP BY 1")
 def _(spark, sf):
     long = _long(spark, sf).where("predictor <> 'const'")
@@ -187,7 +180,7 @@ def _(spark, sf):
     return spark.createDataFrame([tuple(round(float(v), 9) for v in models.resampled_gain(own, "y", "predicted", "base", 500))], "low double, middle double, high double")
 
 
-@query("F30_F32_X40_importance")
+@query("F32_drop_column_and_inflation")
 def _(spark, sf):
     """What each predictor adds, and its uncentred inflation."""
     own, y = _split(spark, sf), F.log("outcome")
