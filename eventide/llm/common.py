@@ -83,6 +83,26 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def trimmed(run):
+    """A function over Arrow batches that, when its task ends, gives back the memory that its worker holds and no longer uses; workers wait between tasks beside the JVM."""
+
+    def out(batches):
+        import ctypes
+        import gc
+
+        import pyarrow as pa
+
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+                trim(0)
+
+    return out
+
+
 # --- text columns -----------------------------------------------------------------------------------------------
 
 SLICE_BYTES, SLICE_ROWS = 1 << 20, 2048

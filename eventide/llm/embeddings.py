@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, table
+from .common import Scratch, table, trimmed
 from .graph import components
 
 #: The bounded samples: vectors that the codebooks are fitted on, and made pairs that the number of cells is set by.
@@ -17,8 +17,10 @@ SAMPLE, PAIRS = 4096, 2048
 #: The share of made pairs at exactly the threshold, the farthest that link, whose cells must be visited.
 RECALL = 0.995
 MOST_WORDS = 64
-#: Rows of a block on either side.
-CELL_ROWS, PROBE_ROWS = 4096, 16384
+#: Rows of a block on either side, and visitors that are compared in one step.
+CELL_ROWS, PROBE_ROWS, STEP = 4096, 16384, 512
+#: Up to so many blocks the parts of their visitors are broadcast (8 bytes each).
+BROADCAST_BLOCKS = 200_000
 
 
 def codebook(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
@@ -118,6 +120,45 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[moved], nodes[label[moved]]
 
 
+def step_forest(hit: np.ndarray, row: np.ndarray, col: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that connect what a matrix of links between the nodes `row` and `col` connects: fewer than its rows and columns, found without listing the links."""
+    label = np.full(int(max(row.max(), col.max())) + 1, -1)
+    label[row], label[col] = row, col
+    far = np.iinfo(np.int64).max
+    rows, cols = np.flatnonzero(hit.any(axis=1)), np.flatnonzero(hit.any(axis=0))
+    hit, row, col = hit[np.ix_(rows, cols)], row[rows], col[cols]
+    edges: list[tuple[np.ndarray, np.ndarray]] = []
+    for nodes, other, links in ((row, col, hit), (col, row, hit.T)):
+        edges.append((nodes, other[links.argmax(axis=1)]))
+    # those stars leave few groups; rows that span two of them give the rest
+    a, b = forest(*(np.concatenate(z) for z in zip(*edges, strict=True)))
+    while True:
+        label[row], label[col] = row, col
+        label[a] = b
+        low = np.where(hit, label[col][None, :], far).min(axis=1)
+        high = np.where(hit, label[col][None, :], -1).max(axis=1)
+        split = np.flatnonzero(low != high)
+        if not len(split):
+            return a, b
+        a, b = forest(np.concatenate([a, low[split]]), np.concatenate([b, high[split]]))
+
+
+def blocks_of(sizes: dict[int, int], cells: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """(first block, number of blocks) of each cell, none for an empty one, and how many blocks there are: cells share a block up to CELL_ROWS vectors, larger ones are dealt to several."""
+    first, parts = np.zeros(cells, np.int64), np.zeros(cells, np.int64)
+    block, room = -1, 0
+    for cell in sorted(sizes):
+        n = sizes[cell]
+        if n <= room:
+            room -= n
+        else:
+            block, room = block + 1, CELL_ROWS - n
+        first[cell], parts[cell] = block, max(1, -(-n // CELL_ROWS))
+        if parts[cell] > 1:
+            block, room = block + int(parts[cell]) - 1, 0
+    return first, parts, block + 1
+
+
 def near_vectors(vectors: DataFrame, threshold: float = 0.9, column: str = "embedding") -> DataFrame:
     """vec_id, n_links, component_id and kept for every row of vectors (vec_id, embedding).
 
@@ -125,8 +166,10 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, column: str = "embe
     collapse to one class with a weight. The classes are filed in a product grid whose codebooks are fitted on at most
     4,096 of them; every class visits the cells nearest to it, as many as find 99.5 % of pairs made at exactly the
     threshold, and a pair is found if either side visits the other's cell. Found pairs are verified by their cosine in
-    double precision. Cells meet their visitors in blocks of bounded rows, which return weighted counts for each vector
-    and a spanning forest, never the pairs. An empty table gives no rows; shorter vectors count as filled with zeros.
+    double precision. Cells meet their visitors in blocks of bounded rows, to which only vectors that visit one of their
+    cells are sent; a block compares a few hundred visitors at a time and keeps counts and a spanning forest, never the
+    pairs. Equal vectors link with each other as any two do. Other columns aren't read. An empty table gives no rows;
+    shorter vectors count as filled with zeros.
     """
     spark: SparkSession = vectors.sparkSession
     scratch = Scratch(spark, "vectors")
@@ -141,7 +184,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, column: str = "embe
             keys = [int.from_bytes(hashlib.blake2b(np.trim_zeros(np.asarray(r) + 0.0, "b").tobytes(), digest_size=8).digest(), "little", signed=True) for r in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.int64())], names=["vec_id", "x", "cls"])
 
-    named = scratch.write(rows.where(good).mapInArrow(keyed, "vec_id long, x array<double>, cls long"))
+    named = scratch.write(rows.where(good).mapInArrow(trimmed(keyed), "vec_id long, x array<double>, cls long"))
     classes = scratch.write(named.groupBy("cls").agg(F.min("vec_id").alias("rep"), F.count("*").alias("m"), F.first("x").alias("x")))
     links = _linked(scratch, classes, threshold)
     found = classes.select("cls", "rep", "m")
@@ -170,61 +213,83 @@ def _linked(scratch: Scratch, classes: DataFrame, threshold: float) -> tuple[Dat
     k = grid.k
 
     def filed(batches: Iterator) -> Iterator:
-        """Each class in its cell, with what it visits as bits."""
+        """Each class in its cell, with the cells that it visits as bits."""
         import pyarrow as pa
 
         for batch in batches:
             u = unit(batch.column("x").to_pylist(), width)
             visits, cells = shared.value.visits(u), shared.value.cells(u)
             bits = np.packbits(visits, axis=1)
-            yield pa.RecordBatch.from_arrays([batch.column("cls"), batch.column("m"), pa.array(cells, pa.int32()), pa.array([r.tobytes() for r in bits], pa.binary()), pa.array([r.tobytes() for r in u], pa.binary()), pa.array([np.flatnonzero(r).astype(np.int32) for r in visits.reshape(-1, k, k).any(axis=2)], pa.list_(pa.int32()))], names=["cls", "m", "cell", "bits", "u", "lines"])
+            yield pa.RecordBatch.from_arrays([batch.column("cls"), batch.column("m"), pa.array(cells, pa.int32()), pa.array([r.tobytes() for r in bits], pa.binary()), pa.array([r.tobytes() for r in u], pa.binary())], names=["cls", "m", "cell", "bits", "u"])
 
-    filed_rows = scratch.write(classes.select("cls", "m", "x").mapInArrow(filed, "cls long, m long, cell int, bits binary, u binary, lines array<int>"))
-    inside = filed_rows.withColumn("line", F.expr(f"cast(cell div {k} as int)"))
-    probes = filed_rows.withColumn("line", F.explode("lines"))
-    # the lines of the grid are at most 64, so their counts fit the driver
-    blocks = {r["line"]: max(1, -(-r["n"] // CELL_ROWS)) for r in inside.groupBy("line").agg(F.count("*").alias("n")).collect()}
-    askers = {r["line"]: max(1, -(-r["n"] // PROBE_ROWS)) for r in probes.groupBy("line").agg(F.count("*").alias("n")).collect()}
+    filed_rows = scratch.write(classes.select("cls", "m", "x").mapInArrow(trimmed(filed), "cls long, m long, cell int, bits binary, u binary"))
+    # the grid's cells are at most MOST_WORDS ** 2, so their counts fit the driver
+    sizes = {r["cell"]: r["n"] for r in filed_rows.groupBy("cell").agg(F.count("*").alias("n")).collect()}
+    first, parts, n_blocks = blocks_of(sizes, k * k)
+    layout = spark.sparkContext.broadcast((first, parts, n_blocks))
 
-    def of(counts: dict[int, int]):
-        return F.element_at(F.create_map(*(F.lit(v) for kv in counts.items() for v in kv)), F.col("line"))
-
-    def spread(frame: DataFrame, own: str, own_counts: dict[int, int], other: str, other_counts: dict[int, int]) -> DataFrame:
-        one = frame.where(F.col("line").isin(list(blocks))).withColumn(own, (F.pmod(F.xxhash64("cls"), of(own_counts))).cast("int"))
-        return one.withColumn(other, F.explode(F.sequence(F.lit(0), of(other_counts) - 1)))
+    def sent(batches: Iterator) -> Iterator:
+        """Each class with the block that holds it and the blocks whose cells it visits."""
+        import pyarrow as pa
 
-    asked = spread(probes.select("cls", "m", "cell", "bits", "u", "line"), "ask", askers | {b: 1 for b in blocks if b not in askers}, "block", blocks)
-    held = spread(inside.select("cls", "m", "cell", "bits", "u", "line"), "block", blocks, "ask", askers | {b: 1 for b in blocks if b not in askers})
+        first, parts, n_blocks = layout.value
+        for batch in batches:
+            for a in range(0, batch.num_rows, 1024):
+                part = batch.slice(a, 1024)
+                cell, cls = part.column("cell").to_numpy(), part.column("cls").to_numpy()
+                own = first[cell] + (np.abs(cls >> 7) % parts[cell])
+                visits = np.unpackbits(np.stack([np.frombuffer(v, np.uint8) for v in part.column("bits").to_pylist()]), axis=1)[:, : k * k].astype(bool)
+                to = np.zeros((len(cls), n_blocks + 1), np.int32)
+                row, at = np.nonzero(visits & (parts > 0))
+                np.add.at(to, (row, first[at]), 1)
+                np.add.at(to, (row, first[at] + parts[at]), -1)
+                asks = np.cumsum(to, axis=1)[:, :n_blocks] > 0
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(own.astype(np.int32)), pa.array([np.flatnonzero(r).astype(np.int32) for r in asks], pa.list_(pa.int32()))], names=["cls", "m", "cell", "bits", "u", "own", "asks"])
+
+    rows = filed_rows.mapInArrow(trimmed(sent), "cls long, m long, cell int, bits binary, u binary, own int, asks array<int>")
+    probes = rows.select("cls", "m", "cell", "bits", "u", F.explode("asks").alias("block"))
+    # one row a block of CELL_ROWS vectors: how many parts its visitors are dealt to
+    askers = scratch.write(rows.select(F.explode("asks").alias("block")).groupBy("block").agg(F.ceil(F.count("*") / PROBE_ROWS).cast("int").alias("parts")))
+    asked = probes.join(F.broadcast(askers) if n_blocks <= BROADCAST_BLOCKS else askers, "block").withColumn("ask", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int")).drop("parts")
+    held = rows.select("cls", "m", "cell", "bits", "u", F.col("own").alias("block")).join(F.broadcast(askers) if n_blocks <= BROADCAST_BLOCKS else askers, "block")
+    held = held.withColumn("ask", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
 
     def compare(left, right):
         import pyarrow as pa
 
-        out = []
-        if left.num_rows and right.num_rows:
-            q, c = ({n: t.column(n).to_numpy() for n in ("cls", "m", "cell")} | {n: np.stack([np.frombuffer(v, d) for v in t.column(n).to_pylist()]) for n, d in (("bits", np.uint8), ("u", np.float64))} for t in (left, right))
-            line = int(c["cell"][0]) // k
-            for j in np.unique(c["cell"] % k):
-                cell = line * k + int(j)
-                own = np.flatnonzero(c["cell"] == cell)
-                ask = np.flatnonzero(q["bits"][:, cell >> 3] & (128 >> (cell & 7)))
-                for s in range(0, len(ask), 1024):
-                    part = ask[s : s + 1024]
-                    at, col = np.nonzero(q["u"][part] @ c["u"][own].T >= threshold)
-                    at, col = part[at], own[col]
-                    other = q["cls"][at] != c["cls"][col]
-                    out.append((at[other], col[other]))
-        at, col = (np.concatenate(z) for z in zip(*out, strict=True)) if out else (np.zeros(0, int),) * 2
-        if not len(at):
+        if not left.num_rows or not right.num_rows:
             return pa.table({n: pa.array([], pa.int64()) for n in ("cls", "n", "to")})
-        # a visitor counts what it finds; what it finds counts it too, unless that visits back and counts it elsewhere
-        back = (c["bits"][col, q["cell"][at] >> 3] & (128 >> (q["cell"][at] & 7))) == 0
-        ids = np.concatenate([q["cls"][at], c["cls"][col[back]]])
-        weight = np.concatenate([c["m"][col], q["m"][at[back]]])
-        who, where = np.unique(ids, return_inverse=True)
-        a, b = forest(q["cls"][at], c["cls"][col])
-        return pa.table({"cls": np.concatenate([who, a]), "n": np.concatenate([np.bincount(where, weight).astype(np.int64), np.zeros(len(a), np.int64)]), "to": pa.array([None] * len(who) + b.tolist(), pa.int64())})
-
-    got = asked.groupBy("line", "block", "ask").cogroup(held.groupBy("line", "block", "ask")).applyInArrow(compare, "cls long, n long, to long")
+        q, c = ({n: t.column(n).to_numpy() for n in ("cls", "m", "cell")} | {n: np.stack([np.frombuffer(v, d) for v in t.column(n).to_pylist()]) for n, d in (("bits", np.uint8), ("u", np.float64))} for t in (left, right))
+        del left, right
+        nodes = np.unique(np.concatenate([q["cls"], c["cls"]]))
+        at_q, at_c = np.searchsorted(nodes, q["cls"]), np.searchsorted(nodes, c["cls"])
+        count, links, waiting = np.zeros(len(nodes), np.int64), [], 0
+        for cell in np.unique(c["cell"]).tolist():
+            own = np.flatnonzero(c["cell"] == cell)
+            ask = np.flatnonzero(q["bits"][:, cell >> 3] & (128 >> (cell & 7)))
+            for s in range(0, len(ask), STEP):
+                part = ask[s : s + STEP]
+                hit = q["u"][part] @ c["u"][own].T >= threshold
+                hit[at_q[part][:, None] == at_c[own][None, :]] = False
+                if not hit.any():
+                    continue
+                # a visitor counts what it finds; what it finds counts it too, unless that visits back and counts it elsewhere
+                cells = q["cell"][part]
+                back = (c["bits"][own][:, cells >> 3] & (128 >> (cells & 7)).astype(np.uint8)).T != 0
+                np.add.at(count, at_q[part], hit @ c["m"][own])
+                np.add.at(count, at_c[own], (hit & ~back).T @ q["m"][part])
+                links.append(step_forest(hit, at_q[part], at_c[own]))
+                waiting += len(links[-1][0])
+                if waiting > 4 * len(nodes):  # no more edges are held than a few times the vectors
+                    links = [forest(*(np.concatenate(z) for z in zip(*links, strict=True)))]
+                    waiting = len(links[0][0])
+        a, b = forest(*(np.concatenate(z) for z in zip(*links, strict=True))) if links else (np.zeros(0, np.int64),) * 2
+        some = np.flatnonzero(count)
+        return pa.table({"cls": np.concatenate([nodes[some], nodes[a]]), "n": np.concatenate([count[some], np.zeros(len(a), np.int64)]), "to": pa.array([None] * len(some) + nodes[b].tolist(), pa.int64())})
+
+    # renamed, as both come from one table
+    asked, held = (df.select("cls", "m", "cell", "bits", "u", "block", "ask").toDF("cls", "m", "cell", "bits", "u", "block", "ask") for df in (asked, held))
+    got = asked.groupBy("block", "ask").cogroup(held.groupBy("block", "ask")).applyInArrow(compare, "cls long, n long, to long")
     got = scratch.write(got)
     if got.isEmpty():
         return None

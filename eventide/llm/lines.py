@@ -7,9 +7,9 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
-from .common import BASE, SHINGLE, Scratch, hash_words, mix, named, partitions, table, text_slices, unused
+from ..functions.scalars import let
+from .common import BASE, SHINGLE, Scratch, hash_words, mix, named, partitions, table, text_slices, trimmed, unused
 from .graph import WIDEN
 
 WIDTH = 5
@@ -18,7 +18,7 @@ SKETCH_BITS = 18
 #: Up to so many ids may be broadcast; beyond, a shuffle joins them.
 BROADCAST_IDS = 500_000
 #: Records of one deal to the token groups (24 bytes each).
-DEAL = 1 << 20
+DEAL = 1 << 18
 #: The rarity from which a token is hot (some 55,000 above the sketch's noise): its records are dealt by their lines and never meet in one task.
 HOT = 63
 #: Buckets (of 32,768 bits) of the bitmap of changed documents, which is broadcast: 4 MB at most, whatever the input.
@@ -125,7 +125,7 @@ def rarity_of(written: DataFrame) -> np.ndarray:
     """
     parts = written.where("counts is not null").select("counts")
     for tasks in (partitions(written.sparkSession), 4):
-        parts = parts.repartition(tasks).mapInArrow(_summed, "counts binary")
+        parts = parts.repartition(tasks).mapInArrow(trimmed(_summed), "counts binary")
     counts = sum((np.frombuffer(bytes(r["counts"]), np.int64) for r in parts.collect()), np.zeros(1 << SKETCH_BITS, np.int64))
     above = np.maximum(counts - int(np.median(counts)), 0)
     return np.minimum(np.floor(4 * np.log2(1 + above)), HOT).astype(np.uint8)
@@ -215,8 +215,8 @@ def later_matches(scratch: Scratch, slim: DataFrame, firsts: DataFrame, rarity)
             columns = [np.ascontiguousarray(r["token"]).view(np.int64), *(np.ascontiguousarray(r[c]) for c in ("cls", "n", "place")), size[k : k + 100_000]]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "id", "n", "place", "c"])
 
-    dealt = slim.select("text").mapInArrow(deal, "to int, records binary").repartition(deals, "to")
-    members = scratch.write(dealt.mapInArrow(shared, "key long, id long, n int, place int, c long"))
+    dealt = slim.select("text").mapInArrow(trimmed(deal), "to int, records binary").repartition(deals, "to")
+    members = scratch.write(dealt.mapInArrow(trimmed(shared), "key long, id long, n int, place int, c long"))
     if members.isEmpty():
         return None
     candidates = scratch.write(members.select("id").distinct().join(firsts.withColumnRenamed("cls", "id"), "id"))
@@ -242,7 +242,7 @@ def later_matches(scratch: Scratch, slim: DataFrame, firsts: DataFrame, rarity)
                 yield pa.RecordBatch.from_arrays([pa.array(lines.cls), pa.array(tokens, pa.binary()), pa.FixedSizeListArray.from_arrays(pa.array(bits.ravel()), 4).cast(pa.list_(pa.int64()))], names=["id", "tokens", "bits"])
 
     # rows that repeat give a set twice; they are told apart where sets are fetched
-    sets = scratch.write(chosen.mapInArrow(sets_of, "id long, tokens binary, bits array<long>"))
+    sets = scratch.write(chosen.mapInArrow(trimmed(sets_of), "id long, tokens binary, bits array<long>"))
     about = candidates.join(sets.groupBy("id").agg(F.first("bits").alias("bits")), "id")
     written = members
     members = scratch.write(members.join(about, "id"))
@@ -254,7 +254,7 @@ def later_matches(scratch: Scratch, slim: DataFrame, firsts: DataFrame, rarity)
         own = _join_on_ids(sets.select("id", "tokens"), ids, ["id"]).groupBy("id").agg(F.first("tokens").alias("tokens"))
         left = pairs.join(own.select(F.col("id").alias("early"), F.col("tokens").alias("s")), "early")
         both = left.join(own.select(F.col("id").alias("late"), F.col("tokens").alias("t")), "late")
-        return both.select("early", "late", "s", "t").mapInArrow(_confirmed, "early long, late long")
+        return both.select("early", "late", "s", "t").mapInArrow(trimmed(_confirmed), "early long, late long")
 
     return match_rounds(scratch, members, verify)
 
@@ -362,7 +362,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     scratch = Scratch(spark, "lines")
     text = F.col("text").cast("string")
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("version"), text.alias("text")).where("doc_id is not null")
-    written = scratch.write(slim.mapInArrow(_places, "doc_id long, version long, line int, cls long, counts binary"))
+    written = scratch.write(slim.mapInArrow(trimmed(_places), "doc_id long, version long, line int, cls long, counts binary"))
     rarity = spark.sparkContext.broadcast(rarity_of(written))
     places = written.where("cls is not null").select("doc_id", "version", "line", "cls")
     firsts = scratch.write(places.groupBy("cls").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("c")))
@@ -379,18 +379,10 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     return out
 
 
-@F.pandas_udf(StringType())
-def _without(texts, lines):
-    import pandas as pd
-
-    out = []
-    for text, drop in zip(texts, lines, strict=True):
-        if drop is None or text is None:
-            out.append(text)
-        else:
-            gone = set(drop.tolist())
-            out.append("\n".join(x for k, x in enumerate(text.split("\n")) if k not in gone))
-    return pd.Series(out, dtype=object)
+def without(text: Column, lines: Column) -> Column:
+    """A text without some of its lines, given by their numbers."""
+    left = lambda parts: F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), lines)
+    return let(F.split(text, "\n", -1), lambda parts: F.array_join(F.transform(left(parts), lambda k: F.get(parts, k)), "\n"))
 
 
 def cleaned(docs: DataFrame, removed: str) -> DataFrame:
@@ -413,7 +405,7 @@ def cleaned(docs: DataFrame, removed: str) -> DataFrame:
     may = marked.withColumn("may", may).drop("bucket", "bits")
     whole = may.where(~F.col("may")).select("row", F.lit(None).cast("array<int>").alias("lines"))
     met = may.where("may").join(found, ["doc_id", "version"], "left").select("row", "lines")
-    out = whole.union(met).withColumn("text", F.when(F.col("lines").isNull(), text).otherwise(_without(text, F.col("lines"))))
+    out = whole.union(met).withColumn("text", F.when(F.col("lines").isNull(), text).otherwise(without(text, F.col("lines"))))
     return out.select(*(F.col("text").cast(docs.schema["text"].dataType).alias(c) if c == "text" else named(c, "row.") for c in docs.columns), F.col("lines").alias(removed))
 
 

@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, hash_words, mix, shingle_sets, table, text_slices
+from .common import Scratch, hash_words, mix, shingle_sets, table, text_slices, trimmed
 from .graph import link_rounds
 
 #: 64 permutations give 128 signature values, banded by 4: at a similarity of 0.75 a pair misses all 32 bands with probability 5e-6.
@@ -119,7 +119,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     spark: SparkSession = docs.sparkSession
     scratch = Scratch(spark, "minhash")
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = scratch.write(slim.mapInArrow(_signatures, "doc_id long, n_shingles long, cls binary, bands array<long>, about array<long>"))
+    signed = scratch.write(slim.mapInArrow(trimmed(_signatures), "doc_id long, n_shingles long, cls binary, bands array<long>, about array<long>"))
     reps = scratch.write(signed.where("n_shingles > 0 and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("about").alias("about")))
     keys = reps.select(F.explode("bands").alias("key"), F.col("rep").alias("id"))
     shared = keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
@@ -130,13 +130,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     degree = degree.select("id")
     few = degree.count() <= BROADCAST_IDS
     chosen = slim.join(F.broadcast(degree) if few else degree, F.col("doc_id") == F.col("id"), "left_semi")
-    sets = scratch.write(chosen.mapInArrow(_sets, "id long, shingles binary"))
+    sets = scratch.write(chosen.mapInArrow(trimmed(_sets), "id long, shingles binary"))
 
     def verify(pairs: DataFrame) -> DataFrame:
         left = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("s")), "a")
         both = left.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("t")), "b")
         sized = both.where("4 * least(length(s), length(t)) >= 3 * greatest(length(s), length(t))")
-        return sized.select("a", "b", "s", "t").mapInArrow(_confirmed, "a long, b long")
+        return sized.select("a", "b", "s", "t").mapInArrow(trimmed(_confirmed), "a long, b long")
 
     # an id of several sets joins their classes
     several = signed.where("n_shingles > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("cls").alias("x"), F.max("cls").alias("y")).where("x <> y").select("doc_id")

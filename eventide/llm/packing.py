@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, table
+from .common import Scratch, table, trimmed
 
 LENGTH, OPEN_BINS, END_ID = 2048, 1024, 0
 #: Pieces that are looked at together: the longest of them are placed first.
@@ -195,7 +195,7 @@ def tokenized(docs: DataFrame, tokenizer: str, length: int = LENGTH, keep_ids: b
             if texts:
                 yield rows(doc_ids, texts)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(trimmed(cut), "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids)
 
 
 def packed(docs: DataFrame, tokenizer: str, length: int = LENGTH, open_bins: int = OPEN_BINS, keep_ids: bool = False) -> DataFrame:
@@ -246,7 +246,7 @@ def packed(docs: DataFrame, tokenizer: str, length: int = LENGTH, open_bins: int
 
     dealt = cut.repartition(tasks).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", "piece", "start", "ids_crc32")
     schema = ", ".join(f"{n} {t}" for n, t in cut.dtypes) + ", sequence_id long, offset long"
-    return dealt.mapInArrow(pack, schema)
+    return dealt.mapInArrow(trimmed(pack), schema)
 
 
 def tokenizer_path() -> str:

@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BASE, SEPARATOR, hash_words, mix, table, text_slices
+from .common import BASE, SEPARATOR, hash_words, mix, table, text_slices, trimmed
 
 #: The bound on the labelled rows that are fitted: so many of either label, taken by the hash of their ids.
 SAMPLE_A_LABEL = 2048
@@ -136,7 +136,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
         return fit(np.zeros((0, TERMS), np.float32), np.zeros(0), 0.5)
     quality = {r["doc_id"]: r["quality"] for r in picked}
     ids = docs.sparkSession.createDataFrame([(i,) for i in quality], "doc_id long")
-    rows = _slim(docs).join(F.broadcast(ids), "doc_id", "left_semi").mapInArrow(_counted, "doc_id long, counts binary").groupBy("doc_id").agg(F.min("counts").alias("counts")).collect()
+    rows = _slim(docs).join(F.broadcast(ids), "doc_id", "left_semi").mapInArrow(trimmed(_counted), "doc_id long, counts binary").groupBy("doc_id").agg(F.min("counts").alias("counts")).collect()
     rows = sorted((r["doc_id"], bytes(r["counts"])) for r in rows)
     counts = np.stack([np.frombuffer(c, np.float32) for _, c in rows]) if rows else np.zeros((0, TERMS), np.float32)
     return fit(counts, np.array([quality[i] for i, _ in rows], dtype=np.float64), count.get(1, 0) / sum(count.values()))
@@ -162,7 +162,7 @@ def scored(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) ->
                 got = np.clip(model.value.score(term_counts(data, offsets)), 0.0, 1.0)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(got)), pa.array(got)], names=["doc_id", "score"])
 
-    out = _slim(docs).mapInArrow(score, "doc_id long, score double")
+    out = _slim(docs).mapInArrow(trimmed(score), "doc_id long, score double")
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
@@ -179,7 +179,7 @@ def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
                 good = model.value.score(term_counts(data, offsets)) >= threshold
                 yield batch.slice(row, len(good)).filter(pa.array(good))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(trimmed(keep), docs.schema)
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, hash_words, table, text_slices
+from .common import Scratch, hash_words, table, text_slices, trimmed
 
 #: Tokens are words hashed to SIDE * SIDE classes; a class is a pair of codes, predicted one after the other.
 SIDE, WIDTH, WINDOW = 64, 24, 3
@@ -177,8 +177,8 @@ def trained(texts: DataFrame, rounds: int = ROUNDS) -> Network:
     weights = Network.fresh().pack()
     scratch = Scratch(texts.sparkSession, "scoring")
     for k in range(rounds):
-        sent = scratch.write(texts.mapInArrow(_train(weights, k, min(rounds, MASKED)), "weights binary, n long"))
-        parts = sent.repartition(FAN_IN, F.crc32("weights")).mapInArrow(_average, "weights binary, n long").collect()
+        sent = scratch.write(texts.mapInArrow(trimmed(_train(weights, k, min(rounds, MASKED))), "weights binary, n long"))
+        parts = sent.repartition(FAN_IN, F.crc32("weights")).mapInArrow(trimmed(_average), "weights binary, n long").collect()
         scratch.drop(sent)
         n = sum(r["n"] for r in parts)
         if not n:
@@ -219,7 +219,7 @@ def _counted(batches: Iterator) -> Iterator:
 
 def word_counts(texts: DataFrame) -> DataFrame:
     """word (its 64-bit hash) and n, how often it stands in texts (text), for every distinct word."""
-    return texts.mapInArrow(_counted, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(trimmed(_counted), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def _packed(batches: Iterator) -> Iterator:
@@ -252,7 +252,7 @@ def scored(docs: DataFrame, network: Network | None = None) -> DataFrame:
             class_log[r["class"]] = r["n"]
         least = max(1.0, class_log.sum() * COMMON)
         class_log = np.log(np.maximum(class_log, 1))
-        parts = counts.where(F.col("n") >= least).select("word", "n").mapInArrow(_packed, "words binary, counts binary").collect()
+        parts = counts.where(F.col("n") >= least).select("word", "n").mapInArrow(trimmed(_packed), "words binary, counts binary").collect()
         if parts:
             own, n = (np.frombuffer(b"".join(bytes(r[c]) for r in parts), "<i8") for c in ("words", "counts"))
             order = np.argsort(own.view(np.uint64))
@@ -289,7 +289,7 @@ def scored(docs: DataFrame, network: Network | None = None) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(number + np.arange(len(n))), batch.column(0).slice(row, len(n)), pa.array(n), pa.array(sums), left], names=["row", "doc_id", "n_tokens", "log_probability", "rare"])
                 number += len(n)
 
-    out = slim.mapInArrow(run, "row long, doc_id long, n_tokens long, log_probability double, rare array<long>")
+    out = slim.mapInArrow(trimmed(run), "row long, doc_id long, n_tokens long, log_probability double, rare array<long>")
     if counts is not None:
         out = scratch.write(out)
         rest = out.select("row", F.explode("rare").alias("word")).join(counts, "word").groupBy("row").agg((F.sum(F.rint(F.log("n") * UNIT).cast("long")) / UNIT).alias("rest"))

@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_slices
+from .common import table, text_slices, trimmed
 
 #: The base kinds in their order; letters of the assignment's keywords stand in either case.
 ASSIGN = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
@@ -169,7 +169,7 @@ def secrets(docs: DataFrame) -> DataFrame:
     and text aren't read, whatever their names.
     """
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return slim.mapInArrow(_scan, "doc_id long, spans array<struct<kind:string,start:long,end:long>>")
+    return slim.mapInArrow(trimmed(_scan), "doc_id long, spans array<struct<kind:string,start:long,end:long>>")
 
 
 def digest(found: DataFrame) -> DataFrame:

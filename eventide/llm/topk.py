@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, table
+from .common import Scratch, table, trimmed
 
 #: Bounded, documented samples: the pivots, and the rows whose scores give each query a first bound.
 PIVOTS, SEEDS = 64, 2048
@@ -132,7 +132,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
             away = np.sqrt(((x - p[near]) ** 2).sum(axis=1))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near, pa.int32()), pa.array(away)], names=["vec_id", "v", "pivot", "away"])
 
-    index = vectors.mapInArrow(keyed, "vec_id long, v array<long>, pivot int, away double")
+    index = vectors.mapInArrow(trimmed(keyed), "vec_id long, v array<long>, pivot int, away double")
     index = index.repartitionByRange(shards, "pivot", "away", "vec_id").sortWithinPartitions("pivot", "away", "vec_id")
 
     def annuli(batches: Iterator) -> Iterator:
@@ -159,7 +159,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
             yield pack(rows)
 
     schema = "shard int, pivot int, lo double, hi double, norm double, ids binary, x binary"
-    index = scratch.write(index.mapInArrow(annuli, schema))
+    index = scratch.write(index.mapInArrow(trimmed(annuli), schema))
     shards = index.agg(F.max("shard")).first()[0] + 1
     blocks = max(1, -(-queries.count() // BLOCK))
     asked = queries.select("vec_id", "v").withColumn("block", F.expr(f"cast(pmod(xxhash64(vec_id), {blocks}) as int)"))

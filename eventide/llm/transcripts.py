@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, partitions, table
+from .common import Scratch, partitions, table, trimmed
 
 ROLES = ("system", "user", "assistant")
 #: Each role begins a turn or continues one: the states of the model, in this order.
@@ -247,7 +247,7 @@ def learned(frame: DataFrame) -> Hmm:
         yield pa.RecordBatch.from_pylist([{"what": w, "i": i, "j": j, "n": n} for (w, i, j), n in total.items()] + ends, schema=fields)
 
     counts = {"start": np.zeros((1, len(STATES))), "step": np.zeros((len(STATES),) * 2), "emit": np.zeros((len(STATES), OBSERVATIONS))}
-    rows = _in_order(frame).mapInArrow(count, kind).groupBy("what", "i", "j", "pid", "first", "last").agg(F.sum("n").alias("n")).collect()
+    rows = _in_order(frame).mapInArrow(trimmed(count), kind).groupBy("what", "i", "j", "pid", "first", "last").agg(F.sum("n").alias("n")).collect()
     ends = sorted((r for r in rows if r["what"] == "end"), key=lambda r: r["pid"])
     for r in rows:
         if r["what"] != "end":
@@ -303,7 +303,7 @@ def parsed(frame: DataFrame, hmm: Hmm | None = None) -> DataFrame:
     def row(r) -> dict:
         return r.asDict() | {"matrix": np.array(r["matrix"]).reshape(len(STATES), -1), "first_start": np.array(r["first_start"]), "last_start": np.array(r["last_start"])}
 
-    ends = _in_order(frame).mapInArrow(edges, edge_type).orderBy("pid").collect()
+    ends = _in_order(frame).mapInArrow(trimmed(edges), edge_type).orderBy("pid").collect()
     told = spark.sparkContext.broadcast(join_runs([row(r) for r in ends]))
     ends_of = spark.sparkContext.broadcast({r["pid"]: (r["first"], r["last"]) for r in ends})
 
@@ -329,7 +329,7 @@ def parsed(frame: DataFrame, hmm: Hmm | None = None) -> DataFrame:
         if out:
             yield pa.RecordBatch.from_pylist(out, schema=kind)
 
-    return _in_order(frame).mapInArrow(decode, "conv_id long, turn long, label string, roles array<string>, rendered string")
+    return _in_order(frame).mapInArrow(trimmed(decode), "conv_id long, turn long, label string, roles array<string>, rendered string")
 
 
 def decoded(parts: list[str], hmm: Hmm) -> list[tuple[str, bool]]:

@@ -60,3 +60,34 @@ def test_traversal_is_the_plain_order():
     for k in range(20):
         total = (one[k][:, None] + two[k][None, :]).ravel()
         assert np.allclose(total[grid.order(x[:20], 13)[k]], np.sort(total)[:13])
+
+
+def test_forests_connect_what_links_connect():
+    rng = np.random.default_rng(4)
+    for density in (0.002, 0.02, 0.3, 0.9):
+        hit = rng.random((60, 90)) < density
+        row, col = rng.permutation(200)[:60], rng.permutation(200)[:90]
+        if not hit.any():
+            continue
+        x, y = np.nonzero(hit)
+        a, b = E.step_forest(hit, row, col)
+        want = E.forest(row[x], col[y])
+        assert dict(zip(a.tolist(), b.tolist(), strict=True)) == dict(zip(want[0].tolist(), want[1].tolist(), strict=True))
+
+
+def test_blocks_hold_every_cell():
+    sizes = {0: 10, 3: 4000, 4: 200, 7: 9000, 9: 1, 12: 4096}
+    first, parts, n = E.blocks_of(sizes, 16)
+    assert {c: int(p) for c, p in enumerate(parts) if p} == {0: 1, 3: 1, 4: 1, 7: 3, 9: 1, 12: 1}
+    assert n == first.max() + 1 and [int(first[c]) for c in sizes] == [0, 0, 1, 2, 5, 6]
+
+
+def test_many_near_equal_vectors(spark, monkeypatch):
+    """A tight cluster over several blocks: every pair links, none is listed."""
+    rng = np.random.default_rng(5)
+    monkeypatch.setattr(E, "CELL_ROWS", 300)
+    monkeypatch.setattr(E, "PROBE_ROWS", 500)
+    base = rng.normal(size=24)
+    rows = [(i, [float(v) for v in base + rng.normal(size=24) * 0.01]) for i in range(1500)] + [(2000 + i, [float(v) for v in -base + rng.normal(size=24) * 0.01]) for i in range(200)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in E.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {i: (1499, 0) if i < 1500 else (199, 2000) for i, _ in rows}
