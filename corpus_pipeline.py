@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventide.llm import lines, minhash, mixing, packing, quality
-from eventide.llm.common import Scratch, table
+from eventide.llm.common import Scratch, named, table, unused
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,10 +20,12 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without their lines that repeat an earlier one, n_chars counted anew; a document of which no word is left goes."""
-    out = lines.deduplicated(docs)
-    left = F.col("__lines").isNull() | F.col("text").rlike("[^\\x20\\x09-\\x0D]")
-    chars = F.when(F.col("__lines").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.where(left).withColumn("n_chars", chars).select(*docs.columns)
+    lines_of, n = unused(docs, "lines"), docs.schema["n_chars"].dataType if "n_chars" in docs.columns else None
+    out = lines.cleaned(docs, lines_of)
+    out = out.where(F.col(lines_of).isNull() | F.col("text").rlike("[^\\x20\\x09-\\x0D]"))
+    if n is not None:
+        out = out.withColumn("n_chars", F.when(F.col(lines_of).isNull(), F.col("n_chars")).otherwise(F.length("text").cast(n)))
+    return out.select(*map(named, docs.columns))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,10 +69,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = before = table(spark, sf_dir, "documents")
     scratch = Scratch(spark, "pipeline")
     for k, (_, stage) in enumerate(STAGES):
+        made = len(Scratch.made)
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = scratch.write(docs)
+            # what the stage wrote on its way, and what it read, isn't needed any more
+            Scratch.sweep(made)
+            if k:
+                scratch.drop(before)
+            before = docs
     return docs
