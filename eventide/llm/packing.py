@@ -18,14 +18,15 @@ LENGTH, OPEN_BINS, END_ID = 2048, 1024, 0
 LOOK_AHEAD = 1024
 #: Pieces that one packing task takes, some 2 MB.
 PIECES_A_TASK = 65_536
-#: Distinct words whose ids a worker remembers before its older ones go.
-REMEMBERED = 200_000
+#: Distinct words whose ids a task remembers before its older ones go.
+REMEMBERED = 400_000
 #: Characters of text that are cut and looked up together.
 TOGETHER = 1 << 20
 
 #: Where none of these stands in a text, the byte-level pattern cuts it before every space and around every newline,
 #: whatever stands beside them, so words can be encoded one by one. Other texts are encoded whole.
 JOINED = ("  ", " \n", "\n ", "\n\n", "\t", "\r", "\x0b", "\x0c", "\x85", "\xa0", "\u1680", *map(chr, range(0x2000, 0x200B)), "\u2028", "\u2029", "\u202f", "\u205f", "\u3000", "<|endoftext|>")
+JOINED_ASCII = tuple(j for j in JOINED if j.isascii())
 
 
 #: How byte-level vocabularies cut a text (fixed value).
@@ -66,9 +67,7 @@ class Ids:
         self.fast = fast_encoder(path)
         if self.fast is not None and not self.agree():
             self.fast = None
-        #: A word -> the ids of a space and the word; a newline and a word -> the ids of the word alone.
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.known = Known(self.word)
         self.newline = self.encode(["\n"])[0]
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -86,36 +85,53 @@ class Ids:
         words = [w for w in words if "<|endoftext|>" not in w]
         return all(array("I", self.fast(w)).tobytes() == ids for k in range(0, len(words), 10_000) for w, ids in zip(words[k : k + 10_000], self.encode(words[k : k + 10_000]), strict=True))
 
-    def encode_words(self, words: list[str]) -> list[bytes]:
-        return self.encode(words) if self.fast is None else [array("I", self.fast(w)).tobytes() for w in words]
-
-    def _learn(self, words: set[str]) -> dict[str, bytes]:
-        if len(self.known) > REMEMBERED:
-            self.known, self.older = {}, self.known
-        new = words.difference(self.known)
-        for w in new.intersection(self.older):
-            self.known[w] = self.older[w]
-        new = list(new.difference(self.older))
-        self.known.update(zip(new, self.encode_words([w[1:] if w[:1] == "\n" else " " + w for w in new]), strict=True))
-        return self.known
-
     def of(self, texts: list[str]) -> list[bytes]:
-        cut = [None if any(j in t for j in JOINED) else [line.split(" ") for line in t.split("\n")] for t in texts]
-        words: set[str] = set()
-        for lines in cut:
-            for line in lines or ():
-                line[0] = "\n" + line[0]
-                words.update(line)
-        get = self._learn(words).__getitem__
-        whole = iter(self.encode([t for t, lines in zip(texts, cut, strict=True) if lines is None]))
-        return [next(whole) if lines is None else self.newline.join([b"".join(map(get, line)) for line in lines]) for lines in cut]
+        if len(self.known) > REMEMBERED:
+            self.known = Known(self.word, self.known)
+        get, out, whole = self.known.__getitem__, [], []
+        for text in texts:
+            if any(j in text for j in (JOINED_ASCII if text.isascii() else JOINED)):
+                whole.append(len(out))
+                out.append(b"")
+                continue
+            lines = []
+            for line in text.split("\n"):
+                words = line.split(" ")
+                words[0] = "\n" + words[0]
+                lines.append(b"".join(map(get, words)))
+            out.append(self.newline.join(lines))
+        for k, ids in zip(whole, self.encode([texts[k] for k in whole]), strict=True):
+            out[k] = ids
+        return out
+
+    def forget(self) -> None:
+        self.known = Known(self.word)
+
+    def word(self, word: str) -> bytes:
+        """The ids of a space and the word; of the word alone where a newline stands before it."""
+        word = word[1:] if word[:1] == "\n" else " " + word
+        return array("I", self.fast(word)).tobytes() if self.fast is not None else self.encode([word])[0]
+
+
+class Known(dict):
+    """Words -> their ids, made when they are first asked for; `older` holds those of before, which come over as they are asked for."""
+
+    def __init__(self, make, older: dict | None = None):
+        self.make, self.older = make, dict(older or {})
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.older.get(word)
+        if ids is None:
+            ids = self.make(word)
+        self[word] = ids
+        return ids
 
 
 _ids: dict[str, Ids] = {}
 
 
 def ids_for(path: str) -> Ids:
-    """The worker's own, kept between its tasks."""
+    """The worker's own encoders, kept between its tasks."""
     if path not in _ids:
         _ids[path] = Ids(path)
     return _ids[path]
@@ -183,6 +199,7 @@ def tokenized(docs: DataFrame, tokenizer: str, length: int = LENGTH, keep_ids: b
                     out.append((doc_id, k, start, n, zlib.crc32(part), *((np.frombuffer(part, "<u4").astype(np.int32),) if keep_ids else ())))
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=False)], names=names)
 
+        ids_of.forget()
         for batch in batches:
             doc_ids, texts, size = [], [], 0
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -194,6 +211,7 @@ def tokenized(docs: DataFrame, tokenizer: str, length: int = LENGTH, keep_ids: b
                     doc_ids, texts, size = [], [], 0
             if texts:
                 yield rows(doc_ids, texts)
+        ids_of.forget()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(trimmed(cut), "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids)
 
