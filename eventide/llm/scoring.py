@@ -107,6 +107,18 @@ class Network:
         w["embed"][PAD] = 0
 
 
+def contexts_at(tokens: np.ndarray, index: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """contexts of some tokens alone, by their places."""
+    doc = np.searchsorted(index, chosen, side="right") - 1
+    first, last = index[doc], index[doc + 1]
+    out = np.empty((len(chosen), 2 * WINDOW), np.int16)
+    for k, d in enumerate([*range(-WINDOW, 0), *range(1, WINDOW + 1)]):
+        at = chosen + d
+        inside = (at >= first) & (at < last)
+        out[:, k] = np.where(inside, tokens[np.where(inside, at, 0)], PAD)
+    return out
+
+
 def contexts(tokens: np.ndarray, index: np.ndarray) -> np.ndarray:
     """For each token the WINDOW tokens before and after it in its own text, PAD beyond its ends."""
     n = len(tokens)
@@ -120,35 +132,77 @@ def contexts(tokens: np.ndarray, index: np.ndarray) -> np.ndarray:
     return out
 
 
+def class_of(words: np.ndarray) -> np.ndarray:
+    return (words % np.uint64(VOCABULARY)).astype(np.int16)
+
+
 def tokens_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     words, index = hash_words(data, offsets)
-    return (words % np.uint64(VOCABULARY)).astype(np.int16), index
+    return class_of(words), index
+
+
+class Counter:
+    """How often words stand; batches of (word, n) come out when many are held, and at the end."""
+
+    def __init__(self):
+        self.words, self.counts, self.size = [], [], 0
+
+    def _merged(self) -> tuple[np.ndarray, np.ndarray]:
+        own, at = np.unique(np.concatenate(self.words), return_inverse=True)
+        return own, np.bincount(at, np.concatenate(self.counts)).astype(np.int64)
 
+    def add(self, words: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        own, n = np.unique(words, return_counts=True)
+        self.words.append(own)
+        self.counts.append(n)
+        self.size += len(own)
+        if self.size < HELD:
+            return []
+        own, n = self._merged()
+        out = self._parts(own, n) if 2 * len(own) >= HELD else []
+        if out:
+            own, n = own[:0], n[:0]
+        self.words, self.counts, self.size = [own], [n], len(own)
+        return out
 
-def _train(start: bytes, round_: int, shares: int):
-    """Training on the positions of one of `shares` shares, which together are all."""
+    def rest(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        return self._parts(*self._merged()) if self.words else []
+
+    def _parts(self, own: np.ndarray, n: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        return [(own[a : a + 100_000].view(np.int64), n[a : a + 100_000]) for a in range(0, len(own), 100_000)]
+
+
+def _train(start: bytes, round_: int, shares: int, counting: bool = False):
+    """Training on the positions of one of `shares` shares, which together are all; counting: the words' counts come out too, so that texts needn't be read again for them."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         net = Network.unpack(start)
         memory = {k: np.full(v.shape, 1e-4, np.float32) for k, v in net.w.items()}
-        seen = 0
+        seen, counter, names = 0, Counter(), ["weights", "n", "word"]
+
+        def counted(parts):
+            return [pa.RecordBatch.from_arrays([pa.nulls(len(w), pa.binary()), pa.array(n), pa.array(w)], names=names) for w, n in parts]
+
         for batch in batches:
             for _, data, offsets in text_slices(batch, "text"):
-                tokens, index = tokens_of(data, offsets)
+                words, index = hash_words(data, offsets)
+                tokens = class_of(words)
+                if counting:
+                    yield from counted(counter.add(words))
                 # the place in its own text decides, so every document gives its share
                 place = np.arange(len(tokens)) - np.repeat(index[:-1], np.diff(index))
                 chosen = np.flatnonzero(place % MASKED % shares == round_ % shares)
                 if not len(chosen):
                     continue
-                context = contexts(tokens, index)[chosen]
-                target = tokens[chosen]
+                context, target = contexts_at(tokens, index, chosen), tokens[chosen]
                 for a in range(0, len(chosen), BATCH):
                     net.step(context[a : a + BATCH], target[a : a + BATCH], memory)
                 seen += len(chosen)
+        yield from counted(counter.rest())
         if seen:
-            yield pa.RecordBatch.from_arrays([pa.array([net.pack()], pa.binary()), pa.array([seen], pa.int64())], names=["weights", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([net.pack()], pa.binary()), pa.array([seen], pa.int64()), pa.nulls(1, pa.int64())], names=names)
 
     return run
 
@@ -167,54 +221,46 @@ def _average(batches: Iterator) -> Iterator:
 
 
 def trained(texts: DataFrame, rounds: int = ROUNDS) -> Network:
-    """The network after `rounds` of training on every partition of texts (text) at once, the partitions' weights averaged.
+    """The network of `learned`."""
+    return learned(Scratch(texts.sparkSession, "scoring"), texts, rounds)[0]
+
+
+def learned(scratch: Scratch, texts: DataFrame, rounds: int = ROUNDS, counting: bool = False) -> tuple[Network, DataFrame | None]:
+    """The network, and with `counting` word_counts of texts, made in the first round; the network is that after `rounds` of training on every partition of texts (text) at once, the partitions' weights averaged.
 
     Each position of every document is a target in one round at least, whatever their number: the rounds share the
     places modulo MASKED out. The network has a fixed size and knows classes; what grows with the vocabulary is
     word_counts. The averages go through a few tasks before the driver
     takes FAN_IN of them. The result depends on how the input is split, not on the order in which tasks end.
     """
-    weights = Network.fresh().pack()
-    scratch = Scratch(texts.sparkSession, "scoring")
+    weights, counts = Network.fresh().pack(), None
     for k in range(rounds):
-        sent = scratch.write(texts.mapInArrow(trimmed(_train(weights, k, min(rounds, MASKED))), "weights binary, n long"))
-        parts = sent.repartition(FAN_IN, F.crc32("weights")).mapInArrow(trimmed(_average), "weights binary, n long").collect()
+        sent = scratch.write(texts.mapInArrow(trimmed(_train(weights, k, min(rounds, MASKED), counting and not k)), "weights binary, n long, word long"))
+        own = sent.where("weights is not null").select("weights", "n")
+        parts = own.repartition(FAN_IN, F.crc32("weights")).mapInArrow(trimmed(_average), "weights binary, n long").collect()
+        if counting and not k:
+            counts = scratch.write(sent.where("word is not null").groupBy("word").agg(F.sum("n").alias("n")))
         scratch.drop(sent)
         n = sum(r["n"] for r in parts)
         if not n:
             break
         parts.sort(key=lambda r: bytes(r["weights"]))
         weights = (sum(np.frombuffer(bytes(r["weights"]), "<f4").astype(np.float64) * r["n"] for r in parts) / n).astype("<f4").tobytes()
-    return Network.unpack(weights)
+    return Network.unpack(weights), counts
 
 
 def _counted(batches: Iterator) -> Iterator:
     import pyarrow as pa
 
-    words, counts, size = [], [], 0
-
-    def merged():
-        own, at = np.unique(np.concatenate(words), return_inverse=True)
-        return own, np.bincount(at, np.concatenate(counts)).astype(np.int64)
+    counter = Counter()
 
-    def out(own, n):
-        for a in range(0, len(own), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(own[a : a + 100_000].view(np.int64)), pa.array(n[a : a + 100_000])], names=["word", "n"])
+    def out(parts):
+        return [pa.RecordBatch.from_arrays([pa.array(w), pa.array(n)], names=["word", "n"]) for w, n in parts]
 
     for batch in batches:
         for _, data, offsets in text_slices(batch, "text"):
-            own, n = np.unique(hash_words(data, offsets)[0], return_counts=True)
-            words.append(own)
-            counts.append(n)
-            size += len(own)
-            if size >= HELD:
-                own, n = merged()
-                if 2 * len(own) >= HELD:
-                    yield from out(own, n)
-                    own, n = own[:0], n[:0]
-                words, counts, size = [own], [n], len(own)
-    if words:
-        yield from out(*merged())
+            yield from out(counter.add(hash_words(data, offsets)[0]))
+    yield from out(counter.rest())
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
@@ -246,8 +292,9 @@ def scored(docs: DataFrame, network: Network | None = None) -> DataFrame:
     # given a network, every word is its class: it needs no count
     counts, common, class_log = None, (np.zeros(0, np.uint64), np.zeros(0)), np.zeros(VOCABULARY)
     if network is None:
-        network = trained(slim.select("text"))
-        counts = scratch.write(word_counts(slim.select("text")))
+        network, counts = learned(scratch, slim.select("text"), counting=True)
+        if counts is None:
+            counts = scratch.write(word_counts(slim.select("text")))
         for r in counts.groupBy(F.col("word").bitwiseAND(F.lit(VOCABULARY - 1)).alias("class")).agg(F.sum("n").alias("n")).collect():
             class_log[r["class"]] = r["n"]
         least = max(1.0, class_log.sum() * COMMON)
@@ -269,7 +316,7 @@ def scored(docs: DataFrame, network: Network | None = None) -> DataFrame:
         for batch in batches:
             for row, data, offsets in text_slices(batch, "text"):
                 words, index = hash_words(data, offsets)
-                tokens = (words % np.uint64(VOCABULARY)).astype(np.int16)
+                tokens = class_of(words)
                 context, each = contexts(tokens, index), np.zeros(len(tokens))
                 for a in range(0, len(tokens), BATCH):
                     each[a : a + BATCH] = net.log_probability(context[a : a + BATCH], tokens[a : a + BATCH])

@@ -142,3 +142,12 @@ def test_sums_by_plain_loops_from_the_weights(spark):
             q = softmax([sum(h[c] * float(w["two"][c][s]) for c in range(S.WIDTH)) + float(w["two_b"][s]) for s in range(S.SIDE)])
             want += math.log(p[a]) + math.log(q[b]) + math.log(n[word] / per_class[of[word]])
         assert got[i].n_tokens == len(words) and abs(got[i].log_probability - want) < 1e-3 * max(1, abs(want))
+
+
+def test_contexts_of_some_tokens():
+    rng = np.random.default_rng(3)
+    index = np.array([0, 3, 3, 10, 11, 40])
+    tokens = rng.integers(0, S.VOCABULARY, 40).astype(np.int16)
+    whole = S.contexts(tokens, index)
+    for chosen in (np.arange(40), np.array([0, 2, 3, 10, 39]), np.arange(1, 40, 4)):
+        assert (S.contexts_at(tokens, index, chosen) == whole[chosen]).all()
