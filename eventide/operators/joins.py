@@ -9,13 +9,17 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import permit_key, permit_letters
 
-#: Rows up to which one side of a candidate join may be broadcast.
-BROADCAST_ROWS = 200_000
+#: Rows and bytes up to which one side of a join may be broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64 << 20
 
 
 def small(frame: DataFrame) -> DataFrame:
-    """The frame, marked for a broadcast where a count shows that it is small."""
-    return F.broadcast(frame) if frame.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else frame
+    """The frame, marked for a broadcast where a count of its rows and of their bytes shows that it is small."""
+    sizes = [F.coalesce(F.octet_length(f.name), F.lit(0)) for f in frame.schema.fields if f.dataType.typeName() in ("string", "binary")]
+    sizes += [F.coalesce(F.octet_length(F.to_json(F.struct(f.name))), F.lit(0)) for f in frame.schema.fields if f.dataType.typeName() in ("array", "map", "struct")]
+    each = sum(sizes, F.lit(16 * len(frame.columns)))
+    found = frame.limit(BROADCAST_ROWS + 1).select(each.cast("long").alias("bytes")).agg(F.count("*").alias("rows"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes")).first()
+    return F.broadcast(frame) if found["rows"] <= BROADCAST_ROWS and found["bytes"] <= BROADCAST_BYTES else frame
 
 
 def duplicate_keys(frame: DataFrame, *keys: str) -> int:
@@ -92,10 +96,16 @@ def numbered(frame: DataFrame, lead: Column, order: list[Column | str], name: st
 def nearest(sensors: DataFrame, works: DataFrame, by: str, limit: float) -> DataFrame:
     """Each sensor's nearest works of its own group, the first by key on ties, dropped beyond the limit after ranking.
 
-    sensors: (sensor, by, x, y); works: (works, by, works_x, works_y). The minimum is pre-aggregated, so no group of pairs is sorted.
+    sensors: (sensor, by, x, y); works: (works, by, works_x, works_y). Works are entered in their square of `limit` and
+    the eight around it, so a sensor meets only those of its own square's neighbourhood, by an equi-join; the minimum is
+    pre-aggregated, so no group of pairs is sorted.
     """
     d = F.hypot(F.col("x") - F.col("works_x"), F.col("y") - F.col("works_y"))
-    pairs = sensors.join(small(works), by)
+    at = lambda c: F.floor(F.col(c) / limit).cast("long")
+    spread = works
+    for name, c in (("__cx", "works_x"), ("__cy", "works_y")):
+        spread = spread.withColumn(name, F.explode(F.sequence(at(c) - 1, at(c) + 1)))
+    pairs = sensors.withColumn("__cx", at("x")).withColumn("__cy", at("y")).join(spread, [by, "__cx", "__cy"])
     best = F.min(F.struct(d.alias("distance"), F.col("works").alias("works")))
     return pairs.groupBy("sensor").agg(best.alias("b")).select("sensor", "b.works", "b.distance").where(F.col("distance") <= limit)
 

@@ -24,6 +24,18 @@ def split_of(key: Column, stratum: Column, seed: int = 42, test: float = 0.15, v
     return F.when(place <= test, "TEST").when(place <= test + validation, "VALIDATION").otherwise("TRAIN")
 
 
+def hashed_split(frame: DataFrame, key: str, seed: int = 42, test: float = 0.15, validation: float = 0.15) -> DataFrame:
+    """frame with `split`: rows in the seeded order of their key's hash, the first shares TEST and VALIDATION, exactly; the order is cut in parts, so no task sorts all rows."""
+    from .joins import numbered
+
+    digest = F.sha2(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string")), 256)
+    lead = F.conv(F.substring(digest, 1, 12), 16, 10).cast("double")
+    n = frame.count()
+    place = (F.col("__number") - 0.5) / F.lit(float(max(n, 1)))
+    split = F.when(place <= test, "TEST").when(place <= test + validation, "VALIDATION").otherwise("TRAIN")
+    return numbered(frame, lead, [key], "__number").withColumn("split", split).drop("__number")
+
+
 def quantile_bins(frame: DataFrame, value: str, bins: int) -> DataFrame:
     """`bin` by quantile edges, equal edges dropped, intervals closed on the right."""
     cuts = frame.agg(F.array_distinct(F.percentile(value, F.array(*(F.lit(k / bins) for k in range(1, bins))))).alias("__cuts"))
@@ -320,6 +332,15 @@ def multiplicity(key: Column, draw: Column) -> Column:
     return sum((F.when(u >= p, 1).otherwise(0) for p in _POISSON[1:]), F.when(u >= _POISSON[0], 1).otherwise(0))
 
 
+def gain_interval(frame: DataFrame, key: str, y: str, predicted: str, base: str, draws: int = 2000) -> DataFrame:
+    """One row (low, middle, high): 2.5, 50 and 97.5 % of the gain over a baseline, rows standing in each draw as often as their key's hash says; sums are made before the shuffle."""
+    own = frame.select(key, F.pow(F.col(y) - F.col(predicted), 2).alias("__e"), F.pow(F.col(y) - F.col(base), 2).alias("__b")).dropna()
+    own = own.withColumn("__draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("__w", multiplicity(F.col(key), F.col("__draw")))
+    sums = own.groupBy("__draw").agg(F.sum(F.col("__w") * F.col("__e")).alias("e"), F.sum(F.col("__w") * F.col("__b")).alias("b")).where("b > 0")
+    gains = sums.select((100 * (1 - F.sqrt(F.col("e") / F.col("b")))).alias("g"))
+    return gains.agg(*(F.percentile("g", F.lit(q)).alias(n) for q, n in ((0.025, "low"), (0.5, "middle"), (0.975, "high"))))
+
+
 def stability(frame: DataFrame, prepared: Prepared, y: Column, key: Column, draws: int = 200, kind: str = "ols", alpha: float = 0.0) -> list[tuple]:
     """(feature, median, 2.5 %, 97.5 %, share positive) of the coefficients over bootstrap draws; rows are reduced to one Gram a draw before the shuffle."""
     own = frame.withColumn("__key", key).withColumn("__draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))

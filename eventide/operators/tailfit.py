@@ -61,26 +61,29 @@ FIT = "company string, permit_number string, n_tail long, beta double, log_rate
 BOOTSTRAP = ", replicates long, ci_low double, ci_high double, ci_width double, beta_sd double, success_rate double, hit_rate double, stability string"
 
 
-def _one(company, permit, x: np.ndarray, threshold: float, replicates: int, seed: int) -> dict:
-    x = np.sort(x)
-    out = {"company": company, "permit_number": permit, "n_tail": len(x), "at_bound": False}
-    if not len(x):
+def _one(company, permit, x: np.ndarray, times: np.ndarray, threshold: float, replicates: int, seed: int) -> dict:
+    """x: a source's different durations; times: how often each stands."""
+    order = np.argsort(x, kind="stable")
+    x, times = x[order], times[order].astype(np.int64)
+    n = int(times.sum())
+    out = {"company": company, "permit_number": permit, "n_tail": n, "at_bound": False}
+    if not n:
         return out | {"status": "no_tail_events"}
-    if len(x) < LEAST_FIT:
+    if n < LEAST_FIT:
         return out | {"status": "too_few_tail_events"}
-    (beta,), (log_rate,), (value,) = fit_many(x, np.ones((1, len(x))), threshold)
+    (beta,), (log_rate,), (value,) = fit_many(x, times[None].astype(float), threshold)
     if not np.isfinite(value):
         return out | {"status": "fit_failed"}
     bound = min(abs(beta - BETA[0]), abs(beta - BETA[1])) <= 1e-4
     out |= {"beta": beta, "log_rate": log_rate, "log_likelihood": value, "at_bound": bool(bound), "status": "fitted"}
     if not replicates:
         return out
-    if len(x) < LEAST_BOOTSTRAP:
+    if n < LEAST_BOOTSTRAP:
         return out | {"status": "fitted_too_few_for_bootstrap"}
     rng = np.random.default_rng(seed_of(seed, company or "", permit or ""))
     betas: list[np.ndarray] = []
     for k in range(0, replicates, 100):
-        draws = rng.multinomial(len(x), np.full(len(x), 1 / len(x)), size=min(100, replicates - k)).astype(float)
+        draws = rng.multinomial(n, times / n, size=min(100, replicates - k)).astype(float)
         b, _, v = fit_many(x, draws, threshold)
         betas.append(np.where(np.isfinite(v), b, np.nan))
     b = np.concatenate(betas)
@@ -98,18 +101,20 @@ def fits(events: DataFrame, threshold: float = 240.0, replicates: int = 0, seed:
     """One row a source (company, permit_number) with its fit and, if replicates are asked for, its bootstrap.
 
     Events reach Python once, reduced to their tail; a source with none of it is answered without Python. A failure is a
-    status, never an exception. Draws depend on the source's own seed and sorted tail, not on partitions. One source's
-    tail has to fit a task (8 bytes an event).
+    status, never an exception. Draws depend on the source's own seed and sorted tail, not on partitions. Equal durations
+    are counted before they are dealt, so a source's different durations (16 bytes each), not its events, have to fit a
+    task; durations in whole minutes are some hundred thousand at most.
     """
     keyed = events.select("company", "permit_number", "duration_minutes")
     schema = FIT + (BOOTSTRAP if replicates else "")
     names = [c.split()[0] for c in schema.split(", ")]
 
     def kernel(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        row = _one(*key, part["duration_minutes"].to_numpy(float), threshold, replicates, seed)
+        row = _one(*key, part["duration_minutes"].to_numpy(float), part["times"].to_numpy(), threshold, replicates, seed)
         return pd.DataFrame({n: pd.Series([row.get(n)], dtype=object) for n in names})
 
-    some = keyed.where(tail(F.col("duration_minutes"), threshold)).groupBy("company", "permit_number").applyInPandas(kernel, schema)
+    counted = keyed.where(tail(F.col("duration_minutes"), threshold)).groupBy("company", "permit_number", "duration_minutes").agg(F.count("*").alias("times"))
+    some = counted.groupBy("company", "permit_number").applyInPandas(kernel, schema)
     none = keyed.groupBy("company", "permit_number").agg(F.count_if(tail(F.col("duration_minutes"), threshold)).alias("n")).where("n = 0")
     empty = none.select("company", "permit_number", F.lit(0).cast("long").alias("n_tail"), F.lit(False).alias("at_bound"), F.lit("no_tail_events").alias("status"))
     return some.unionByName(empty, allowMissingColumns=True)

@@ -220,7 +220,7 @@ def _(spark, sf):
 def _(spark, sf):
     aliases = spark.createDataFrame([("n0", "north"), ("n1", "south")], "k string, v string")
     own = _read(spark, sf, "customer").select("c_custkey", F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("k"))
-    return own.join(F.broadcast(aliases), "k", "left").select("c_custkey", F.coalesce("v", "k").alias("company"))
+    return own.join(joins.small(aliases), "k", "left").select("c_custkey", F.coalesce("v", "k").alias("company"))
 
 
 @query("C37_stable_seeds", "SELECT c_custkey, sha256('42|' || c_nationkey || '|' || c_custkey) AS digest FROM customer")

@@ -239,7 +239,7 @@ def _(spark, sf):
 
 @query("F16_tail_bootstrap")
 def _(spark, sf):
-    return tailfit.fits(_gaps(spark, sf), replicates=200)
+    return tailfit.fits(_gaps(spark, sf), replicates=1000)
 
 
 _COMPLETE = "SELECT place, date, mm, year(date) AS year FROM days WHERE complete"

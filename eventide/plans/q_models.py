@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from ..operators import models, regress, spatial
@@ -315,3 +317,87 @@ def _(spark, sf):
 @query("W18_permutation_split")
 def _(spark, sf):
     return models.permutation_split(view(spark, sf, "measures").select("sensor", "c_custkey"), ["c_custkey"]).groupBy("split").agg(F.count("*").alias("n"))
+
+
+# --- ridge, tuning, intervals, counts: closed forms for two predictors ---
+
+#: Ridge coefficients on predictors standardised by a training part's deviations (e1, e2), from centred sums; s11 and the like are means, so the penalty is over n.
+_R1 = "((s22 / e2 / e2 + a / n) * s1y / e1 - s12 / e1 / e2 * s2y / e2) / ((s11 / e1 / e1 + a / n) * (s22 / e2 / e2 + a / n) - pow(s12 / e1 / e2, 2)) / e1"
+_R2 = "((s11 / e1 / e1 + a / n) * s2y / e2 - s12 / e1 / e2 * s1y / e1) / ((s11 / e1 / e1 + a / n) * (s22 / e2 / e2 + a / n) - pow(s12 / e1 / e2, 2)) / e2"
+_RIDGE = f"{_R1} AS b1, {_R2} AS b2, my - ({_R1}) * m1 - ({_R2}) * m2 AS b0"
+_DEV = "(SELECT stddev_pop(x1) AS e1, stddev_pop(x2) AS e2 FROM t WHERE split = 'TRAIN')"
+
+
+@query("F25_ridge_by_validation", f"""WITH {_TRAIN}, k AS MATERIALIZED {_DEV}, s AS MATERIALIZED (SELECT {_SUMS} FROM t WHERE split = 'TRAIN'), b AS MATERIALIZED (SELECT {_SUMS} FROM t WHERE split <> 'TEST'), g AS (SELECT a, {_RIDGE} FROM s, k, (SELECT unnest([0.1, 1.0, 10.0, 100.0]) AS a)),
+v AS (SELECT a, sum({_FULL}) AS e FROM g, t WHERE split = 'VALIDATION' GROUP BY 1), w AS (SELECT CAST(arg_min(a, e) AS DOUBLE) AS a FROM v), c AS (SELECT a, {_RIDGE} FROM b, k, w), o AS (SELECT {_OLS} FROM b)
+SELECT 'ridge' AS model, a AS alpha, round((SELECT sqrt(avg({_FULL})) FROM c, t WHERE split = 'TEST'), 8) AS rmse FROM w UNION ALL SELECT 'ols', 0e0, round((SELECT sqrt(avg({_FULL})) FROM o, t WHERE split = 'TEST'), 8) UNION ALL SELECT 'mean', 0e0, round((SELECT sqrt(avg(pow(y - my, 2))) FROM b, t WHERE split = 'TEST'), 8)""")
+def _(spark, sf):
+    _, _, g = _split_grams(spark, sf)
+    alpha = models.held_out_alpha(g["TRAIN"], g["VALIDATION"])
+    both = models.total({k: g[k] for k in ("TRAIN", "VALIDATION")})
+    return spark.createDataFrame([(k, a, round(models.rmse(models.solve(both, k, a), g["TEST"]), 8)) for k, a in (("ridge", alpha), ("ols", 0.0), ("mean", 0.0))], "model string, alpha double, rmse double")
+
+
+@query("F26_cross_validated_ridge", f"""WITH t AS MATERIALIZED (SELECT x1, x2, ln(outcome) AS y, {_FOLD} AS fold, 'TRAIN' AS split FROM measures), k AS MATERIALIZED {_DEV}, m AS MATERIALIZED (SELECT f.fold, {_SUMS} FROM (SELECT DISTINCT fold FROM t) f JOIN t ON t.fold <> f.fold GROUP BY 1),
+c AS (SELECT fold, a, {_RIDGE} FROM m, k, (SELECT unnest([0.0, 1.0, 10.0, 100.0]) AS a)), e AS (SELECT a, c.fold, sqrt(avg({_FULL})) AS r FROM c JOIN t ON t.fold = c.fold GROUP BY 1, 2) SELECT CAST(a AS DOUBLE) AS alpha, round(avg(r), 8) AS rmse, round(stddev_samp(r), 8) AS sd FROM e GROUP BY 1""")
+def _(spark, sf):
+    own = view(spark, sf, "measures")
+    fold = F.conv(F.substring(F.md5(F.concat(F.lit("fold|"), F.col("sensor")).cast("binary")), 1, 8), 16, 10).cast("long") % 5
+    parts = models.grams(own, _ready(own), _y(), fold)
+    return spark.createDataFrame([(a, *(round(v, 8) for v in models.cross_validated(parts, "ridge", a))) for a in (0.0, 1.0, 10.0, 100.0)], "alpha double, rmse double, sd double")
+
+
+_KEYED = "(SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS key, 'm' || (l_linenumber % 4) AS model, CAST(l_quantity AS DOUBLE) AS y, CAST(l_quantity * 6e-1 + (l_partkey % 23) AS DOUBLE) AS predicted, 25e0 AS base FROM lineitem)"
+
+
+@query("F29_gain_interval", f"""WITH p AS MATERIALIZED (SELECT pow(y - predicted, 2) AS e, pow(y - base, 2) AS b, key FROM {_KEYED} WHERE model = 'm1'), d AS (SELECT draw, e, b, CAST(('0x' || substr(md5(key || '|' || draw), 1, 12)) AS BIGINT) / 281474976710656e0 AS u FROM p, (SELECT unnest(range(1, 21)) AS draw)),
+g AS (SELECT draw, 100 * (1 - sqrt(sum(e * w) / sum(b * w))) AS gain FROM (SELECT draw, e, b, {_TIMES} AS w FROM d) GROUP BY 1) SELECT round(quantile_cont(gain, 0.025), 6) AS low, round(quantile_cont(gain, 0.5), 6) AS middle, round(quantile_cont(gain, 0.975), 6) AS high FROM g""")
+def _(spark, sf):
+    own = spark.read.parquet(f"{sf}/lineitem.parquet").where("l_linenumber % 4 = 1")
+    key = F.concat_ws("-", *(F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")))
+    own = own.select(key.alias("key"), F.col("l_quantity").cast("double").alias("y"), (F.col("l_quantity") * 0.6 + F.col("l_partkey") % 23).alias("predicted"), F.lit(25.0).alias("base"))
+    return rounded(models.gain_interval(own, "key", "y", "predicted", "base", 20), "low", "middle", "high")
+
+
+def _newton(steps: int) -> str:
+    """Newton steps of the count regression as a chain of tables."""
+    parts = ["t AS MATERIALIZED (SELECT x1 / 50 AS x, x2 AS c, CAST(1 + c_custkey % 3 AS DOUBLE) AS w FROM measures)", "k0 AS (SELECT ln(sum(c) / sum(w)) AS a, 0e0 AS b, 0e0 AS i11, 0e0 AS i12, 0e0 AS i22 FROM t)"]
+    for n in range(steps):
+        parts.append(f"s{n} AS MATERIALIZED (SELECT any_value(a) AS a, any_value(b) AS b, sum((c - m) / (1 + m)) AS g1, sum((c - m) / (1 + m) * x) AS g2, sum(m / (1 + m)) AS i11, sum(m / (1 + m) * x) AS i12, sum(m / (1 + m) * x * x) AS i22 FROM (SELECT *, w * exp(a + b * x) AS m FROM t, k{n}))")
+        parts.append(f"k{n + 1} AS MATERIALIZED (SELECT a + (i22 * g1 - i12 * g2) / (i11 * i22 - i12 * i12) AS a, b + (i11 * g2 - i12 * g1) / (i11 * i22 - i12 * i12) AS b, i11, i12, i22 FROM s{n})")
+    return f"WITH {', '.join(parts)} SELECT round(a, 8) AS intercept, round(b, 8) AS slope, round(sqrt(i11 / (i11 * i22 - i12 * i12)), 8) AS se, round(exp(b), 8) AS rate_ratio FROM k{steps}"
+
+
+@query("F21_count_model", _newton(14))
+def _(spark, sf):
+    own = view(spark, sf, "measures").select((F.col("x1") / 50).alias("x"), F.col("x2").alias("n"), (1 + F.col("c_custkey") % 3).cast("double").alias("years"))
+    a, b, se = models.count_model(own, "x", "n", "years")
+    return spark.createDataFrame([tuple(round(float(v), 8) for v in (a, b, se, math.exp(b)))], "intercept double, slope double, se double, rate_ratio double")
+
+
+def _degrees() -> str:
+    """The inverse projection and the shift, step by step."""
+    a, b = spatial.AIRY
+    wa, wb = spatial.WORLD
+    e2, we2, n = 1 - (b / a) ** 2, 1 - (wb / wa) ** 2, (a - b) / (a + b)
+    k, lat0, lon0, e0, n0 = spatial.SCALE, spatial.LAT0, spatial.LON0, spatial.E0, spatial.N0
+    (tx, ty, tz), (rx, ry, rz), stretch = spatial.SHIFT, spatial.TURN, 1 + spatial.STRETCH
+    arc = f"{b * k!r} * ({1 + n + 1.25 * n**2 + 1.25 * n**3!r} * (p - {lat0!r}) - {3 * n + 3 * n**2 + 2.625 * n**3!r} * sin(p - {lat0!r}) * cos(p + {lat0!r}) + {1.875 * n**2 + 1.875 * n**3!r} * sin(2 * (p - {lat0!r})) * cos(2 * (p + {lat0!r})) - {35 / 24 * n**3!r} * sin(3 * (p - {lat0!r})) * cos(3 * (p + {lat0!r})))"
+    parts = [f"f0 AS (SELECT sensor, x - {e0!r} AS d, y, (y - {n0!r}) / {a * k!r} + {lat0!r} AS p FROM sensors)"]
+    for i in range(5):
+        parts.append(f"f{i + 1} AS (SELECT sensor, d, y, p + (y - {n0!r} - {arc}) / {a * k!r} AS p FROM f{i})")
+    parts.append(f"g AS (SELECT sensor, d, p, {a * k!r} / sqrt(1 - {e2!r} * sin(p) * sin(p)) AS nu, {a * k * (1 - e2)!r} / pow(1 - {e2!r} * sin(p) * sin(p), 1.5) AS rho, tan(p) AS t, 1 / cos(p) AS sec FROM f5)")
+    parts.append("h AS (SELECT *, nu / rho AS q FROM g)")
+    parts.append(f"u AS (SELECT sensor, p - t / (2 * rho * nu) * d * d + t / (24 * rho * pow(nu, 3)) * (4 + 3 * t * t + q - 9 * t * t * (q - 1)) * pow(d, 4) - t / (720 * rho * pow(nu, 5)) * (61 + 90 * t * t + 45 * pow(t, 4)) * pow(d, 6) AS phi, {lon0!r} + sec / nu * d - sec / (6 * pow(nu, 3)) * (q + 2 * t * t) * pow(d, 3) + sec / (120 * pow(nu, 5)) * (5 + 28 * t * t + 24 * pow(t, 4)) * pow(d, 5) AS lam FROM h)")
+    parts.append(f"v AS (SELECT sensor, v * cos(phi) * cos(lam) AS x, v * cos(phi) * sin(lam) AS y, {1 - e2!r} * v * sin(phi) AS z FROM (SELECT *, {a!r} / sqrt(1 - {e2!r} * sin(phi) * sin(phi)) AS v FROM u))")
+    parts.append(f"w AS (SELECT sensor, {tx!r} + {stretch!r} * x - {rz!r} * y + {ry!r} * z AS x, {ty!r} + {rz!r} * x + {stretch!r} * y - {rx!r} * z AS y, {tz!r} - {ry!r} * x + {rx!r} * y + {stretch!r} * z AS z FROM v)")
+    parts.append(f"l0 AS (SELECT sensor, x, y, z, sqrt(x * x + y * y) AS r, atan2(z, sqrt(x * x + y * y) * {1 - we2!r}) AS a FROM w)")
+    for i in range(5):
+        parts.append(f"l{i + 1} AS (SELECT sensor, x, y, z, r, atan2(z + {we2 * wa!r} / sqrt(1 - {we2!r} * sin(a) * sin(a)) * sin(a), r) AS a FROM l{i})")
+    return f"WITH {', '.join(parts)} SELECT sensor, round(degrees(a), 5) AS latitude, round(degrees(atan2(y, x)), 5) AS longitude FROM l5"
+
+
+@query("F11_world_coordinates", _degrees())
+def _(spark, sf):
+    own = view(spark, sf, "sensors").select("sensor", spatial.to_degrees(F.col("x"), F.col("y")).alias("w"))
+    return own.select("sensor", F.round("w.lat", 5).alias("latitude"), F.round("w.lon", 5).alias("longitude"))

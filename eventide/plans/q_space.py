@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import gates, master, regress, spatial
+from ..operators import gates, joins, master, regress, spatial
 from .adapters import view
 from .registry import query, rounded
 
@@ -27,7 +27,7 @@ def _edges(spark, sf):
 def _points(spark, sf):
     """Sensors, of which every seventh is moved to a corner or an edge of a square of its company."""
     corner = view(spark, sf, "squares").groupBy("company").agg(F.min_by(F.struct("x0", "y0", "side"), "polygon").alias("q"))
-    own = view(spark, sf, "sensors").join(F.broadcast(corner), "company", "left")
+    own = view(spark, sf, "sensors").join(joins.small(corner), "company", "left")
     k = F.col("c_custkey") % 14
     x = F.when(F.col("q").isNotNull() & (k == 0), F.col("q.x0")).when(F.col("q").isNotNull() & (k == 7), F.col("q.x0") + F.col("q.side") / 2).otherwise(F.col("x"))
     y = F.when(F.col("q").isNotNull() & k.isin(0, 7), F.col("q.y0")).otherwise(F.col("y"))
@@ -203,15 +203,6 @@ def _(spark, sf):
     return out
 
 
-@query("F11_world_coordinates")
-def _(spark, sf):
-    own = view(spark, sf, "sensors").select("sensor", spatial.to_degrees(F.col("x"), F.col("y")).alias("w"))
-    return own.select("sensor", F.round("w.lat", 5).alias("latitude"), F.round("w.lon", 5).alias("longitude"))
-
-
-_SUPPORT = "1 + (c_custkey % 5)"
-
-
 @query("A15_A16_A17_A18_region_rollup", f"""SELECT company, count(*) AS sensors, round(sum(beta * w) FILTER (beta IS NOT NULL) / sum(w) FILTER (beta IS NOT NULL), 6) AS weighted_beta, round(sum(beta / (se * se)) FILTER (ok) / sum(1 / (se * se)) FILTER (ok), 6) AS precise_beta, round(exp(avg(ln(beta)) FILTER (beta > 0)), 6) AS geometric_beta, round(sum(tail_count) / sum(total_count), 6) AS ratio,
  count(*) >= 3 AS ge_3, count(*) >= 60 AS ge_60 FROM (SELECT *, CAST(1 + tail_count AS DOUBLE) AS w, (ci_high - ci_low) / 3.92 AS se, beta IS NOT NULL AND ci_high > ci_low AS ok FROM masters) GROUP BY 1""")
 def _(spark, sf):

@@ -189,13 +189,6 @@ def _(spark, sf):
     return spark.createDataFrame([(n, round(drop[n], 9), round(vif[n], 9)) for n in g["TRAIN"].names], "feature string, loss double, inflation double")
 
 
-@query("F21_count_model")
-def _(spark, sf):
-    own = view(spark, sf, "measures").select((F.col("x1") / 50).alias("x"), F.col("x2").alias("n"), (1 + F.col("c_custkey") % 3).cast("double").alias("years"))
-    a, b, se = models.count_model(own, "x", "n", "years")
-    return spark.createDataFrame([tuple(round(float(v), 9) for v in (a, b, se, np.exp(b)))], "intercept double, slope double, se double, rate_ratio double")
-
-
 @query("F20_parameter_relationship", f"SELECT company, count(*) AS n, round(regr_slope(ln(1 + x2), ln(outcome)), 9) AS slope FROM measures GROUP BY 1")
 def _(spark, sf):
     own = view(spark, sf, "measures").select("company", F.log("outcome").alias("x"), F.log(1 + F.col("x2")).alias("y"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -36,6 +37,39 @@ class Config:
             raise ValueError(f"predictors derived from outcomes: {', '.join(found)}")
 
 
+PATHS = ("events", "assignments", "exposure", "predictors", "output")
+
+
+def load_config(spark: SparkSession, path: str, root: str | None = None) -> Config:
+    """A Config from a YAML or JSON file: `paths` (relative ones below root, the file's folder without one), `predictors`, `seed`, and `analysis`, whose threshold and rule are locked."""
+    text = files.read_text(spark, path)
+    if path.endswith(".json"):
+        found = json.loads(text)
+    else:
+        import yaml  # only for files in this format
+
+        found = yaml.safe_load(text)
+    found = found or {}
+    names, base = found.get("paths") or {}, (root or path.rsplit("/", 1)[0]).rstrip("/")
+    if missing := [n for n in PATHS if not names.get(n)]:
+        raise ValueError(f"configuration without paths: {', '.join(missing)}")
+    if not found.get("predictors"):
+        raise ValueError("configuration without predictors")
+    rule = found.get("analysis") or {}
+    if rule.get("tail_rule", "strictly_greater_than") != "strictly_greater_than":
+        raise ValueError("the tail's rule is locked: strictly greater than the threshold")
+    at = [p if "://" in p or p.startswith("/") else f"{base}/{p}" for p in (str(names[n]) for n in PATHS)]
+    if gone := [f"{n}: {p}" for n, p in zip(PATHS[:-1], at, strict=False) if not files.exists(spark, p)]:
+        raise FileNotFoundError("; ".join(gone))
+    return Config(*at, declared=list(found["predictors"]), threshold=float(rule.get("tail_threshold_minutes", events.THRESHOLD)), seed=int(found.get("seed", 42)))
+
+
+def scan_provided(spark: SparkSession, path: str, round_15: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Provider files in one contract: the rows that are kept, and each file's counters of what was read, kept and rejected for which reason."""
+    raw = files.read_csv(spark, path, files.PROVIDED)
+    return events.historical(raw, round_15), events.quality(raw, "source_file")
+
+
 def problems(spark: SparkSession, config: Config) -> list[str]:
     """Everything wrong with the inputs, before anything is written."""
     out = gates.event_contract(files.read_csv(spark, config.events))
@@ -44,15 +78,18 @@ def problems(spark: SparkSession, config: Config) -> list[str]:
 
 
 def run(spark: SparkSession, config: Config, through: str = "report") -> dict[str, DataFrame]:
-    """The stages up to `through`; refuses to replace an earlier run unless forced."""
+    """The stages up to `through`; refuses to replace an earlier run unless forced. Inputs that change meanwhile stop it before the manifest is written."""
     if found := problems(spark, config):
         raise ValueError("; ".join(found))
     wanted = STAGES[: STAGES.index(through) + 1]
     done: dict[str, DataFrame] = {}
+    sources = [*files.csv_files(spark, config.events), config.assignments, config.exposure, config.predictors]
+    inputs = files.digests(spark, *sources)
     for k, name in enumerate(wanted, 1):
         made = globals()[f"_{name}"](spark, config, done)
         done[name] = files.write_once(made, f"{config.output}/{k:02d}_{name}", config.force)
-    inputs = files.digests(spark, *files.csv_files(spark, config.events), config.assignments, config.exposure, config.predictors)
+    if files.digests(spark, *sources) != inputs:
+        raise ValueError("inputs changed during the run")
     files.write_manifest(spark, f"{config.output}/manifest.json", inputs, {n: f.count() for n, f in done.items()}, through=through, threshold=config.threshold)
     return done
 
@@ -89,7 +126,7 @@ def _univariate(spark, config, done):
 def _model(spark, config, done):
     master, rows = done["master"], []
     for outcome in OUTCOMES:
-        own = master.where(F.col(outcome) > 0).withColumn("split", models.split_of(F.col("sensor_uid"), F.lit("all"), config.seed))
+        own = models.hashed_split(master.where(F.col(outcome) > 0), "sensor_uid", config.seed)
         parts = {s: own.where(F.col("split") == s) for s in ("TRAIN", "VALIDATION", "TEST")}
         sizes = {s: f.count() for s, f in parts.items()}
         if min(sizes.values()) < 2:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,7 +15,7 @@ EVENTS = T.StructType([T.StructField(n, T.StringType()) for n in ("company", "pe
 PROVIDED = T.StructType([T.StructField(n, T.StringType()) for n in ("location_name", "permit_number", "start_time", "stop_time", "duration_minutes")])
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
@@ -26,8 +26,8 @@ def _listed(spark: SparkSession, path: str) -> list[tuple[str, bool, int]]:
     return sorted((s.getPath().toString(), s.isDirectory(), s.getLen()) for s in found)
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType = EVENTS) -> DataFrame:
-    """One CSV or every CSV below a folder, columns by name with trimmed headers, permits as text; `source_file` and `source_year` are added.
+def read_csv(spark: SparkSession, path: str | list[str], schema: T.StructType = EVENTS) -> DataFrame:
+    """One CSV, a list of them or every CSV below a folder, columns by name with trimmed headers, permits as text; `source_file` and `source_year` are added.
 
     The driver looks at each file's first line; files of one header are read together and united by name with the others.
     """
@@ -49,11 +49,11 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType = EVENTS) -> D
     return out.withColumn("source_year", year_in_name(F.regexp_replace("__name", r"\.[^.]*$", ""))).drop("__name")
 
 
-def _headers(spark: SparkSession, path: str) -> list[tuple[str, str]]:
+def _headers(spark: SparkSession, path: str | list[str]) -> list[tuple[str, str]]:
     """(file, first line) of each CSV."""
-    found = csv_files(spark, path)
+    found = csv_files(spark, path) if isinstance(path, str) else list(path)
     if not found:
-        raise FileNotFoundError(path)
+        raise FileNotFoundError(str(path))
     fs = spark._jvm.org.apache.hadoop.fs
     out = []
     for f in found:
@@ -82,6 +82,70 @@ def company_files(spark: SparkSession, root: str, companies: list[str], excluded
     return {c: [f for f in csv_files(spark, found[c]) if (c, infer_year(f)) not in excluded] for c in companies}
 
 
+def company_events(spark: SparkSession, root: str, companies: list[str], excluded: set[tuple[str, str]] = frozenset(), schema: T.StructType = PROVIDED) -> DataFrame:
+    """All companies' events pooled, each row's company that of its folder, whatever the file says; excluded (company, year) files aren't read."""
+    out = None
+    for company, found in company_files(spark, root, companies, excluded).items():
+        if found:
+            own = read_csv(spark, found, schema).withColumn("company", F.lit(company))
+            out = own if out is None else out.unionByName(own)
+    if out is None:
+        raise FileNotFoundError(root)
+    return out
+
+
+def hourly_arrays(spark: SparkSession, path: str) -> DataFrame:
+    """Hourly rainfall of daily NPZ files (YYYYMMDD.npz) as rows (date, hour, place, mm, samples, source_samples).
+
+    A file holds rainfall_hourly_mm and valid_5min_count_by_hour, hours by places, and source_5min_count_by_hour, by
+    hour. Files are read where Spark reads them and taken apart one at a time; a file of another shape raises.
+    """
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.npz").load(path).select("path", "content")
+
+    def parts(batches):
+        import io
+
+        import numpy as np
+        import pandas as pd
+
+        for batch in batches:
+            for name, content in zip(batch["path"], batch["content"], strict=True):
+                stem = name.rsplit("/", 1)[-1].removesuffix(".npz")
+                with np.load(io.BytesIO(content)) as z:
+                    mm, samples, source = (np.asarray(z[k]) for k in ("rainfall_hourly_mm", "valid_5min_count_by_hour", "source_5min_count_by_hour"))
+                if mm.ndim != 2 or samples.shape != mm.shape or source.shape != mm.shape[:1]:
+                    raise ValueError(f"{name}: arrays of shapes {mm.shape}, {samples.shape}, {source.shape}")
+                hours, places = mm.shape
+                yield pd.DataFrame({"day": stem, "hour": np.repeat(np.arange(hours), places), "place": np.tile(np.arange(places), hours), "mm": mm.ravel().astype(float), "samples": samples.ravel().astype(np.int32), "source_samples": np.repeat(source, places).astype(np.int32)})
+
+    rows = raw.mapInPandas(parts, "day string, hour int, place int, mm double, samples int, source_samples int")
+    return rows.select(F.to_date("day", "yyyyMMdd").alias("date"), "hour", "place", "mm", "samples", "source_samples")
+
+
+def raster_cells(cells: DataFrame, tags: dict[str, str], size: float = 1000.0, variable: str = "rainfall", units: str = "mm") -> DataFrame:
+    """A raster band given as cells (row, col, x, y, value), x and y a cell's upper left corner, with `valid`: the gates of its metadata and of its grid come first.
+
+    tags: grid_mapping_name, variable, units and the projection's numbers. The cells must lie on one grid of `size`, rows
+    downward, one value a cell; some must be finite. Negative and huge values mark cells without data.
+    """
+    want = {"longitude_of_central_meridian": -2.0, "latitude_of_projection_origin": 49.0, "false_easting": 400_000.0, "false_northing": -100_000.0, "scale_factor_at_central_meridian": 0.9996012717}
+    bad = [k for k, v in want.items() if abs(float(tags.get(k, "nan")) - v) > 1e-6 or k not in tags]
+    if tags.get("grid_mapping_name") != "transverse_mercator" or bad:
+        raise ValueError(f"the grid isn't the national one: {bad or tags.get('grid_mapping_name')}")
+    if tags.get("variable") != variable or tags.get("units") != units:
+        raise ValueError(f"the band isn't {variable} in {units}")
+    usable = F.coalesce(~F.isnan("value") & (F.col("value") < 1e10), F.lit(False))
+    left, top = F.col("x") - F.col("col") * size, F.col("y") + F.col("row") * size
+    one = cells.agg(F.min(left).alias("l0"), F.max(left).alias("l1"), F.min(top).alias("t0"), F.max(top).alias("t1"), F.count_if(usable).alias("usable")).first()
+    if one["l0"] is None or one["l0"] != one["l1"] or one["t0"] != one["t1"]:
+        raise ValueError(f"the cells aren't aligned at {size}")
+    if n := cells.groupBy("row", "col").agg(F.count("*").alias("n")).where("n > 1").count():
+        raise ValueError(f"{n} cells stand more than once")
+    if not one["usable"]:
+        raise ValueError("no usable cell")
+    return cells.withColumn("valid", usable & (F.col("value") >= 0))
+
+
 def infer_year(path: str) -> str:
     stem = path.rsplit("/", 1)[-1].rsplit(".", 1)[0]
     years = set(re.findall(r"(?<!\d)(?:19|20)\d{2}(?!\d)", stem))
@@ -139,23 +203,45 @@ def polygon_edges(spark: SparkSession, path: str, identifier: str = "identifier"
     return e.select("polygon", "company", "ring", F.col("e.a")[0].alias("x1"), F.col("e.a")[1].alias("y1"), F.col("e.b")[0].alias("x2"), F.col("e.b")[1].alias("y2"))
 
 
+def _proof(frame: DataFrame) -> list:
+    """Aggregates that tell two frames apart: rows, and the sum of their hashes (columns that can't be hashed, maps, are left out)."""
+    names = [f.name for f in frame.schema.fields if "map<" not in f.dataType.simpleString()]
+    hashed = F.sum(F.xxhash64(*(F.col(f"`{n}`") for n in names)).cast("decimal(38,0)")) if names else F.lit(0)
+    return [F.count(F.lit(1)).alias("n"), hashed.alias("hash")]
+
+
 def write_once(frame: DataFrame, path: str, force: bool = False, kind: str = "parquet") -> DataFrame:
-    """Written to a staging folder, read back and compared by count and schema, then moved into place; an existing target is refused unless forced."""
+    """Written to a staging folder, read back and compared by count, schema and a sum of row hashes, then moved into place; an existing target is refused unless forced.
+
+    What is written is counted as it is written, so the frame is computed once. A target that is replaced stands aside
+    until the new one is in place, and comes back if that fails.
+    """
     spark = frame.sparkSession
-    if _exists(spark, path) and not force:
+    if exists(spark, path) and not force:
         raise FileExistsError(path)
     staged = f"{path.rstrip('/')}.staging"
-    writer = frame.write.mode("overwrite")
+    proof = _proof(frame) if kind != "csv" else [F.count(F.lit(1)).alias("n")]
+    seen = Observation("written")
+    writer = frame.observe(seen, *proof).write.mode("overwrite")
     writer.option("header", True).csv(staged) if kind == "csv" else writer.parquet(staged)
     back = spark.read.option("header", True).csv(staged) if kind == "csv" else spark.read.parquet(staged)
-    if back.columns != frame.columns or back.count() != frame.count():
+    same = back.columns == frame.columns and (kind == "csv" or [f.dataType.simpleString() for f in back.schema.fields] == [f.dataType.simpleString() for f in frame.schema.fields])
+    if not same or back.agg(*proof).first().asDict() != seen.get:
         raise ValueError(f"{staged} doesn't read back as written")
     fs_path = spark._jvm.org.apache.hadoop.fs.Path
     fs = fs_path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    if force:
-        fs.delete(fs_path(path), True)
+    aside = f"{path.rstrip('/')}.replaced"
+    before = exists(spark, path)
+    if before:
+        fs.delete(fs_path(aside), True)
+        if not fs.rename(fs_path(path), fs_path(aside)):
+            raise OSError(f"could not move {path} aside")
     if not fs.rename(fs_path(staged), fs_path(path)):
+        if before:
+            fs.rename(fs_path(aside), fs_path(path))
         raise OSError(f"could not move {staged} to {path}")
+    if before:
+        fs.delete(fs_path(aside), True)
     return spark.read.option("header", True).csv(path) if kind == "csv" else spark.read.parquet(path)
 
 
@@ -165,6 +251,10 @@ def digests(spark: SparkSession, *paths: str) -> dict[str, tuple[int, str]]:
     return {r[0]: (r[1], r[2]) for r in files.select("path", "length", F.sha2("content", 256)).orderBy("path").collect()}
 
 
+def read_text(spark: SparkSession, path: str) -> str:
+    return "\n".join(r[0] for r in spark.read.option("wholetext", True).text(path).collect())
+
+
 def write_text(spark: SparkSession, path: str, text: str) -> None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     stream = p.getFileSystem(spark._jsc.hadoopConfiguration()).create(p, True)
@@ -179,7 +269,7 @@ def write_manifest(spark: SparkSession, path: str, inputs: dict, outputs: dict,
 def latest_run(spark: SparkSession, root: str) -> str:
     """The run that LATEST.txt names: exactly one line, a folder below root."""
     lines = [r[0].strip() for r in spark.read.text(f"{root}/LATEST.txt").collect() if r[0].strip()]
-    if len(lines) != 1 or not _exists(spark, f"{root}/{lines[0]}"):
+    if len(lines) != 1 or not exists(spark, f"{root}/{lines[0]}"):
         raise ValueError(f"{root}/LATEST.txt doesn't name one run")
     return f"{root}/{lines[0]}"
 
@@ -187,7 +277,7 @@ def latest_run(spark: SparkSession, root: str) -> str:
 def archive_once(spark: SparkSession, source: str, target: str) -> dict[str, tuple[int, str]]:
     """A copy of a run with its digests; a target that exists must hold the same files."""
     before = {k.rsplit("/", 1)[-1]: v for k, v in digests(spark, source).items()}
-    if not _exists(spark, target):
+    if not exists(spark, target):
         fs = spark._jvm.org.apache.hadoop.fs
         a, b, conf = fs.Path(source), fs.Path(target), spark._jsc.hadoopConfiguration()
         fs.FileUtil.copy(a.getFileSystem(conf), a, b.getFileSystem(conf), b, False, conf)

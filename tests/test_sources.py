@@ -128,3 +128,75 @@ def test_stream_counts_once(spark, tmp_path):
     q = stream.writeStream.format("memory").queryName("tails").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert [(r.company, r.events, r.tail_events) for r in spark.table("tails").collect()] == [("a", 2, 1)]
+
+
+PROVIDED = "location_name,permit_number,start_time,stop_time,duration_minutes"
+
+
+def test_pooled_companies_and_counters(spark, tmp_path):
+    row = ("x", "P1", "2026-01-01 00:00:00", "2026-01-01 01:00:00", "60")
+    csv(tmp_path / "a" / "f_2024.csv", PROVIDED, [row, row, ("x", "", *row[2:]), ("x", "P2", "soon", row[3], "abc")])
+    csv(tmp_path / "a" / "f_2023.csv", PROVIDED, [row])
+    csv(tmp_path / "b" / "f.csv", " permit_number ,location_name,duration_minutes,stop_time,start_time", [("P9", "y", "-1", row[3], row[2])])
+    got = files.company_events(spark, str(tmp_path), ["a", "b"], {("a", "2023")}).collect()
+    assert sorted((r.company, r.permit_number or "", r.duration_minutes) for r in got) == [("a", "", "60"), ("a", "P1", "60"), ("a", "P1", "60"), ("a", "P2", "abc"), ("b", "P9", "-1")]
+    kept, counters = workflow.scan_provided(spark, str(tmp_path / "a"))
+    assert kept.count() == 3
+    by = {r.source_file.rsplit("/", 1)[-1]: r for r in counters.collect()}
+    r = by["f_2024.csv"]
+    assert (r.rows_read, r.rows_valid, r.rows_rejected, r.missing_permit, r.non_numeric, r.duplicate_rows) == (4, 2, 2, 1, 1, 2) and by["f_2023.csv"].rows_valid == 1
+
+
+def test_hourly_arrays(spark, tmp_path):
+    mm = np.arange(48, dtype=np.float32).reshape(24, 2)
+    counts = np.full((24, 2), 12)
+    counts[3, 1] = 11
+    (tmp_path / "2024").mkdir()
+    np.savez_compressed(tmp_path / "2024" / "20240229.npz", rainfall_hourly_mm=mm, valid_5min_count_by_hour=counts, source_5min_count_by_hour=np.full(24, 12))
+    rows = files.hourly_arrays(spark, str(tmp_path)).collect()
+    assert len(rows) == 48 and {r.date for r in rows} == {dt.date(2024, 2, 29)}
+    assert {(r.hour, r.place): (r.mm, r.samples) for r in rows}[(3, 1)] == (7.0, 11)
+    np.savez_compressed(tmp_path / "2024" / "20240301.npz", rainfall_hourly_mm=mm, valid_5min_count_by_hour=counts[:5], source_5min_count_by_hour=np.full(24, 12))
+    with pytest.raises(Exception, match="shapes"):
+        files.hourly_arrays(spark, str(tmp_path)).collect()
+
+
+def test_raster_gates(spark):
+    tags = {"grid_mapping_name": "transverse_mercator", "variable": "rainfall", "units": "mm", "longitude_of_central_meridian": "-2", "latitude_of_projection_origin": "49", "false_easting": "400000", "false_northing": "-100000", "scale_factor_at_central_meridian": "0.9996012717"}
+    cells = spark.createDataFrame([(r, c, 1000.0 * c, 2000.0 - 1000 * r, v) for r, c, v in ((0, 0, 1.0), (0, 1, -1.0), (1, 0, 1e20), (1, 1, float("nan")))], "row int, col int, x double, y double, value double")
+    assert {(r.row, r.col): r.valid for r in files.raster_cells(cells, tags).collect()} == {(0, 0): True, (0, 1): False, (1, 0): False, (1, 1): False}
+    for bad, other in ((cells, tags | {"units": "m"}), (cells, tags | {"false_easting": "0"}), (cells.withColumn("x", cells.x + cells.row), tags), (cells.union(cells), tags), (cells.where("row = 1"), tags)):
+        with pytest.raises(ValueError):
+            files.raster_cells(bad, other)
+
+
+def test_configuration_files(spark, tmp_path):
+    config = inputs(tmp_path)
+    found = {"paths": {n: f"{n}.csv" for n in ("events", "assignments", "exposure", "predictors")} | {"output": "out"}, "predictors": ["rain", "area"], "seed": 7, "analysis": {"tail_threshold_minutes": 240, "tail_rule": "strictly_greater_than"}}
+
+    def write(change):
+        (tmp_path / "c.json").write_text(json.dumps(found | change))
+        return str(tmp_path / "c.json")
+
+    got = workflow.load_config(spark, write({}))
+    assert (got.events, got.declared, got.seed, got.output) == (config.events, ["rain", "area"], 7, str(tmp_path / "out"))
+    yaml = pytest.importorskip("yaml")
+    (tmp_path / "c.yaml").write_text(yaml.safe_dump(found))
+    assert workflow.load_config(spark, str(tmp_path / "c.yaml")) == got
+    for change, error in (({"paths": {}}, "without paths"), ({"predictors": []}, "predictors"), ({"analysis": {"tail_rule": "at_least"}}, "locked"), ({"analysis": {"tail_threshold_minutes": 239}}, "locked")):
+        with pytest.raises(ValueError, match=error):
+            workflow.load_config(spark, write(change))
+    with pytest.raises(FileNotFoundError, match="events"):
+        workflow.load_config(spark, write({"paths": found["paths"] | {"events": "gone.csv"}}))
+
+
+def test_a_write_computes_its_frame_once_and_keeps_the_old_until_the_new_is_there(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+    frame = spark.createDataFrame(spark.sparkContext.parallelize(range(10)).map(lambda k: (seen.add(1), (k, {"a": k}))[1]), "k long, m map<string, int>")
+    at = str(tmp_path / "out")
+    assert files.write_once(frame, at).count() == 10 and seen.value == 10
+    bad = frame.selectExpr("raise_error('no') as k")
+    with pytest.raises(Exception, match="no"):
+        files.write_once(bad, at, force=True)
+    assert spark.read.parquet(at).count() == 10
+    assert files.write_once(frame.limit(3), at, force=True).count() == 3 and not files.exists(spark, at + ".replaced")
