@@ -14,6 +14,8 @@ from .common import Scratch, table, trimmed
 PIVOTS, SEEDS = 64, 2048
 #: Vectors in a shard, in an annulus of a shard, and queries in a block.
 SHARD, ANNULUS, BLOCK = 8192, 512, 1024
+#: Up to so many annuli their summaries (44 bytes each) are broadcast.
+BROADCAST_RINGS = 200_000
 
 
 def quantized(vectors: DataFrame, column: str = "embedding") -> DataFrame:
@@ -72,54 +74,67 @@ class Best:
 NONE = np.iinfo(np.int64).min
 
 
-def expand(qid: np.ndarray, q: np.ndarray, annuli: list[dict], pivots: np.ndarray, floor: np.ndarray, k: int) -> Best:
-    """Queries against annuli (pivot, lo, hi, norm, ids, x): nearest bound first, and for each query until no bound reaches its k-th score.
+def bounds(q: np.ndarray, pivots: np.ndarray, pivot: np.ndarray, lo: np.ndarray, hi: np.ndarray, norm: np.ndarray) -> np.ndarray:
+    """For each query and annulus a number that no inner product of the two exceeds.
 
     For x in an annulus, |q - x| is at least the gap between |q - p| and [lo, hi], so q.x is at most
-    (|q|^2 + norm^2 - gap^2) / 2. An annulus is left out only where the bound, with room for rounding, is below the k-th
-    score: a tie could still win by its id.
+    (|q|^2 + norm^2 - gap^2) / 2; and at most |q| norm. Room for rounding is added.
     """
-    best = Best(len(q), k, floor)
-    size = (q.astype(np.float64) ** 2).sum(axis=1)
-    far = np.sqrt(np.maximum(size[:, None] + (pivots.astype(np.float64) ** 2).sum(axis=1)[None, :] - 2 * q.astype(np.float64) @ pivots.astype(np.float64).T, 0))
-    at = np.array([a["pivot"] for a in annuli])
-    lo, hi, norm = (np.array([a[c] for a in annuli]) for c in ("lo", "hi", "norm"))
-    gap = np.maximum(np.maximum(far[:, at] - hi[None, :], lo[None, :] - far[:, at]), 0)
+    q, pivots = q.astype(np.float64), pivots.astype(np.float64)
+    size = (q**2).sum(axis=1)
+    far = np.sqrt(np.maximum(size[:, None] + (pivots**2).sum(axis=1)[None, :] - 2 * q @ pivots.T, 0))
+    gap = np.maximum(np.maximum(far[:, pivot] - hi[None, :], lo[None, :] - far[:, pivot]), 0)
     bound = np.minimum((size[:, None] + norm[None, :] ** 2 - gap**2) / 2, np.sqrt(size)[:, None] * norm[None, :])
-    bound += 1e-9 * (size[:, None] + norm[None, :] ** 2) + 1e-6
+    return bound + 1e-9 * (size[:, None] + norm[None, :] ** 2) + 1e-6
+
+
+def expand(mine: np.ndarray, q: np.ndarray, annuli: list[dict], pivots: np.ndarray, floor: np.ndarray, k: int) -> Best:
+    """Queries against annuli (pivot, lo, hi, norm, ids, keys, x): nearest bound first, and for each query until no bound reaches its k-th score.
+
+    mine: each query's key; a candidate of the same key is left out. An annulus is left out only where its bound is
+    below the k-th score: a tie could still win by its id.
+    """
+    best = Best(len(q), k, floor)
+    bound = bounds(q, pivots, *(np.array([a[c] for a in annuli]) for c in ("pivot", "lo", "hi", "norm")))
     for j in np.argsort(-bound.max(axis=0), kind="stable"):
         open_ = np.flatnonzero((bound[:, j] >= best.floor) | (best.floor == NONE))
         if not len(open_):
             continue
         scores = products(q[open_], annuli[j]["x"])
-        scores[qid[open_][:, None] == annuli[j]["ids"][None, :]] = NONE
+        scores[mine[open_][:, None] == annuli[j]["keys"][None, :]] = NONE
         best.add(open_, annuli[j]["ids"], scores)
     return best
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame | str, k: int = 20) -> DataFrame:
     """query_id, rank, vec_id, score: for each query the k vectors of the highest inner product, ties to the smaller vec_id.
 
-    vectors, queries: (vec_id, v array<long>), as `quantized` gives them; a query isn't compared with rows of its own
-    vec_id. Shorter vectors count as filled with zeros. Each vector is keyed by its nearest pivot and the distance to
-    it; ranges of that key are shards of about 8,192 vectors, cut into annuli of 512. Blocks of 1,024 queries meet every
-    shard once, and a shard returns its own k best, which a window with a limit merges. The pivots (64) and seeds
-    (2,048 rows, whose k-th score is each query's first bound) are the only data broadcast; the index leaves out
-    nothing that could enter a result, so recall is 1 whatever the sample. Fewer candidates than k give fewer rows; an
-    empty table gives none; repeated rows are candidates each.
+    vectors: (vec_id, v array<long>), as `quantized` gives them. queries: a condition that picks rows of vectors, each of
+    which is compared with every row but itself; or a frame like vectors, whose rows are compared with every row of
+    another vec_id. Every row is a query or a candidate of its own, also one that repeats; shorter vectors count as
+    filled with zeros. Fewer candidates than k give fewer rows; an empty table gives none; other columns aren't read.
+
+    Each vector is keyed by its nearest pivot and the distance to it; ranges of that key are shards of about 8,192
+    vectors, cut into annuli of 512. Queries are packed into blocks of 1,024 by the same key. The bounds of blocks and
+    annuli are compared first, by the annuli's summaries alone, and only annuli that can hold a result of a block travel
+    to it. A shard returns a block's k best, which a window with a limit merges. The pivots (64), the seeds (2,048 rows,
+    whose k-th score is each query's first bound) and up to 200,000 summaries are broadcast; beyond that number every
+    annulus travels to every block. Nothing that could enter a result is left out, so recall is 1 whatever the sample.
     """
     spark: SparkSession = vectors.sparkSession
     scratch = Scratch(spark, "topk")
-    vectors = scratch.write(vectors.select("vec_id", "v"))
-    n = vectors.count()
-    if not n:
+    # rows get a number that lasts, as the table is written
+    vectors = scratch.write(vectors.select("vec_id", "v").withColumn("row", F.monotonically_increasing_id()))
+    found = vectors.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("width"), F.max(F.array_max(F.transform("v", F.abs))).alias("most")).first()
+    if not found["n"]:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    width = max(1, vectors.agg(F.max(F.size("v"))).first()[0])
-    sample = vectors.orderBy(F.xxhash64("vec_id", "v"), "vec_id").limit(SEEDS).collect()
-    seed_ids, seeds = np.array([r["vec_id"] for r in sample], np.int64), _matrix([r["v"] for r in sample], width)
-    pivots = np.unique(seeds[:PIVOTS], axis=0)
-    fixed = spark.sparkContext.broadcast((seed_ids, seeds, pivots))
-    shards = max(1, -(-n // SHARD))
+    itself = isinstance(queries, str)
+    asked = vectors.where(queries) if itself else scratch.write(queries.select("vec_id", "v").withColumn("row", F.monotonically_increasing_id()))
+    width = max(1, found["width"])
+    kind = np.dtype("<i2" if (found["most"] or 0) < 1 << 15 else "<i4" if found["most"] < 1 << 31 else "<i8")
+    sample = vectors.orderBy(F.xxhash64("vec_id", "v"), "vec_id", "row").limit(SEEDS).collect()
+    seeds = _matrix([r["v"] for r in sample], width)
+    fixed = spark.sparkContext.broadcast((np.array([r["row" if itself else "vec_id"] for r in sample], np.int64), seeds, np.unique(seeds[:PIVOTS], axis=0)))
 
     def keyed(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -130,68 +145,112 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
             square = (x**2).sum(axis=1)[:, None] + (p**2).sum(axis=1)[None, :] - 2 * x @ p.T
             near = square.argmin(axis=1)
             away = np.sqrt(((x - p[near]) ** 2).sum(axis=1))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near, pa.int32()), pa.array(away)], names=["vec_id", "v", "pivot", "away"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near, pa.int32()), pa.array(away)], names=["vec_id", "v", "row", "pivot", "away"])
 
-    index = vectors.mapInArrow(trimmed(keyed), "vec_id long, v array<long>, pivot int, away double")
-    index = index.repartitionByRange(shards, "pivot", "away", "vec_id").sortWithinPartitions("pivot", "away", "vec_id")
+    def dealt(frame: DataFrame, parts: int) -> DataFrame:
+        order = ["pivot", "away", "vec_id", "row"]
+        return frame.mapInArrow(trimmed(keyed), "vec_id long, v array<long>, row long, pivot int, away double").repartitionByRange(parts, *order).sortWithinPartitions(*order)
 
     def annuli(batches: Iterator) -> Iterator:
         import pyarrow as pa
         from pyspark import TaskContext
 
-        shard = TaskContext.get().partitionId()
+        shard, ring = TaskContext.get().partitionId(), 0
 
         def pack(rows: list) -> "pa.RecordBatch":
+            nonlocal ring
             x = _matrix([r[1] for r in rows], width)
-            ids = np.array([r[0] for r in rows], np.int64)
-            away = [r[3] for r in rows]
+            away = [r[4] for r in rows]
             norm = float(np.sqrt((x.astype(np.float64) ** 2).sum(axis=1)).max())
-            return pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "pivot": pa.array([rows[0][2]], pa.int32()), "lo": [min(away)], "hi": [max(away)], "norm": [norm], "ids": [ids.tobytes()], "x": [x.tobytes()]})
+            ring += 1
+            ids, own = (np.array([r[c] for r in rows], np.int64) for c in (0, 2))
+            return pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "ring": pa.array([(shard << 32) + ring], pa.int64()), "pivot": pa.array([rows[0][3]], pa.int32()), "lo": [min(away)], "hi": [max(away)], "norm": [norm], "ids": [ids.tobytes()], "keys": [(own if itself else ids).tobytes()], "x": [x.astype(kind).tobytes()]})
 
         rows: list = []
         for batch in batches:
             for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if rows and (r[2] != rows[-1][2] or len(rows) == ANNULUS):
+                if rows and (r[3] != rows[-1][3] or len(rows) == ANNULUS):
                     yield pack(rows)
                     rows = []
                 rows.append(r)
         if rows:
             yield pack(rows)
 
-    schema = "shard int, pivot int, lo double, hi double, norm double, ids binary, x binary"
-    index = scratch.write(index.mapInArrow(trimmed(annuli), schema))
-    shards = index.agg(F.max("shard")).first()[0] + 1
-    blocks = max(1, -(-queries.count() // BLOCK))
-    asked = queries.select("vec_id", "v").withColumn("block", F.expr(f"cast(pmod(xxhash64(vec_id), {blocks}) as int)"))
-    asked = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    index = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    index = scratch.write(dealt(vectors, max(1, -(-found["n"] // SHARD))).mapInArrow(trimmed(annuli), "shard int, ring long, pivot int, lo double, hi double, norm double, ids binary, keys binary, x binary"))
+    rings = index.select("ring", "shard", "pivot", "lo", "hi", "norm")
+    few = rings.count() <= BROADCAST_RINGS
+    known = [np.array(c) for c in zip(*(tuple(r) for r in rings.collect()), strict=True)] if few else None
+    summaries = spark.sparkContext.broadcast(known)
 
-    def search(left, right):
+    def packed(batches: Iterator) -> Iterator:
+        """Blocks of queries, each with the shards, and the annuli, that can hold a result of one of them."""
         import pyarrow as pa
+        from pyspark import TaskContext
 
-        seed_ids, seeds, pivots = fixed.value
-        qid = left.column("vec_id").to_numpy().astype(np.int64)
-        if not len(qid) or not right.num_rows:
-            return pa.table({c: pa.array([], pa.int64()) for c in ("query_id", "vec_id", "score")})
-        q = _matrix(left.column("v").to_pylist(), width)
-        rings = [r | {"ids": np.frombuffer(r["ids"], np.int64), "x": np.frombuffer(r["x"], np.int64).reshape(-1, width)} for r in right.select(["pivot", "lo", "hi", "norm", "ids", "x"]).to_pylist()]
-        floor = np.full(len(q), NONE)
-        if len(seeds) > k:
+        own, seeds, pivots = fixed.value
+        number = TaskContext.get().partitionId() << 32
+
+        def block(rows: list) -> "pa.RecordBatch":
+            nonlocal number
+            q = _matrix([r[1] for r in rows], width)
+            ids, mine = (np.array([r[c] for r in rows], np.int64) for c in (0, 2))
             first = products(q, seeds)
-            first[qid[:, None] == seed_ids[None, :]] = NONE
-            floor = np.partition(first, -k, axis=1)[:, -k]
-        rows, ids, scores = expand(qid, q, rings, pivots, floor, k).rows()
+            first[(mine if itself else ids)[:, None] == own[None, :]] = NONE
+            floor = np.partition(first, -k, axis=1)[:, -k] if len(seeds) > k else np.full(len(q), NONE)
+            wanted: list[np.ndarray] = []
+            if summaries.value is not None:
+                ring, shard, *about = summaries.value
+                for a in range(0, len(ring), 2048):
+                    bound = bounds(q, pivots, *(c[a : a + 2048] for c in about))
+                    wanted.append(a + np.flatnonzero(((bound >= floor[:, None]) | (floor == NONE)[:, None]).any(axis=0)))
+            at = np.concatenate(wanted) if wanted else np.zeros(0, np.int64)
+            lists = [ring[at], np.unique(shard[at]).astype(np.int32)] if summaries.value is not None else [np.zeros(0, np.int64), np.zeros(0, np.int32)]
+            number += 1
+            return pa.RecordBatch.from_arrays([pa.array([number]), pa.array([ids.tobytes()]), pa.array([mine.tobytes()]), pa.array([q.astype("<i8").tobytes()]), pa.array([floor.astype("<i8").tobytes()]), pa.array([lists[0]], pa.list_(pa.int64())), pa.array([lists[1]], pa.list_(pa.int32()))], names=["block", "ids", "mine", "q", "floor", "rings", "shards"])
+
+        rows: list = []
+        for batch in batches:
+            for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                rows.append(r)
+                if len(rows) == BLOCK:
+                    yield block(rows)
+                    rows = []
+        if rows:
+            yield block(rows)
+
+    blocks = scratch.write(dealt(asked, max(1, -(-asked.count() // BLOCK))).mapInArrow(trimmed(packed), "block long, ids binary, mine binary, q binary, floor binary, rings array<long>, shards array<int>"))
+    if few:
+        sides = blocks.drop("rings").withColumn("shard", F.explode("shards")).drop("shards")
+        index = index.join(blocks.select("block", F.explode("rings").alias("ring")), "ring")
+    else:
+        shards = index.agg(F.max("shard")).first()[0] + 1
+        sides = blocks.drop("rings", "shards").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+        # one number a block: a stated query set against all rows, in blocks
+        index = index.join(sides.select("block", "shard"), "shard")
+    sides = sides.select("block", "shard", "ids", "mine", "q", "floor").toDF("block", "shard", "ids", "mine", "q", "floor")
+    index = index.select("block", "shard", "pivot", "lo", "hi", "norm", "ids", "keys", "x").toDF("block", "shard", "pivot", "lo", "hi", "norm", "ids", "keys", "x")
+
+    def search(left, right):
+        import pyarrow as pa
+
+        if not left.num_rows or not right.num_rows:
+            return pa.table({c: pa.array([], pa.int64()) for c in ("query_id", "query", "vec_id", "score")})
+        [one] = left.select(["ids", "mine", "q", "floor"]).to_pylist()
+        ids, mine, floor = (np.frombuffer(one[c], "<i8") for c in ("ids", "mine", "floor"))
+        q = np.frombuffer(one["q"], "<i8").reshape(-1, width)
+        rings = [r | {"ids": np.frombuffer(r["ids"], np.int64), "keys": np.frombuffer(r["keys"], np.int64), "x": np.frombuffer(r["x"], kind).reshape(-1, width).astype(np.int64)} for r in right.select(["pivot", "lo", "hi", "norm", "ids", "keys", "x"]).to_pylist()]
+        rows, found, scores = expand(mine if itself else ids, q, rings, fixed.value[2], floor, k).rows()
         keep = scores > NONE
-        return pa.table({"query_id": qid[rows[keep]], "vec_id": ids[keep], "score": scores[keep]})
+        rows = rows[keep]
+        return pa.table({"query_id": ids[rows], "query": mine[rows], "vec_id": found[keep], "score": scores[keep]})
 
-    found = asked.groupBy("block", "shard").cogroup(index.groupBy("block", "shard")).applyInArrow(search, "query_id long, vec_id long, score long")
-    place = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    got = sides.groupBy("block", "shard").cogroup(index.groupBy("block", "shard")).applyInArrow(search, "query_id long, query long, vec_id long, score long")
+    place = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
+    return got.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = quantized(table(spark, sf_dir, "embeddings"))
-    return top_k(vectors, vectors.where("vec_id % 20 = 0"))
+    return top_k(quantized(table(spark, sf_dir, "embeddings")), "vec_id % 20 = 0")
 
 
 #: Integer products are exact, so the whole result can be said in SQL; the driver runs it on the small tables.

@@ -10,18 +10,19 @@ def brute(rows, k):
     for i, e in rows:
         if e is not None and all(x is not None and math.isfinite(x) for x in e):
             v.setdefault(i, []).append([math.floor(64 * x) for x in e])
-    out = set()
-    for q in v:
+    rows = [(i, c) for i, cs in v.items() for c in cs]
+    out = []
+    for at, (q, x) in enumerate(rows):
         if q % 20 == 0:
-            scored = sorted((-sum(a * b for a, b in zip(v[q][0], c, strict=False)), i) for i, cs in v.items() if i != q for c in cs)[:k]
-            out |= {(q, r + 1, i, -s) for r, (s, i) in enumerate(scored)}
-    return out
+            scored = sorted((-sum(a * b for a, b in zip(x, c, strict=False)), i) for n, (i, c) in enumerate(rows) if n != at)[:k]
+            out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scored)]
+    return sorted(out)
 
 
 def run(spark, rows, k):
     v = K.quantized(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
-    got = K.top_k(v, v.where("vec_id % 20 = 0"), k).collect()
-    return {(r.query_id, r["rank"], r.vec_id, r.score) for r in got}
+    got = K.top_k(v, "vec_id % 20 = 0", k).collect()
+    return sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got)
 
 
 def test_against_brute_force(spark):
@@ -39,7 +40,7 @@ def test_ties_nulls_and_odd_vectors(spark):
 def test_fewer_candidates_and_empty_table(spark):
     rows = [(0, [1.0, 2.0]), (1, [1.0, 0.5]), (2, [-1.0, 0.5])]
     assert run(spark, rows, 20) == brute(rows, 20)
-    assert run(spark, [], 20) == set()
+    assert run(spark, [], 20) == []
 
 
 def test_pruning_keeps_the_result(monkeypatch):
@@ -54,7 +55,7 @@ def test_pruning_keeps_the_result(monkeypatch):
         own = own[np.argsort(d[own, p])]
         for a in range(0, len(own), 50):
             s = own[a : a + 50]
-            rings.append({"pivot": p, "lo": d[s, p].min(), "hi": d[s, p].max(), "norm": np.sqrt((x[s] ** 2).sum(axis=1)).max(), "ids": s, "x": x[s]})
+            rings.append({"pivot": p, "lo": d[s, p].min(), "hi": d[s, p].max(), "norm": np.sqrt((x[s] ** 2).sum(axis=1)).max(), "ids": s, "keys": s, "x": x[s]})
     done = []
     plain = K.products
     monkeypatch.setattr(K, "products", lambda q, c: done.append(len(q) * len(c)) or plain(q, c))
@@ -66,3 +67,37 @@ def test_pruning_keeps_the_result(monkeypatch):
     rows, ids, s = best.rows()
     for k in range(50):
         assert ids[rows == k].tolist() == sorted(range(3000), key=lambda i: (-scores[k, i], i))[:5]
+
+
+def test_rows_that_repeat_an_id_are_queries_each(spark):
+    rng = np.random.default_rng(7)
+    rows = [(int(i), [float(x) for x in rng.normal(size=6)]) for i in [0, 0, 0, 20, 20, *range(1, 60)]]
+    rows += [(0, rows[0][1]), (40, rows[3][1])]
+    assert run(spark, rows, 5) == brute(rows, 5)
+
+
+def test_queries_of_another_table(spark):
+    rows = [(i, [float(i), 1.0]) for i in range(30)]
+    v = K.quantized(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
+    asked = K.quantized(spark.createDataFrame([(29, [1.0, 0.0]), (100, [0.0, 1.0]), (100, [-1.0, 0.0])], "vec_id long, embedding array<float>"))
+    got = sorted((r.query_id, r["rank"], r.vec_id) for r in K.top_k(v, asked, 2).collect())
+    assert got == [(29, 1, 28), (29, 2, 27), (100, 1, 0), (100, 1, 0), (100, 2, 1), (100, 2, 1)]
+
+
+def test_annuli_that_cannot_matter_do_not_travel(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(12, 8)) * 40
+    rows = [(i, [float(x) for x in centres[i % 12] + rng.normal(size=8) / 10]) for i in range(2400)]
+    for name, n in (("SHARD", 200), ("ANNULUS", 20), ("BLOCK", 16), ("SEEDS", 400)):
+        monkeypatch.setattr(K, name, n)
+    want = brute(rows, 4)
+    assert run(spark, rows, 4) == want
+    seen = []
+    plain = K.Scratch.write
+    monkeypatch.setattr(K.Scratch, "write", lambda self, df: seen.append(out := plain(self, df)) or out)
+    assert run(spark, rows, 4) == want
+    blocks = next(f for f in seen if "rings" in f.columns)
+    rings = next(f for f in seen if "norm" in f.columns).count()
+    assert max(r.n for r in blocks.selectExpr("size(rings) as n").collect()) < rings / 2
+    monkeypatch.setattr(K, "BROADCAST_RINGS", 0)
+    assert run(spark, rows, 4) == want
