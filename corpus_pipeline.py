@@ -1,7 +1,9 @@
 """Corpus pipeline over the documents table; each stage calls one operator of eventide.llm.
 
 Each stage takes what its predecessor kept. A stage that reads its input more than once reads the table written by the
-stage before it.
+stage before it. What holds for all: an empty table gives an empty one; all columns come through, whatever their names,
+but for text and n_chars, which line_dedup makes anew, and the last stage's; rows that repeat are judged each, unless
+the stage says otherwise; texts of any length are taken whole.
 """
 
 from __future__ import annotations
@@ -14,12 +16,20 @@ from eventide.llm.common import Scratch, named, table, unused
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose voted quality score reaches the threshold."""
+    """Documents whose voted quality score reaches the threshold.
+
+    A null, empty or blank text gets the share of good labels, as does every text where no label is known (0.5); at the
+    threshold a document stays. A null doc_id is scored like any other.
+    """
     return quality.accepted(docs, table(spark, sf_dir, "labels"))
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without their lines that repeat an earlier one, n_chars counted anew; a document of which no word is left goes."""
+    """Documents without their lines that repeat an earlier one, n_chars, if there is one, counted anew; a document of which no word is left goes.
+
+    Earlier is by (doc_id, line). Rows without doc_id and null or empty texts lose nothing and stay; of rows of one doc_id
+    lines at the same number are at one place, so rows that repeat stay alike.
+    """
     lines_of, n = unused(docs, "lines"), docs.schema["n_chars"].dataType if "n_chars" in docs.columns else None
     out = lines.cleaned(docs, lines_of)
     out = out.where(F.col(lines_of).isNull() | F.col("text").rlike("[^\\x20\\x09-\\x0D]"))
@@ -33,6 +43,7 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A row without doc_id counts as a document of its own, later than all that have one: it goes if its set equals or
     links with another's that stays, and one of a group in which none has an id is kept, as is one that is nobody's copy.
+    Rows of one doc_id go or stay together, and null, empty and blank texts are nobody's copies.
     """
     own = F.col("doc_id").cast("long")
     found = docs.agg(F.max(own).alias("last"), F.count_if(own.isNull()).alias("without")).first()
@@ -47,12 +58,16 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents sampled by their calibrated probabilities."""
+    """Documents sampled by their calibrated probabilities.
+
+    A null source or lang is the value ''; a null or empty text counts as one token; rows of one doc_id stay or go
+    together, and those without one stay.
+    """
     return mixing.sampled(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents and the sequences they are packed into."""
+    """The pieces of all documents and the sequences they are packed into; a null or empty text is its end token alone, and a null doc_id stays null."""
     return packing.packed(docs, packing.tokenizer_path())
 
 

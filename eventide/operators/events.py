@@ -54,15 +54,14 @@ def historical(events: DataFrame, round_15: bool = False) -> DataFrame:
 
 def quality(events: DataFrame, by: str = "source_file") -> DataFrame:
     """Counters of a source: rows read, valid, rejected, each reason, bad times of valid rows, rows that take part in a duplicate."""
-    rows = flagged(events)
-    key = ["permit_number", "start_time", "stop_time", "minutes"]
-    copies = rows.where("valid").groupBy(by, *key).agg(F.count("*").alias("n")).groupBy(by).agg(F.sum(F.when(F.col("n") > 1, F.col("n")).otherwise(0)).alias("duplicate_rows"))
-    counts = rows.groupBy(by).agg(
-        F.count("*").alias("rows_read"), F.count_if("valid").alias("rows_valid"), F.count_if(~F.col("valid")).alias("rows_rejected"),
-        *(F.count_if(c).alias(c) for c in ("missing_permit", "non_numeric", "non_finite", "non_positive")),
-        *(F.count_if(F.col("valid") & F.col(c)).alias(c) for c in ("invalid_start_time", "invalid_stop_time")),
+    reasons, times = ("missing_permit", "non_numeric", "non_finite", "non_positive"), ("invalid_start_time", "invalid_stop_time")
+    # equal rows are counted first, in one pass; a key's rows agree on their flags, so its counters are sums over those
+    each = flagged(events).groupBy(by, "permit_number", "start_time", "stop_time", "minutes", "valid", *reasons, *times).agg(F.count("*").alias("n"))
+    n, valid = F.col("n"), F.col("valid")
+    of = lambda when, name: F.coalesce(F.sum(F.when(when, n)), F.lit(0)).alias(name)
+    return each.groupBy(by).agg(
+        F.sum("n").alias("rows_read"), of(valid, "rows_valid"), of(~valid, "rows_rejected"), *(of(F.col(c), c) for c in reasons), *(of(valid & F.col(c), c) for c in times), of(valid & (n > 1), "duplicate_rows"),
     )
-    return counts.join(copies, by, "left").withColumn("duplicate_rows", F.coalesce("duplicate_rows", F.lit(0)))
 
 
 def hybrid(events: DataFrame) -> DataFrame:

@@ -430,7 +430,7 @@ def random_intercept(frame: DataFrame, prepared: Prepared, y: Column, group: Col
         t = 0.0
     value, w, sigma = fit(float(t))
     out = {"intercept": float(w[0])} | {k: float(x) for k, x in zip(names, w[1:], strict=True)}
-    return out | {"residual_variance": sigma, "group_variance": float(t * sigma), "icc": float(t / (1 + t)), "log_likelihood": float(value), "aic": float(2 * (len(w) + 2) - 2 * value), "singular": float(t == 0.0)}
+    return out | {"residual_variance": float(sigma), "group_variance": float(t * sigma), "icc": float(t / (1 + t)), "log_likelihood": float(value), "aic": float(2 * (len(w) + 2) - 2 * value), "singular": float(t == 0.0)}
 
 
 def permuted(size: int, seed: int) -> np.ndarray:

@@ -63,20 +63,20 @@ def segment_distance(x: Column, y: Column) -> Column:
     return F.hypot(x - F.col("x1") - t * dx, y - F.col("y1") - t * dy)
 
 
-def nearest_polygon(points: DataFrame, edges: DataFrame, slack: float = 1e-9, cell: float = 20_000.0) -> DataFrame:
+def nearest_polygon(points: DataFrame, edges: DataFrame, slack: float = 1e-9, cell: float | None = None) -> DataFrame:
     """Each point's nearest polygon of its company by boundary distance, the smallest identifier on ties.
 
     Edges are entered in the cells that they come within a cell's length of, so whatever lies that near a point is met
     by an equi-join on its cell. Points that find nothing so near go on with cells four times as long, until these are
-    as long as the whole extent.
+    as long as the whole extent. The first cells, unless given, are as long as polygons of one company stand apart.
     """
     x0, x1, y0, y1 = (F.least("x1", "x2"), F.greatest("x1", "x2"), F.least("y1", "y2"), F.greatest("y1", "y2"))
-    ends = edges.agg(F.min(x0), F.max(x1), F.min(y0), F.max(y1)).first()
+    ends = edges.agg(F.min(x0), F.max(x1), F.min(y0), F.max(y1), F.approx_count_distinct("polygon"), F.approx_count_distinct("company")).first()
     own = points.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
     if ends[0] is None or own[0] is None:
         return points.select("sensor", F.lit(None).cast("string").alias("polygon"), F.lit(None).cast("double").alias("distance")).limit(0)
-    span = max(max(ends[1], own[1]) - min(ends[0], own[0]), max(ends[3], own[3]) - min(ends[2], own[2]), cell)
-    found, rest, size = None, points, cell
+    span = max(max(ends[1], own[1]) - min(ends[0], own[0]), max(ends[3], own[3]) - min(ends[2], own[2]), cell or 1e-9)
+    found, rest, size = None, points, cell or span / max(1.0, (ends[4] / max(ends[5], 1)) ** 0.5)
     while True:
         size = min(size, 2 * span)
         at = lambda c: F.floor(c / size).cast("long")  # noqa: E731, B023
@@ -87,6 +87,7 @@ def nearest_polygon(points: DataFrame, edges: DataFrame, slack: float = 1e-9, ce
         last = size >= 2 * span
         least = least if last else least.where(F.col("least") <= size)
         best = each.join(least, "sensor").where(F.col("distance") <= F.col("least") + slack).groupBy("sensor").agg(F.min("polygon").alias("polygon"), F.first("least").alias("distance"))
+        best = best if last else best.persist()
         found = best if found is None else found.unionByName(best)
         if last:
             return found

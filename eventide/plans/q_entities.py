@@ -78,8 +78,10 @@ def _(spark, sf):
     return _places(spark, sf).groupBy("kind").agg(F.count("*").alias("n")).withColumn("compatible", N.compatible(F.col("kind")))
 
 
-_CORES = f"(SELECT DISTINCT core FROM ({_PLACES}) WHERE core <> '')"
-_PAIRS = f"(SELECT a.core AS l, b.core AS r, list_filter(string_split(a.core, ' '), lambda t: t <> '') AS x, list_filter(string_split(b.core, ' '), lambda t: t <> '') AS y FROM {_CORES} a JOIN {_CORES} b ON right(a.core, 3) = right(b.core, 3) AND a.core < b.core)"
+#: Companies of fifty names, whatever the table's size; within one all pairs of names are compared.
+_COMPANY = "CAST(floor(p_partkey / 50) AS BIGINT)"
+_CORES = f"(SELECT DISTINCT {_COMPANY} AS company, core FROM ({_PLACES}) WHERE core <> '')"
+_PAIRS = f"(SELECT a.company, a.core AS l, b.core AS r, list_filter(string_split(a.core, ' '), lambda t: t <> '') AS x, list_filter(string_split(b.core, ' '), lambda t: t <> '') AS y FROM {_CORES} a JOIN {_CORES} b ON a.company = b.company AND a.core < b.core)"
 
 
 def _sql_differ(x: str, y: str) -> str:
@@ -90,30 +92,28 @@ _CONFLICT = " OR ".join([_sql_differ(*(f"list_filter({v}, lambda t: regexp_match
 
 
 def _name_pairs(spark, sf):
-    core = _places(spark, sf).where("core <> ''").select("core").distinct()
-    key = F.substring("core", -3, 3)
-    a, b = core.select(F.col("core").alias("l"), key.alias("k")), core.select(F.col("core").alias("r"), key.alias("k"))
-    return a.join(b, "k").where("l < r").drop("k")
+    core = _places(spark, sf).where("core <> ''").select(F.floor(F.col("p_partkey") / 50).alias("company"), "core").distinct()
+    return core.withColumnRenamed("core", "l").join(core.withColumnRenamed("core", "r"), "company").where("l < r")
 
 
-@query("C17_C18_F1_F4_name_pairs", f"""SELECT l, r, ({_CONFLICT}) AS conflict, NOT ({_CONFLICT}) AND len(list_filter(CASE WHEN len(list_distinct(x)) <= len(list_distinct(y)) THEN x ELSE y END, lambda t: NOT list_contains(CASE WHEN len(list_distinct(x)) <= len(list_distinct(y)) THEN y ELSE x END, t))) = 0
+@query("C17_C18_F1_F4_name_pairs", f"""SELECT company, l, r, ({_CONFLICT}) AS conflict, NOT ({_CONFLICT}) AND len(list_filter(CASE WHEN len(list_distinct(x)) <= len(list_distinct(y)) THEN x ELSE y END, lambda t: NOT list_contains(CASE WHEN len(list_distinct(x)) <= len(list_distinct(y)) THEN y ELSE x END, t))) = 0
  AND len(list_filter(CASE WHEN len(list_distinct(x)) <= len(list_distinct(y)) THEN x ELSE y END, lambda t: regexp_matches(t, '^[A-Z]{{4,}}$'))) > 0 AS subset, round(100.0 * (1 - levenshtein(l, r) / greatest(length(l), length(r))), 6) AS similarity, round(100.0 * len(list_intersect(list_distinct(x), list_distinct(y))) / len(list_distinct(list_concat(x, y))), 6) AS overlap FROM {_PAIRS}""")
 def _(spark, sf):
     left, right = F.col("l"), F.col("r")
     out = _name_pairs(spark, sf)
-    return rounded(out.select("l", "r", N.qualifier_conflict(left, right).alias("conflict"), N.subset_match(left, right).alias("subset"), N.levenshtein_similarity(left, right).alias("similarity"), N.token_overlap(left, right).alias("overlap")), "similarity", "overlap")
+    return rounded(out.select("company", "l", "r", N.qualifier_conflict(left, right).alias("conflict"), N.subset_match(left, right).alias("subset"), N.levenshtein_similarity(left, right).alias("similarity"), N.token_overlap(left, right).alias("overlap")), "similarity", "overlap")
 
 
 @query("F2_F3_F5_composite_scores")
 def _(spark, sf):
     left, right = F.col("l"), F.col("r")
-    return rounded(_name_pairs(spark, sf).select("l", "r", N.token_set_ratio(left, right).alias("token_set"), N.weighted_ratio(left, right).alias("weighted"), N.composite_score(left, right).alias("score")), "token_set", "weighted", "score")
+    return rounded(_name_pairs(spark, sf).select("company", "l", "r", N.token_set_ratio(left, right).alias("token_set"), N.weighted_ratio(left, right).alias("weighted"), N.composite_score(left, right).alias("score")), "token_set", "weighted", "score")
 
 
 @query("J14_fuzzy_candidates")
 def _(spark, sf):
     """Names of sensors against names of works of one company: aliases exploded, the best pair of aliases for each pair of entities, ties kept at the fifth score."""
-    own = _places(spark, sf).where("core <> ''").withColumn("company", F.col("p_partkey") % 40)
+    own = _places(spark, sf).where("core <> ''").withColumn("company", F.floor(F.col("p_partkey") / 50))
     s = own.where("p_partkey % 3 <> 0").select("company", F.col("p_partkey").alias("sensor"), F.explode(F.array_distinct(F.array("core", "f"))).alias("a"))
     w = own.where("p_partkey % 3 = 0").select("company", F.col("p_partkey").alias("works"), F.explode(F.array_distinct(F.array("core", "f"))).alias("b"))
     best = s.join(w, "company").withColumn("score", F.round(N.composite_score(F.col("a"), F.col("b")), 6)).groupBy("sensor", "works").agg(F.max("score").alias("score"))
