@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -95,9 +96,9 @@ def _sized(docs: DataFrame, cells: DataFrame) -> DataFrame:
     return F.broadcast(cells) if cells.count() <= BROADCAST_CELLS else cells
 
 
-def cells_of(docs: DataFrame, targets: Targets = PRODUCTION) -> DataFrame:
+def cells_of(docs: DataFrame, targets: Targets = PRODUCTION, topic: Callable[[Column], Column] = topic_of) -> DataFrame:
     """The cells (source, lang, topic) of docs with their tokens t, raked weights w and rates."""
-    rows = docs.select(_key("source").alias("source"), _key("lang").alias("lang"), topic_of(F.col("text")).alias("topic"), tokens_of(F.col("text")).alias("n_tokens"))
+    rows = docs.select(_key("source").alias("source"), _key("lang").alias("lang"), topic(F.col("text")).alias("topic"), tokens_of(F.col("text")).alias("n_tokens"))
     return weighted_cells(rows.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("t")), targets)
 
 
@@ -125,25 +126,26 @@ def residuals(cells: DataFrame, targets: Targets = PRODUCTION) -> DataFrame:
     return parts[0].union(parts[1]).union(parts[2])
 
 
-def mixed(docs: DataFrame, targets: Targets = PRODUCTION) -> DataFrame:
+def mixed(docs: DataFrame, targets: Targets = PRODUCTION, topic: Callable[[Column], Column] = topic_of) -> DataFrame:
     """doc_id, source, lang, topic, n_tokens, weight, rate and kept for every row of docs (doc_id, text, source, lang).
 
     n_tokens counts the words of the whole text. weight is the document's calibrated token weight, n_tokens times the
-    raked weight of its cell over the cell's tokens; kept says whether the id's uniform number lies below the cell's
+    raked weight of its cell over the cell's tokens; topic makes a document's topic from its text, a function of columns;
+    kept says whether the id's uniform number lies below the cell's
     rate. Documents of a repeated id stay or go together. A null source or lang is the value ''; a null or empty text is
     one token of prose; a null id has the number 0 and stays. An empty table gives no rows. The corpus is read twice,
     once for the cells' sums, which are pre-aggregated in each task, so a source with a third of all rows costs no
     skew; up to 100,000 cells come back by a broadcast, more by a shuffle join.
     """
-    rows = docs.select(F.col("doc_id"), _key("source").alias("source"), _key("lang").alias("lang"), topic_of(F.col("text")).alias("topic"), tokens_of(F.col("text")).alias("n_tokens"))
+    rows = docs.select(F.col("doc_id"), _key("source").alias("source"), _key("lang").alias("lang"), topic(F.col("text")).alias("topic"), tokens_of(F.col("text")).alias("n_tokens"))
     cells = _sized(docs, weighted_cells(rows.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("t")), targets))
     out = rows.join(cells, list(MARGINS))
     return out.select("doc_id", *MARGINS, "n_tokens", (F.col("n_tokens") * F.col("w") / F.col("t")).alias("weight"), "rate", (uniform(F.col("doc_id")) < F.col("rate")).alias("kept"))
 
 
-def sampled(docs: DataFrame, targets: Targets = PRODUCTION) -> DataFrame:
+def sampled(docs: DataFrame, targets: Targets = PRODUCTION, topic: Callable[[Column], Column] = topic_of) -> DataFrame:
     """The kept rows of docs with all their columns, whatever their names; nulls, ties and repeats as in `mixed`."""
-    rows = docs.select(F.struct(*map(named, docs.columns)).alias("row"), F.struct(_key("source").alias("source"), _key("lang").alias("lang"), topic_of(F.col("text")).alias("topic")).alias("cell"))
+    rows = docs.select(F.struct(*map(named, docs.columns)).alias("row"), F.struct(_key("source").alias("source"), _key("lang").alias("lang"), topic(F.col("text")).alias("topic")).alias("cell"))
     sums = rows.groupBy("cell").agg(F.sum(tokens_of(F.col("row.text"))).alias("t")).select("cell.*", "t")
     cells = _sized(docs, weighted_cells(sums, targets)).select(F.struct(*MARGINS).alias("cell"), "rate")
     return rows.join(cells, "cell").where(uniform(F.col("row.doc_id")) < F.col("rate")).select(*(named(c, "row.") for c in docs.columns))

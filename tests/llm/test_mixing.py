@@ -54,3 +54,12 @@ def test_sweeps_converge(spark):
     assert all(abs(few[c] / many[c] - 1) < 1e-3 for c in many)
     left = [{r.margin: r.residual for r in M.residuals(M.cells_of(docs, M.Targets(sweeps=n)), M.PRODUCTION).groupBy("margin").agg({"residual": "max"}).withColumnRenamed("max(residual)", "residual").collect()} for n in (1, M.PRODUCTION.sweeps)]
     assert max(left[1].values()) < 1e-3 and max(left[1].values()) < max(left[0].values())
+
+
+def test_topics_of_ones_own(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame([(k, "cat " * (k % 5 + 1) if k % 4 else "dog run", "s", "en") for k in range(200)], "doc_id long, text string, source string, lang string")
+    rows = M.mixed(docs, M.Targets(topic={"dogs": 0.6, "cats": 0.4}), lambda t: F.when(t.contains("dog"), "dogs").otherwise("cats")).collect()
+    total = sum(r.weight for r in rows)
+    assert sum(r.weight for r in rows if r.topic == "dogs") / total == pytest.approx(0.6, abs=1e-6)

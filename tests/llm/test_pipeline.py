@@ -61,3 +61,31 @@ def test_near_stage_keeps_documents_without_id(spark):
     assert sorted((t or "")[:2] for i, t in got if i is None) == ["", "", "b0", "c0"]
     none = docs.where("doc_id is null").select("doc_id", "text")
     assert sum((r.text or "")[:2] == "a0" for r in P.near_stage(spark, none, AT).collect()) == 1
+
+
+def test_every_stage_on_odd_rows(spark, tmp_path):
+    """Nulls in any column, empty and very long texts, repeats, ties and columns of clashing names come through every stage."""
+    plain = "This is a plain sentence of ordinary words number {} that nobody else has written down here.\n"
+    names = ["doc_id", "text", "lang", "source", "n_chars", "lines", "__lines", "cell", "rate", "row", "version", "a.b"]
+    texts = [plain.format(k) * 3 for k in range(30)] + [None, "", " \n\t ", "All rights reserved.\n" * 3, "".join(plain.format(1000 + k) for k in range(3000)), plain.format(3) * 3, plain.format(3) * 3]
+    rows = [(None if k in (4, 31) else k if k != 7 else 6, t, None if k % 5 == 0 else "en", None if k % 7 == 0 else "s", None if k == 9 else len(t or ""), *range(7)) for k, t in enumerate(texts)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, lines int, __lines int, cell int, rate int, row int, version int, `a.b` int"
+    docs = spark.createDataFrame(rows, schema).repartition(3)
+    for k, (name, stage) in enumerate(P.STAGES):
+        given = docs if k else docs.union(docs.limit(2))
+        out = stage(spark, given, AT)
+        out.write.parquet(f"{tmp_path}/{k}")
+        out = spark.read.parquet(f"{tmp_path}/{k}")
+        if k < 4:
+            assert out.columns == names and out.dtypes == docs.dtypes, name
+            assert 0 < out.count() <= given.count(), name
+            docs = out
+        empty = stage(spark, spark.createDataFrame([], schema), AT)
+        assert empty.collect() == [], name
+    assert {"doc_id", "piece", "sequence_id", "offset"} <= set(out.columns)
+
+
+def test_line_stage_without_a_length_column(spark):
+    docs = spark.createDataFrame([(1, "one two three four five"), (2, "one two three four five\nown words"), (3, "one two three four five")], "doc_id long, text string")
+    got = P.line_stage(spark, docs, AT)
+    assert got.columns == ["doc_id", "text"] and sorted(map(tuple, got.collect())) == [(1, "one two three four five"), (2, "own words")]
