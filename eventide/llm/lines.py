@@ -124,7 +124,8 @@ def rarity_of(written: DataFrame) -> np.ndarray:
     The load of rare tokens grows with the input and says nothing of a token; what lies above it does.
     """
     parts = written.where("counts is not null").select("counts")
-    for tasks in (partitions(written.sparkSession), 4):
+    many = partitions(written.sparkSession) // 64
+    for tasks in ([many] if many > 4 else []) + [4]:
         parts = parts.repartition(tasks).mapInArrow(trimmed(_summed), "counts binary")
     counts = sum((np.frombuffer(bytes(r["counts"]), np.int64) for r in parts.collect()), np.zeros(1 << SKETCH_BITS, np.int64))
     above = np.maximum(counts - int(np.median(counts)), 0)
@@ -147,20 +148,13 @@ def later_matches(scratch: Scratch, slim: DataFrame, firsts: DataFrame, rarity)
 
     def deal(batches: Iterator) -> Iterator:
         """Prefix tokens packed by the group they go to: a few large rows in place of a row for each token."""
-        import pyarrow as pa
-
         held: list[np.ndarray] = []
         known = np.zeros(0, np.int64)
 
         def out():
             record = np.concatenate(held)
             hot = rarity.value[buckets(record["token"])] >= HOT
-            to = (record["token"] + np.where(hot, record["cls"].view(np.uint64), np.uint64(0))) % np.uint64(deals)
-            order = np.argsort(to, kind="stable")
-            record, to = record[order], to[order]
-            ends = np.searchsorted(to, np.arange(deals + 1))
-            some = [k for k in range(deals) if ends[k] < ends[k + 1]]
-            return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([record[ends[k] : ends[k + 1]].tobytes() for k in some], pa.binary())], names=["to", "records"])
+            return packed(record, record["token"] + np.where(hot, record["cls"].view(np.uint64), np.uint64(0)), deals)
 
         count = 0
         for batch in batches:
@@ -184,9 +178,7 @@ def later_matches(scratch: Scratch, slim: DataFrame, firsts: DataFrame, rarity)
             yield out()
 
     def shared(batches: Iterator) -> Iterator:
-        """The records whose token stands in the prefix of two distinct lines or more with lengths that may match, and all of hot tokens."""
-        import pyarrow as pa
-
+        """The records whose token stands in the prefix of two distinct lines or more with lengths that may match, and all of hot tokens; buckets of the same lines go to one group."""
         parts = [np.frombuffer(x.as_buffer(), RECORD) for batch in batches for x in batch.column(1)]
         if not parts:
             return
@@ -203,20 +195,46 @@ def later_matches(scratch: Scratch, slim: DataFrame, firsts: DataFrame, rarity)
         record = record[new]
         near = (record["token"][1:] == record["token"][:-1]) & (4 * record["n"][:-1] >= 3 * record["n"][1:])
         keep = rarity.value[buckets(record["token"])] >= HOT
-        size = np.where(keep, HOT_SIZE, 0)
         keep[1:] |= near
         keep[:-1] |= near
-        record, size = record[keep], size[keep]
-        edge = np.flatnonzero(np.append(True, record["token"][1:] != record["token"][:-1])) if len(record) else np.zeros(0, int)
-        each = np.diff(np.append(edge, len(record)))
-        size = np.maximum(size, np.repeat(each, each))
+        record = record[keep]
+        if not len(record):
+            return
+        out = np.zeros(len(record), SHARED)
+        for c in RECORD.names:
+            out[c] = record[c]
+        edge = edges_of(record["token"])
+        each = np.diff(edge)
+        out["lines"] = np.repeat(mix(np.add.reduceat(mix(record["cls"].view(np.uint64)), edge[:-1]) + each.astype(np.uint64)), each)
+        hot = rarity.value[buckets(record["token"])] >= HOT
+        yield packed(out, np.where(hot, record["token"] + record["cls"].view(np.uint64), out["lines"]), deals)
+
+    def merged(batches: Iterator) -> Iterator:
+        """Of buckets that hold the same lines the one of the foremost token, which is the first that each two of them have in common; a hot token's records as they are."""
+        import pyarrow as pa
+
+        parts = [np.frombuffer(x.as_buffer(), SHARED) for batch in batches for x in batch.column(1)]
+        if not parts:
+            return
+        record = np.concatenate(parts)
+        del parts
+        level = rarity.value[buckets(record["token"])]
+        record = record[np.lexsort((record["token"], level, record["lines"]))]
+        hot = rarity.value[buckets(record["token"])] >= HOT
+        edge = edges_of(record["lines"])
+        foremost = np.repeat(record["token"][edge[:-1]], np.diff(edge))
+        record = record[hot | (record["token"] == foremost)]
+        hot = rarity.value[buckets(record["token"])] >= HOT
+        each = np.diff(edge := edges_of(record["token"]))
+        size = np.where(hot, HOT_SIZE, np.repeat(each, each))
         for k in range(0, len(record), 100_000):
             r = record[k : k + 100_000]
             columns = [np.ascontiguousarray(r["token"]).view(np.int64), *(np.ascontiguousarray(r[c]) for c in ("cls", "n", "place")), size[k : k + 100_000]]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "id", "n", "place", "c"])
 
     dealt = slim.select("text").mapInArrow(trimmed(deal), "to int, records binary").repartition(deals, "to")
-    members = scratch.write(dealt.mapInArrow(trimmed(shared), "key long, id long, n int, place int, c long"))
+    alike = dealt.mapInArrow(trimmed(shared), "to int, records binary").repartition(deals, "to")
+    members = scratch.write(alike.mapInArrow(trimmed(merged), "key long, id long, n int, place int, c long"))
     if members.isEmpty():
         return None
     candidates = scratch.write(members.select("id").distinct().join(firsts.withColumnRenamed("cls", "id"), "id"))
@@ -264,6 +282,25 @@ SMALL = 4096
 #: What a hot token's records give as their bucket's size.
 HOT_SIZE = 1 << 40
 RECORD = np.dtype([("token", "<u8"), ("cls", "<i8"), ("n", "<i4"), ("place", "<i4")])
+#: lines: a hash of the lines that the token's bucket holds.
+SHARED = np.dtype([*RECORD.descr, ("lines", "<u8")])
+
+
+def edges_of(values: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin, and the end of the last."""
+    return np.append(np.flatnonzero(np.append(True, values[1:] != values[:-1])), len(values)) if len(values) else np.zeros(1, np.int64)
+
+
+def packed(record: np.ndarray, number: np.ndarray, groups: int):
+    """Records as one row for each group that they go to, by their numbers."""
+    import pyarrow as pa
+
+    to = number % np.uint64(groups)
+    order = np.argsort(to, kind="stable")
+    record, to = record[order], to[order]
+    ends = np.searchsorted(to, np.arange(groups + 1))
+    some = [k for k in range(groups) if ends[k] < ends[k + 1]]
+    return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([record[ends[k] : ends[k + 1]].tobytes() for k in some], pa.binary())], names=["to", "records"])
 
 
 def bitmaps(lines: Lines) -> np.ndarray:
