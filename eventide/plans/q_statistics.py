@@ -28,7 +28,15 @@ def _(spark, sf):
     return rounded(rounded(out, "slope", "intercept", "se", "ci_low", "ci_high", "r2", "adjusted_r2", "pearson", digits=9), "effect_pct", digits=7)
 
 
-@query("X37_X42_fit_grid_with_fdr")
+#: The two-sided normal p-value of slope / se: erf by its series of positive terms, each from log-gammas.
+_NORMAL = "CASE WHEN slope IS NULL OR se IS NULL OR se = 0 THEN NULL WHEN slope = 0 THEN 1e0 WHEN abs(slope / se) > 9 THEN 0e0 ELSE 1 - 2 / sqrt(pi()) * list_sum(list_transform(range(0, 250), lambda k: exp(k * ln(4) + lgamma(k + 1) - lgamma(2 * k + 2) + (2 * k + 1) * ln(abs(slope / se) / sqrt(2)) - pow(slope / se, 2) / 2))) END"
+_GRID = f"""WITH f AS MATERIALIZED (SELECT company, predictor, n, CASE WHEN usable THEN slope END AS slope, {_NORMAL} AS p, CASE WHEN usable THEN 'ok' ELSE 'constant_predictor' END AS status FROM {_FIT}),
+r AS (SELECT *, p * count(p) OVER (PARTITION BY predictor) / count(p) OVER (PARTITION BY predictor ORDER BY p NULLS LAST RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS raw FROM f),
+q AS (SELECT *, CASE WHEN p IS NOT NULL THEN least(1, min(raw) OVER (PARTITION BY predictor ORDER BY p DESC NULLS LAST RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) END AS q FROM r)
+SELECT company, predictor, n, round(slope, 9) AS slope, round(p, 9) AS p, round(q, 9) AS q, CASE WHEN q < 0.05 THEN 'FDR-supported' WHEN p < 0.05 THEN 'nominal' ELSE 'no clear evidence' END || ', ' || CASE WHEN slope > 0 THEN 'positive' WHEN slope < 0 THEN 'negative' ELSE 'flat' END AS evidence, status FROM q"""
+
+
+@query("X37_X42_fit_grid_with_fdr", _GRID)
 def _(spark, sf):
     out = regress.false_discovery(regress.simple(_long(spark, sf), ["company", "predictor"]), ["predictor"])
     return out.withColumn("evidence", regress.evidence(F.col("p"), F.col("q"), F.col("slope"))).select("company", "predictor", "n", F.round("slope", 9).alias("slope"), F.round("p", 9).alias("p"), F.round("q", 9).alias("q"), "evidence", "status")
