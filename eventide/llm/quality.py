@@ -179,7 +179,9 @@ def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
                 good = model.value.score(term_counts(data, offsets)) >= threshold
                 yield batch.slice(row, len(good)).filter(pa.array(good))
 
-    return docs.mapInArrow(trimmed(keep), docs.schema)
+    # columns travel by plain names, as theirs may hold dots
+    plain = docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))
+    return plain.mapInArrow(trimmed(keep), plain.schema).toDF(*docs.columns)
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
