@@ -45,16 +45,16 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     links with another's that stays, and one of a group in which none has an id is kept, as is one that is nobody's copy.
     Rows of one doc_id go or stay together, and null, empty and blank texts are nobody's copies.
     """
-    own = F.col("doc_id").cast("long")
+    own, number = F.col("doc_id").cast("long"), unused(docs, "number")
     found = docs.agg(F.max(own).alias("last"), F.count_if(own.isNull()).alias("without")).first()
     if found["without"]:
         # written, so that the rows keep the numbers given here
         later = F.lit((found["last"] or 0) + 1) + F.monotonically_increasing_id()
-        own_ids = Scratch(spark, "near").write(docs.withColumn("__id", F.coalesce(own, later)))
+        own_ids = Scratch(spark, "near").write(docs.withColumn(number, F.coalesce(own, later)))
     else:
-        own_ids = docs.withColumn("__id", own)
-    kept = minhash.near_duplicates(own_ids.select(F.col("__id").alias("doc_id"), "text")).where("kept").select(F.col("doc_id").alias("__id")).distinct()
-    return own_ids.join(kept, "__id", "left_semi").select(*docs.columns)
+        own_ids = docs.withColumn(number, own)
+    kept = minhash.near_duplicates(own_ids.select(F.col(number).alias("doc_id"), "text")).where("kept").select(F.col("doc_id").alias(number)).distinct()
+    return own_ids.join(kept, number, "left_semi").select(*map(named, docs.columns))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
