@@ -76,11 +76,22 @@ class Grid:
         return out
 
     def _calibrate(self, sample: np.ndarray, threshold: float, rng: np.random.Generator) -> int:
-        """So many cells that either of a pair visits the other's cell for RECALL of pairs made at the threshold."""
+        """So many cells that either of a pair visits the other's cell for RECALL of pairs made at the threshold, and for all pairs that are looked at of those that link in the sample."""
         x = sample[rng.integers(0, len(sample), PAIRS)]
         away = rng.normal(size=x.shape)
         away -= (away * x).sum(axis=1, keepdims=True) * x
         y = threshold * x + np.sqrt(1 - threshold**2) * away / np.maximum(np.linalg.norm(away, axis=1, keepdims=True), 1e-12)
+        most = np.quantile(self._ranks(x, y), RECALL, method="higher")
+        some = rng.permutation(len(sample))[:512]
+        a, b = np.nonzero(sample[some] @ sample.T >= threshold)
+        a, b = some[a][some[a] != b], b[some[a] != b]
+        if len(a):
+            at = rng.permutation(len(a))[:PAIRS]
+            most = max(most, self._ranks(sample[a[at]], sample[b[at]]).max())
+        return int(min(self.k * self.k, most + 1))
+
+    def _ranks(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """For each pair the place of the other's cell in the order of the one that has it nearer."""
         ranks = []
         for p, q in ((x, y), (y, x)):
             cell = self.cells(q)
@@ -90,7 +101,7 @@ class Grid:
                 total = (one[:, :, None] + two[:, None, :]).reshape(len(one), -1)
                 rank[s : s + 256] = (total < np.take_along_axis(total, cell[s : s + 256, None], axis=1)).sum(axis=1) + 1
             ranks.append(rank)
-        return int(min(self.k * self.k, np.quantile(np.minimum(*ranks), RECALL, method="higher") + 1))
+        return np.minimum(*ranks)
 
 
 def unit(rows: list, width: int) -> np.ndarray:
@@ -165,7 +176,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, column: str = "embe
     Vectors that are null or zero, hold null or non-finite components or have no vec_id link with nothing. Equal vectors
     collapse to one class with a weight. The classes are filed in a product grid whose codebooks are fitted on at most
     4,096 of them; every class visits the cells nearest to it, as many as find 99.5 % of pairs made at exactly the
-    threshold, and a pair is found if either side visits the other's cell. Found pairs are verified by their cosine in
+    threshold and all of up to 2,048 pairs that link in that sample, and a pair is found if either side visits the other's cell. Found pairs are verified by their cosine in
     double precision. Cells meet their visitors in blocks of bounded rows, to which only vectors that visit one of their
     cells are sent; a block compares a few hundred visitors at a time and keeps counts and a spanning forest, never the
     pairs. Equal vectors link with each other as any two do. Other columns aren't read. An empty table gives no rows;
