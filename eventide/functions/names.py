@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import unicodedata
+from collections import Counter
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -106,20 +108,33 @@ def token_overlap(left: Column, right: Column) -> Column:
     return F.when(both > 0, 100.0 * F.size(F.array_intersect(a, b)) / both).otherwise(0.0)
 
 
-def _indel(a: str, b: str) -> float:
-    """200 * the longest common subsequence over the summed lengths."""
-    if not a and not b:
-        return 100.0
-    # bit-parallel: after each character of b the zero bits count the subsequence so far
+@lru_cache(4096)
+def _places(a: str) -> dict[str, int]:
+    """The places of each character, as bits."""
     places: dict[str, int] = {}
     for k, x in enumerate(a):
         places[x] = places.get(x, 0) | 1 << k
+    return places
+
+
+def _common(a: str, b: str) -> int:
+    """The length of the longest common subsequence."""
+    # bit-parallel: after each character of b the zero bits count the subsequence so far
+    get = _places(a).get
     full = (1 << len(a)) - 1
     bits = full
     for y in b:
-        hit = bits & places.get(y, 0)
-        bits = ((bits + hit) | (bits - hit)) & full
-    return 200.0 * (len(a) - bits.bit_count()) / (len(a) + len(b))
+        if at := get(y):
+            hit = bits & at
+            bits = ((bits + hit) | (bits - hit)) & full
+    return len(a) - bits.bit_count()
+
+
+def _indel(a: str, b: str) -> float:
+    """200 * the longest common subsequence over the summed lengths."""
+    if not a and not b:
+        return 100.0
+    return 200.0 * _common(a, b) / (len(a) + len(b))
 
 
 def token_set_score(a: str, b: str) -> float:
@@ -135,14 +150,38 @@ def token_set_score(a: str, b: str) -> float:
     return max(best, _indel(base, one), _indel(base, two)) if shared else best
 
 
+@lru_cache(1 << 16)
 def _partial(a: str, b: str) -> float:
     """The best ratio of the shorter text with any window of the longer."""
     short, long = (a, b) if len(a) <= len(b) else (b, a)
     if not short:
         return 100.0 if not long else 0.0
-    n = len(short)
-    windows = {long[max(0, k) : k + n] for k in range(1 - n, len(long))}
-    return max(_indel(short, w) for w in windows)
+    if short in long:
+        return 100.0
+    n, best = len(short), 0.0
+    # a window has no more in common than the characters that both hold, counted as it moves on
+    left = Counter(short)
+    shared, bounds = 0, []
+    for k in range(1 - n, len(long)):
+        if k + n <= len(long):
+            c = long[k + n - 1]
+            shared += left[c] > 0
+            left[c] -= 1
+        if k > 0:
+            c = long[k - 1]
+            left[c] += 1
+            shared -= left[c] > 0
+        bounds.append((200.0 * shared / (n + min(k + n, len(long)) - max(0, k)), k))
+    for bound, k in sorted(bounds, reverse=True):
+        if bound <= best:
+            break
+        best = max(best, _indel(short, long[max(0, k) : k + n]))
+    return best
+
+
+@lru_cache(4096)
+def _ordered(s: str) -> str:
+    return " ".join(sorted(s.split()))
 
 
 def weighted_score(a: str, b: str) -> float:
@@ -151,13 +190,12 @@ def weighted_score(a: str, b: str) -> float:
         return 0.0
     ratio = max(len(a), len(b)) / min(len(a), len(b))
     plain = _indel(a, b)
-    order = lambda s: " ".join(sorted(s.split()))
     if ratio < 1.5:
-        return max(plain, 0.95 * max(_indel(order(a), order(b)), token_set_score(a, b)))
+        return max(plain, 0.95 * max(_indel(_ordered(a), _ordered(b)), token_set_score(a, b)))
     scale = 0.9 if ratio <= 8 else 0.6
     x, y = set(a.split()), set(b.split())
     words = 100.0 if x & y else _partial(" ".join(sorted(x - y)), " ".join(sorted(y - x)))
-    return max(plain, scale * _partial(a, b), 0.95 * scale * max(_partial(order(a), order(b)), words))
+    return max(plain, scale * _partial(a, b), 0.95 * scale * max(_partial(_ordered(a), _ordered(b)), words))
 
 
 @F.pandas_udf(DoubleType())

@@ -63,8 +63,10 @@ _KIND = f"""CASE WHEN {_sql_has('f', 'EMERGENCY OVERFLOW', 'EMO', 'EO')} THEN 'E
 _PLACES = f"SELECT p_partkey, raw, f, {_KIND} AS kind, {_sql_core('f')} AS core FROM (SELECT p_partkey, raw, {_FULL} AS f FROM place_names)"
 
 
-def _places(spark, sf):
-    own = view(spark, sf, "place_names").withColumn("f", N.full_name(F.col("raw")))
+def _places(spark, sf, tasks=None, by=None):
+    """Names with their normal form, kind and core; dealt over tasks by a column first, if both are given."""
+    own = view(spark, sf, "place_names")
+    own = (own.repartition(tasks, by) if tasks else own).withColumn("f", N.full_name(F.col("raw")))
     return own.select("p_partkey", "raw", "f", N.facility_kind(F.col("f")).alias("kind"), N.place_core(F.col("f")).alias("core"))
 
 
@@ -112,11 +114,19 @@ def _(spark, sf):
 
 @query("J14_fuzzy_candidates")
 def _(spark, sf):
-    """Names of sensors against names of works of one company: aliases exploded, the best pair of aliases for each pair of entities, ties kept at the fifth score."""
-    own = _places(spark, sf).where("core <> ''").withColumn("company", F.floor(F.col("p_partkey") / 50))
+    """Names of sensors against names of works of one company: aliases exploded, the best pair of aliases for each pair of entities, ties kept at the fifth score.
+
+    Texts that meet in many companies are scored once, over four tasks a core: a pair's bytes say little of what its score costs.
+    """
+    tasks, company = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), F.floor(F.col("p_partkey") / 50)
+    own = _places(spark, sf, tasks, company).where("core <> ''").select("p_partkey", company.alias("company"), "core", "f").persist()
     s = own.where("p_partkey % 3 <> 0").select("company", F.col("p_partkey").alias("sensor"), F.explode(F.array_distinct(F.array("core", "f"))).alias("a"))
     w = own.where("p_partkey % 3 = 0").select("company", F.col("p_partkey").alias("works"), F.explode(F.array_distinct(F.array("core", "f"))).alias("b"))
-    best = s.join(w, "company").withColumn("score", F.round(N.composite_score(F.col("a"), F.col("b")), 6)).groupBy("sensor", "works").agg(F.max("score").alias("score"))
+    pairs = s.join(w, "company").select("sensor", "works", "a", "b")
+    texts = s.select("company", "a").distinct().join(w.select("company", "b").distinct(), "company").select("a", "b").distinct().repartition(tasks, "a", "b")
+    scored = texts.withColumn("score", F.round(N.composite_score(F.col("a"), F.col("b")), 6))
+    # read four times below
+    best = pairs.join(scored, ["a", "b"]).groupBy("sensor", "works").agg(F.max("score").alias("score")).persist()
     return joins.margins(joins.top_with_ties(best, "sensor", "score", 5), "sensor", "score").withColumn("dense", F.col("dense").cast("long"))
 
 

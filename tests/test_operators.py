@@ -295,3 +295,39 @@ def test_bootstrap_gain_query_covers_the_whole_table(spark):
     want = models.bootstrap_gain(y, y * 0.6 + rows.k.to_numpy(), np.full(len(y), 25.0), 100)
     got = QUERIES["F29_bootstrap_gain"](spark, at).first()
     assert len(y) == 170_951 and np.allclose(got, want, atol=0.15)
+
+
+def test_fuzzy_candidates_score_each_pair_of_texts_once(spark, monkeypatch):
+    """The query against all pairs scored plainly; texts are dealt over tasks before they are scored, and windows that can't be the best aren't compared."""
+    from eventide.plans.catalog import QUERIES
+
+    sf, least = "/root/testdata/sf0.001", {}
+    frame = QUERIES["J14_fuzzy_candidates"](spark, sf)
+    assert "REPARTITION_BY_NUM" in frame._jdf.queryExecution().toString()
+    own = QUERIES["C13_C14_C15_C16_place_names"](spark, sf).where("core <> ''").collect()
+    for s, w in itertools.product(own, own):
+        if s.p_partkey // 50 == w.p_partkey // 50 and s.p_partkey % 3 and not w.p_partkey % 3:
+            of = lambda a, b: 100.0 if a == b else 0.4 * 100 * (1 - _edits(a, b) / max(len(a), len(b))) + 0.35 * N.token_set_score(a, b) + 0.25 * N.weighted_score(a, b)
+            least[s.p_partkey, w.p_partkey] = max(of(a, b) for a in {s.core, s.f} for b in {w.core, w.f})
+    got = {(r.sensor, r.works): r for r in frame.collect()}
+    for s in {k for k, _ in least}:
+        mine = sorted((v for (k, _), v in least.items() if k == s), reverse=True)
+        assert {k for k in got if k[0] == s} == {k for k, v in least.items() if k[0] == s and v >= mine[:5][-1] - 1e-6}
+    assert all(r.score == pytest.approx(least[k], abs=1e-6) for k, r in got.items())
+
+    compared = []
+    plain = N._indel
+    monkeypatch.setattr(N, "_indel", lambda a, b: compared.append(b) or plain(a, b))
+    best = N.weighted_score("COLD PLATE", "WARM BOLTS SEWAGE TREATMENT WORKS NO 2")
+    assert len(compared) < 40  # 142 before
+    short, long = "COLD PLATE", "WARM BOLTS SEWAGE TREATMENT WORKS NO 2"
+    assert N._partial(short, long) == max(plain(short, long[max(0, k) : k + 10]) for k in range(-9, len(long))) and best > 0
+
+
+def _edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a):
+        before, row[0] = row[0], i + 1
+        for j, y in enumerate(b):
+            before, row[j + 1] = row[j + 1], min(row[j + 1] + 1, row[j] + 1, before + (x != y))
+    return row[-1]
