@@ -110,6 +110,36 @@ def nearest(sensors: DataFrame, works: DataFrame, by: str, limit: float) -> Data
     return pairs.groupBy("sensor").agg(best.alias("b")).select("sensor", "b.works", "b.distance").where(F.col("distance") <= limit)
 
 
+def rounded_half_up(value: Column, digits: int) -> Column:
+    """round(value, digits) of numbers from 0 to 4e9 / 10**digits in plain arithmetic: Spark's own goes through a decimal text for each row. Others go that way."""
+    scale = float(10**digits)
+    quick = F.floor(value * scale + 0.5) / scale
+    # next to a half, what a product in doubles says is not what the number's own digits say
+    off = F.abs(value * scale - F.floor(value * scale) - 0.5)
+    sure = (value >= 0) & (value < 4e9 / scale) & (off > 1e-6)
+    return F.when(sure, quick).otherwise(F.round(value, digits))
+
+
+def distances(sensors: DataFrame, works: DataFrame, by: str, digits: int) -> DataFrame:
+    """(sensor, works, distance) for every sensor and every works of its group, rounded.
+
+    sensors: (sensor, by, x, y); works: (works, by, works_x, works_y). All pairs are the result, so the sensors are dealt
+    over four tasks a core, whatever group they are of: a few bytes of them make thousands of rows, which neither file
+    splits nor the sizes of shuffled partitions show. Works go to each of these tasks where they are counted as small;
+    otherwise both sides meet by the group and a part of the sensors.
+    """
+    spark = sensors.sparkSession
+    tasks = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    dx, dy = F.col("x") - F.col("works_x"), F.col("y") - F.col("works_y")
+    right = small(works)
+    if right is works:
+        part = F.pmod(F.xxhash64("sensor"), F.lit(tasks))
+        pairs = sensors.withColumn("__part", part).repartition(tasks, by, "__part").join(works.withColumn("__part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(tasks - 1).cast("long")))), [by, "__part"])
+    else:
+        pairs = sensors.repartition(tasks, "sensor").join(right, by)
+    return pairs.select("sensor", "works", rounded_half_up(F.sqrt(dx * dx + dy * dy), digits).alias("distance"))
+
+
 def cascade(locations: DataFrame, keys: DataFrame) -> DataFrame:
     """Permits matched exactly, else without white space and case, else by letters and digits; more than one at the first level that matches is ambiguous.
 

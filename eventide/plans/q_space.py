@@ -80,8 +80,7 @@ def _(spark, sf):
 
 @query("F10_distances", "SELECT sensor, works, round(sqrt(pow(x - works_x, 2) + pow(y - works_y, 2)), 3) AS distance FROM sensors JOIN works USING (company)")
 def _(spark, sf):
-    own = view(spark, sf, "sensors").join(view(spark, sf, "works"), "company")
-    return own.select("sensor", "works", F.round(F.hypot(F.col("x") - F.col("works_x"), F.col("y") - F.col("works_y")), 3).alias("distance"))
+    return joins.distances(view(spark, sf, "sensors").select("sensor", "company", "x", "y"), view(spark, sf, "works").select("works", "company", "works_x", "works_y"), "company", 3)
 
 
 _ORIGIN, _SIZE = (0.0, 1_400_000.0), 40_000.0

@@ -233,3 +233,19 @@ def test_bootstrap_fits_share_their_grid():
         beta, _, value = tailfit.fit_many(x, draws, 240.0)
         for b in np.concatenate([np.geomspace(0.01, 2, 300), *(np.clip(beta * (1 + d), 0.01, 2) for d in (-1e-3, -1e-5, 1e-5, 1e-3))]).reshape(-1, 1):
             assert (tailfit._profile(np.full(40, b[0]), np.log(x), draws, np.log(240.0))[0] <= value + 1e-8 * np.abs(value)).all()
+
+
+def test_distances_are_dealt_over_tasks(spark, monkeypatch):
+    """All pairs of a group, by a broadcast and by parts alike; rounding is Spark's own, ties and large numbers among them."""
+    from eventide.plans.catalog import QUERIES
+
+    assert "REPARTITION_BY_NUM" in QUERIES["F10_distances"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    sensors = spark.createDataFrame([(f"s{k}", "ab"[k % 2] if k else None, float(k * 37 % 101), float(k)) for k in range(40)] + [("none", "a", None, 1.0)], "sensor string, company string, x double, y double")
+    works = spark.createDataFrame([(f"w{k}", "abc"[k % 3], float(k * 17 % 89), float(-k)) for k in range(30)], "works string, company string, works_x double, works_y double")
+    want = sorted((s.sensor, w.works, None if s.x is None else round(float(np.hypot(s.x - w.works_x, s.y - w.works_y)), 3)) for s in sensors.collect() for w in works.collect() if s.company == w.company)
+    assert sorted(map(tuple, joins.distances(sensors, works, "company", 3).collect())) == want
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", 5)
+    assert sorted(map(tuple, joins.distances(sensors, works, "company", 3).collect())) == want
+    numbers = [(float(v),) for v in (0.0, 0.0005, 0.0015, 2.5005, 1.0005, 1e6 + 0.0005, 4e6, 1e12, 1e300, -1.0005, "nan", "inf", *np.random.default_rng(1).uniform(0, 2e6, 5000))] + [(k / 2000,) for k in range(4000)] + [(None,)]
+    for r in spark.createDataFrame(numbers, "v double").select("v", F.round("v", 3).alias("a"), joins.rounded_half_up(F.col("v"), 3).alias("b")).collect():
+        assert r.a == r.b or (r.a != r.a and r.b != r.b), r
