@@ -111,13 +111,13 @@ def nearest(sensors: DataFrame, works: DataFrame, by: str, limit: float) -> Data
 
 
 def rounded_half_up(value: Column, digits: int) -> Column:
-    """round(value, digits) of numbers from 0 to 4e9 / 10**digits in plain arithmetic: Spark's own goes through a decimal text for each row. Others go that way."""
+    """round(value, digits) of numbers from 0 to 4e9 / 10**digits and of whole ones in plain arithmetic: Spark's own goes through a decimal text for each row. Others go that way."""
     scale = float(10**digits)
     quick = F.floor(value * scale + 0.5) / scale
     # next to a half, what a product in doubles says is not what the number's own digits say
     off = F.abs(value * scale - F.floor(value * scale) - 0.5)
     sure = (value >= 0) & (value < 4e9 / scale) & (off > 1e-6)
-    return F.when(sure, quick).otherwise(F.round(value, digits))
+    return F.when(F.rint(value) == value, value).when(sure, quick).otherwise(F.round(value, digits))
 
 
 def distances(sensors: DataFrame, works: DataFrame, by: str, digits: int) -> DataFrame:

@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import let
 
+#: Parts that an overlay's cell is cut into.
+PARTS_A_CELL = 8
+
 #: Polygons are edge tables (polygon, company, x1, y1, x2, y2); rings of holes are edges like others.
 
 
@@ -329,30 +332,62 @@ def clip_convex(ring: np.ndarray, clip: np.ndarray) -> float:
     return abs(float(np.dot(x, np.roll(y, -1)) - np.dot(y, np.roll(x, -1)))) / 2
 
 
+def upright(xs: str, ys: str) -> Column:
+    """Whether a ring's corners are those of an upright rectangle, one after the other; its area is then its box's."""
+    turned = lambda a, b: (F.get(a, F.lit(0)) == F.get(a, F.lit(3))) & (F.get(a, F.lit(1)) == F.get(a, F.lit(2))) & (F.get(b, F.lit(0)) == F.get(b, F.lit(1))) & (F.get(b, F.lit(2)) == F.get(b, F.lit(3)))
+    four = (F.size(xs) == 4) & (F.size(ys) == 4)
+    return F.coalesce(four & (turned(xs, ys) | turned(ys, xs)), F.lit(False))
+
+
 def overlay(units: DataFrame, zones: DataFrame, cell: float) -> DataFrame:
     """(unit, zone, area) where rings of units (polygon, xs, ys, hole) and of zones, which must be convex, overlap.
 
     Boxes meet in the cell that holds the lower left corner of their overlap, by an equi-join on cells, so each pair is
-    compared once; areas are clipped in Arrow batches, holes are taken off.
+    compared once. Cells are cut in parts by the units, as one cell's few rings may make most pairs; zones go to all
+    parts. Two upright rectangles overlap in a rectangle, by plain columns; other pairs are clipped in Arrow batches.
+    Where no polygon has a second ring, and so no hole, a pair is its own sum; else areas are summed, holes taken off.
     """
+    spark = units.sparkSession
+    tasks = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
     def boxed(rings: DataFrame, name: str) -> DataFrame:
-        own = rings.select(F.col("polygon").alias(name), *(F.col(c).alias(f"{name}_{c}") for c in ("xs", "ys", "hole")), F.array_min("xs").alias(f"{name}_x0"), F.array_max("xs").alias(f"{name}_x1"), F.array_min("ys").alias(f"{name}_y0"), F.array_max("ys").alias(f"{name}_y1"))
+        own = rings.select(F.col("polygon").alias(name), *(F.col(c).alias(f"{name}_{c}") for c in ("xs", "ys", "hole")), F.array_min("xs").alias(f"{name}_x0"), F.array_max("xs").alias(f"{name}_x1"), F.array_min("ys").alias(f"{name}_y0"), F.array_max("ys").alias(f"{name}_y1"), upright("xs", "ys").alias(f"{name}_upright"))
+        # a rectangle's corners are its box
+        own = own.withColumns({f"{name}_{c}": F.when(~F.col(f"{name}_upright"), F.col(f"{name}_{c}")) for c in ("xs", "ys")})
         for axis in "xy":
             own = own.withColumn(f"c{axis}", F.explode(F.sequence(F.floor(F.col(f"{name}_{axis}0") / cell).cast("long"), F.floor(F.col(f"{name}_{axis}1") / cell).cast("long"))))
         return own
 
-    both = boxed(units, "unit").join(boxed(zones, "zone"), ["cx", "cy"])
+    left = boxed(units, "unit").withColumn("part", F.pmod(F.xxhash64("unit"), F.lit(PARTS_A_CELL)))
+    right = boxed(zones, "zone").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS_A_CELL - 1).cast("long"))))
+    both = left.repartition(tasks, "cx", "cy", "part").join(right.repartition(tasks, "cx", "cy", "part").hint("shuffle_hash"), ["cx", "cy", "part"])
     corner = {axis: F.greatest(f"unit_{axis}0", f"zone_{axis}0") for axis in "xy"}
-    meet = [corner[a] < F.least(f"unit_{a}1", f"zone_{a}1") for a in "xy"] + [F.floor(corner[a] / cell).cast("long") == F.col(f"c{a}") for a in "xy"]
-    both = both.where(meet[0] & meet[1] & meet[2] & meet[3]).select("unit", "zone", "unit_xs", "unit_ys", "unit_hole", "zone_xs", "zone_ys", "zone_hole")
+    far = {axis: F.least(f"unit_{axis}1", f"zone_{axis}1") for axis in "xy"}
+    meet = [corner[a] < far[a] for a in "xy"] + [F.floor(corner[a] / cell).cast("long") == F.col(f"c{a}") for a in "xy"]
+    both = both.where(meet[0] & meet[1] & meet[2] & meet[3])
+    plain = F.col("unit_upright") & F.col("zone_upright")
+    sign = F.when(F.col("unit_hole") != F.col("zone_hole"), -1.0).otherwise(1.0)
+    out = both.where(plain).select("unit", "zone", (sign * (far["x"] - corner["x"]) * (far["y"] - corner["y"])).alias("area"))
+
+    def ring(r, name: str) -> np.ndarray:
+        xs, ys = getattr(r, f"{name}_xs"), getattr(r, f"{name}_ys")
+        if xs is None:
+            x0, x1, y0, y1 = (getattr(r, f"{name}_{c}") for c in ("x0", "x1", "y0", "y1"))
+            xs, ys = [x0, x1, x1, x0], [y0, y0, y1, y1]
+        return np.column_stack([xs, ys])
 
     def clip(batches):
         for part in batches:
-            areas = [(-1 if r.unit_hole != r.zone_hole else 1) * clip_convex(np.column_stack([r.unit_xs, r.unit_ys]), np.column_stack([r.zone_xs, r.zone_ys])) for r in part.itertuples()]
+            areas = [(-1 if r.unit_hole != r.zone_hole else 1) * clip_convex(ring(r, "unit"), ring(r, "zone")) for r in part.itertuples()]
             yield pd.DataFrame({"unit": part["unit"], "zone": part["zone"], "area": areas})
 
-    out = both.mapInPandas(clip, "unit string, zone string, area double")
-    return out.groupBy("unit", "zone").agg(F.sum("area").alias("area")).where("area > 0")
+    uneven = lambda rings: rings.where(~upright("xs", "ys"))
+    if not (uneven(units).isEmpty() and uneven(zones).isEmpty()):
+        out = out.unionByName(both.where(~plain).drop("unit_upright", "zone_upright", "cx", "cy", "part").mapInPandas(clip, "unit string, zone string, area double"))
+    single = all(rings.groupBy("polygon").agg(F.count("*").alias("n"), F.max("hole").alias("hole")).where("n > 1 or hole").isEmpty() for rings in (units, zones))
+    if not single:
+        out = out.groupBy("unit", "zone").agg(F.sum("area").alias("area"))
+    return out.where("area > 0")
 
 
 def union_area(rectangles: DataFrame, by: str, step: float) -> DataFrame:

@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from ..operators import models, regress, spatial
+from ..operators import joins, models, regress, spatial
 from . import q_statistics as T
 from .adapters import view
 from .registry import query, rounded
@@ -254,7 +254,7 @@ def _rings(frame, key="polygon"):
 def _(spark, sf):
     own = _aligned(spark, sf)
     zones = own.select(F.concat(F.lit("Z"), "polygon").alias("polygon"), (F.col("x0") + 13000).alias("x0"), (F.col("y0") + 7000).alias("y0"), (F.col("x1") + 3000).alias("x1"), (F.col("y1") + 9000).alias("y1"))
-    return rounded(spatial.overlay(_rings(own), _rings(zones), 100_000.0), "area", digits=2)
+    return spatial.overlay(_rings(own), _rings(zones), 100_000.0).withColumn("area", joins.rounded_half_up(F.col("area"), 2))
 
 
 @query("X16_kept_geometry", "SELECT company, count(*) AS rows, count(DISTINCT x0 || '/' || y0 || '/' || side) AS geometries, count(DISTINCT x0 || '/' || y0 || '/' || side) = 1 AS consistent FROM squares GROUP BY 1")

@@ -249,3 +249,30 @@ def test_distances_are_dealt_over_tasks(spark, monkeypatch):
     numbers = [(float(v),) for v in (0.0, 0.0005, 0.0015, 2.5005, 1.0005, 1e6 + 0.0005, 4e6, 1e12, 1e300, -1.0005, "nan", "inf", *np.random.default_rng(1).uniform(0, 2e6, 5000))] + [(k / 2000,) for k in range(4000)] + [(None,)]
     for r in spark.createDataFrame(numbers, "v double").select("v", F.round("v", 3).alias("a"), joins.rounded_half_up(F.col("v"), 3).alias("b")).collect():
         assert r.a == r.b or (r.a != r.a and r.b != r.b), r
+
+
+def test_overlay_of_rectangles_without_python(spark):
+    """Rectangles, whatever corner they begin at, holes and other rings give what clipping gives; where all are rectangles nothing reaches Python."""
+    from eventide.plans.catalog import QUERIES
+
+    assert "Python" not in (plan := QUERIES["J15_overlay"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()) and "MapInPandas" not in plan
+    rng, rings = np.random.default_rng(4), {"u": [], "z": []}
+    for k in range(60):
+        x0, y0, w, h = rng.uniform(0, 40, 4)
+        xs, ys = np.array([x0, x0 + w, x0 + w, x0]), np.array([y0, y0, y0 + h, y0 + h])
+        for name in rings:
+            turn = slice(None, None, -1) if rng.random() < 0.5 else slice(None)
+            a, b = (np.roll(c, int(k))[turn] + rng.integers(0, 9) for c in (xs, ys))
+            if k % 7 == 3:  # a triangle, or a rectangle that a closing point ends
+                a, b = (a[:3], b[:3]) if k % 2 else (np.append(a, a[0]), np.append(b, b[0]))
+            rings[name].append((f"{name}{k // 2 if name == 'u' else k}", a.tolist(), b.tolist(), name == "u" and k % 8 == 1))
+    schema, want = "polygon string, xs array<double>, ys array<double>, hole boolean", {}
+    for u, xs, ys, hole in rings["u"]:
+        for z, zx, zy, _ in rings["z"]:
+            want[u, z] = want.get((u, z), 0.0) + (-1 if hole else 1) * spatial.clip_convex(np.column_stack([xs, ys]), np.column_stack([zx, zy]))
+    frames = [spark.createDataFrame(rings[n], schema) for n in ("u", "z")]
+    for cell in (7.0, 1000.0):
+        rows = spatial.overlay(*frames, cell).collect()
+        assert len({(r.unit, r.zone) for r in rows}) == len(rows)
+        got = {(r.unit, r.zone): r.area for r in rows}
+        assert {k for k, v in want.items() if v > 1e-9} == {k for k, v in got.items() if v > 1e-9} and all(got[k] == pytest.approx(v, abs=1e-6) for k, v in want.items() if v > 1e-9)
