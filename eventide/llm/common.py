@@ -83,8 +83,15 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def trimmed(run):
-    """A function over Arrow batches that, when its task ends, gives back the memory that its worker holds and no longer uses; workers wait between tasks beside the JVM."""
+#: What a worker keeps between its tasks, by the name of who keeps it; tasks of others let it go.
+kept: dict[str, dict] = {}
+
+
+def trimmed(run, keeps: str = ""):
+    """A function over Arrow batches that, when its task ends, gives back the memory that its worker holds and no longer uses; workers wait between tasks beside the JVM.
+
+    keeps: the name under which it keeps things in `kept` from task to task; what stands there under other names goes as it begins.
+    """
 
     def out(batches):
         import ctypes
@@ -92,9 +99,14 @@ def trimmed(run):
 
         import pyarrow as pa
 
+        from eventide.llm import common  # the worker's own, not a copy sent with this function
+
+        for name in [n for n in common.kept if n != keeps]:
+            del common.kept[name]
         try:
             yield from run(batches)
         finally:
+            common._powers.clear()
             gc.collect()
             pa.default_memory_pool().release_unused()
             if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):

@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, table, trimmed
+from .common import Scratch, kept, table, trimmed
 
 LENGTH, OPEN_BINS, END_ID = 2048, 1024, 0
 #: Pieces that are looked at together: the longest of them are placed first.
@@ -127,14 +127,12 @@ class Known(dict):
         return ids
 
 
-_ids: dict[str, Ids] = {}
-
-
 def ids_for(path: str) -> Ids:
-    """The worker's own encoders, kept between its tasks."""
-    if path not in _ids:
-        _ids[path] = Ids(path)
-    return _ids[path]
+    """The worker's own encoders, kept between its tasks that cut texts."""
+    own = kept.setdefault("packing", {})
+    if path not in own:
+        own[path] = Ids(path)
+    return own[path]
 
 
 class BestFit:
@@ -213,7 +211,7 @@ def tokenized(docs: DataFrame, tokenizer: str, length: int = LENGTH, keep_ids: b
                 yield rows(doc_ids, texts)
         ids_of.forget()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(trimmed(cut), "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(trimmed(cut, "packing"), "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids)
 
 
 def packed(docs: DataFrame, tokenizer: str, length: int = LENGTH, open_bins: int = OPEN_BINS, keep_ids: bool = False) -> DataFrame:

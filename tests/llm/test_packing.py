@@ -115,3 +115,14 @@ def test_the_bound_on_open_bins_acts_and_costs_little(spark):
             fit.place(lengths[k])
     least = -(-sum(lengths) // 2048)
     assert fit.closed > 0 and fit.made <= 1.003 * least, (fit.closed, fit.made, least)
+
+
+def test_workers_let_encoders_go_when_other_tasks_begin():
+    """A worker keeps its encoders between tasks that cut texts, and not beside the tasks of other stages."""
+    from eventide.llm import common, packing
+
+    cut = common.trimmed(lambda batches: (packing.ids_for(packing.tokenizer_path()) for _ in batches), "packing")
+    [first], [second] = list(cut([1])), list(cut([1]))
+    assert first is second and common.kept["packing"]
+    common._power_tables(1)
+    assert list(common.trimmed(lambda batches: batches)([1])) == [1] and not common.kept and not common._powers
